@@ -52,7 +52,7 @@ def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
 
 
 @F.pandas_udf(T.IntegerType())
-def lcs_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
+def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """LCS length per row; rows with a null side are skipped and stay null."""
     todo = (a.notna() & b.notna()).to_numpy()
     out = pd.Series(pd.array([None] * len(a), dtype="Int32"), index=a.index)
@@ -61,6 +61,10 @@ def lcs_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
+# Marked nondeterministic so that no filter above is pushed below it and runs it a second time.
+lcs_arrow = _lcs_udf.asNondeterministic()
+
+
 def lcs_native(a: Column, b: Column) -> Column:
     """The same LCS length with built-in higher-order functions only."""
     n = F.length(b)
@@ -81,10 +85,6 @@ def lcs_native(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.element_at(rows, -1))
 
 
-def _ratio(common: Column, total: Column) -> Column:
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / total)
-
-
 def exact_score(t: Column, r: Column) -> Column:
     """100 for equal headers; an empty header never matches."""
     return F.when((t == r) & (t != ""), F.lit(100.0))
@@ -104,78 +104,70 @@ def synonym_score(t_hits: Column, t_exact: Column, r_hits: Column, r_exact: Colu
     return F.when(F.size(common) > 0, level)
 
 
-def subset_score(t_tokens: Column, r_tokens: Column) -> Column:
-    """95 when every word of the shorter header is in the longer one."""
-    common = F.size(F.array_intersect(t_tokens, r_tokens))
-    fewer = F.least(F.size(t_tokens), F.size(r_tokens))
-    return F.when((fewer > 0) & (common == fewer), F.lit(95.0))
+def subset_rule(n_common: Column, n_t: Column, n_r: Column) -> Column:
+    fewer = F.least(n_t, n_r)
+    return F.when((fewer > 0) & (n_common == fewer), F.lit(95.0))
+
+
+def overlap_rule(n_common: Column, n_t: Column, n_r: Column) -> Column:
+    share = n_common / F.greatest(n_t, n_r, F.lit(1))
+    return F.when(share > 0.5, F.lit(70.0) + share * 20.0)
 
 
-def overlap_share(t_tokens: Column, r_tokens: Column) -> Column:
-    common = F.size(F.array_intersect(t_tokens, r_tokens))
-    return common / F.greatest(F.size(t_tokens), F.size(r_tokens), F.lit(1))
+def subset_score(t_tokens: Column, r_tokens: Column) -> Column:
+    """95 when every word of the shorter header is in the longer one."""
+    return subset_rule(F.size(F.array_intersect(t_tokens, r_tokens)), F.size(t_tokens), F.size(r_tokens))
 
 
 def overlap_score(t_tokens: Column, r_tokens: Column) -> Column:
     """70 + 20 * share when more than half of the words are shared."""
-    share = overlap_share(t_tokens, r_tokens)
-    return F.when(share > 0.5, F.lit(70.0) + share * 20.0)
+    return overlap_rule(F.size(F.array_intersect(t_tokens, r_tokens)), F.size(t_tokens), F.size(r_tokens))
 
 
-def token_sort_ratio(t: Column, r: Column, lcs=lcs_arrow) -> Column:
-    """Indel similarity of the two headers with their words sorted."""
-    a, b = _sorted(t), _sorted(r)
-    return _ratio(lcs(a, b), F.length(a) + F.length(b))
+def join_sorted(tokens_: Column) -> Column:
+    return F.array_join(F.array_sort(tokens_), " ")
 
 
-def _sorted(norm: Column) -> Column:
-    return F.array_join(F.array_sort(words(norm)), " ")
+def sort_ratio(len_a: Column, len_b: Column, lcs: Column) -> Column:
+    total = len_a + len_b
+    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs / total)
 
 
-def token_set_ratio(t: Column, r: Column, lcs=lcs_arrow) -> Column:
-    """Indel similarity over shared and differing words, duplicates ignored."""
-    tw, rw = F.array_distinct(words(t)), F.array_distinct(words(r))
-    shared_words = F.array_intersect(tw, rw)
-    left = F.array_join(F.array_sort(F.array_except(tw, rw)), " ")
-    right = F.array_join(F.array_sort(F.array_except(rw, tw)), " ")
-    shared = F.length(F.array_join(shared_words, " "))
+def set_ratio(n_t: Column, n_r: Column, shared: Column, len_l: Column, len_r: Column, lcs: Column) -> Column:
+    """From the length of the shared words, and lengths and LCS of the differing words, each joined."""
     gap = F.when(shared > 0, 1).otherwise(0)
-    len_l, len_r = F.length(left), F.length(right)
     whole_l, whole_r = shared + gap + len_l, shared + gap + len_r
     # Both differing parts follow the shared part, which counts as common in full.
-    diff = len_l + len_r - 2 * lcs(left, right)
-    by_diff = 100.0 * (1 - diff / (whole_l + whole_r))
+    by_diff = 100.0 * (1 - (len_l + len_r - 2 * lcs) / (whole_l + whole_r))
     by_left = 100.0 * (1 - (gap + len_l) / (shared + whole_l))
     by_right = 100.0 * (1 - (gap + len_r) / (shared + whole_r))
     return (
-        F.when((F.size(tw) == 0) | (F.size(rw) == 0), F.lit(0.0))
+        F.when((n_t == 0) | (n_r == 0), F.lit(0.0))
         .when((shared > 0) & ((len_l == 0) | (len_r == 0)), F.lit(100.0))
         .when(shared > 0, F.greatest(by_diff, by_left, by_right))
         .otherwise(by_diff)
     )
 
 
-def fuzzy_score(t: Column, r: Column, lcs=lcs_arrow) -> Column:
-    """Mean of both ratios, 0 below the cut. Null input gives null without any LCS work."""
-    mean = (token_sort_ratio(t, r, lcs) + token_set_ratio(t, r, lcs)) / 2
-    return F.when(mean >= FUZZY_MIN, mean).when(mean.isNotNull(), F.lit(0.0))
-
+def token_sort_ratio(t: Column, r: Column, lcs=lcs_arrow) -> Column:
+    """Indel similarity of the two headers with their words sorted."""
+    a, b = join_sorted(words(t)), join_sorted(words(r))
+    return sort_ratio(F.length(a), F.length(b), lcs(a, b))
 
-def cheap_score(
-    t: Column, r: Column, t_hits: Column, t_exact: Column, r_hits: Column, r_exact: Column, strict: bool = False
-) -> Column:
-    """The rules that need no string alignment, in order; null when none fires.
 
-    With ``strict``, sharing words but at most half of them is a veto (score 0).
-    """
+def token_set_ratio(t: Column, r: Column, lcs=lcs_arrow) -> Column:
+    """Indel similarity over shared and differing words, duplicates ignored."""
     tw, rw = F.array_distinct(words(t)), F.array_distinct(words(r))
-    rules = [
-        exact_score(t, r),
-        F.when((t == "") | (r == ""), F.lit(0.0)),
-        synonym_score(t_hits, t_exact, r_hits, r_exact, strict),
-        subset_score(tw, rw),
-        overlap_score(tw, rw),
-    ]
-    if strict:
-        rules.append(F.when(F.arrays_overlap(tw, rw), F.lit(0.0)))
-    return F.coalesce(*rules)
+    left, right = join_sorted(F.array_except(tw, rw)), join_sorted(F.array_except(rw, tw))
+    shared = F.length(F.array_join(F.array_intersect(tw, rw), " "))
+    return set_ratio(F.size(tw), F.size(rw), shared, F.length(left), F.length(right), lcs(left, right))
+
+
+def fuzzy_cut(sort: Column, set_: Column) -> Column:
+    mean = (sort + set_) / 2
+    return F.when(mean >= FUZZY_MIN, mean).when(mean.isNotNull(), F.lit(0.0))
+
+
+def fuzzy_score(t: Column, r: Column, lcs=lcs_arrow) -> Column:
+    """Mean of both ratios, 0 below the cut."""
+    return fuzzy_cut(token_sort_ratio(t, r, lcs), token_set_ratio(t, r, lcs))

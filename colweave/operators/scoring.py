@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import normalize_header, sorted_text, synonym_exact, synonym_hits, tokens
-from ..functions.similarity import cheap_score, fuzzy_score, lcs_arrow
+from ..functions.similarity import (
+    exact_score, fuzzy_cut, join_sorted, lcs_arrow, overlap_rule, set_ratio, sort_ratio, subset_rule, synonym_score,
+)
 from ..vocab import DEFAULT_VOCABULARY, Vocabulary
 
 MICRO = 1_000_000
@@ -103,14 +105,43 @@ def candidate_pairs(templates: DataFrame, raws: DataFrame, salts: int = 16) -> D
 def with_scores(pairs: DataFrame, strict: bool = False, lcs=lcs_arrow) -> DataFrame:
     """Add ``score`` to pairs with ``t_norm, t_hits, t_exact, r_norm, r_hits, r_exact``.
 
-    Only pairs no cheaper rule decides reach the string alignment.
+    The rules apply in order and the first that fires decides; with ``strict``, sharing at most
+    half of the words is a veto. Only pairs left open reach the string alignment. Each step
+    refers to columns of the one before, so nothing is computed twice.
     """
-    t, r = F.col("t_norm"), F.col("r_norm")
-    cheap = cheap_score(t, r, F.col("t_hits"), F.col("t_exact"), F.col("r_hits"), F.col("r_exact"), strict)
-    staged = pairs.withColumn("cheap", cheap)
-    open_ = F.col("cheap").isNull()
-    fuzzy = fuzzy_score(F.when(open_, t), F.when(open_, r), lcs)
-    return staged.withColumn("score", F.coalesce(F.col("cheap"), fuzzy)).drop("cheap")
+    t, r, tw, rw = F.col("t_norm"), F.col("r_norm"), F.col("tw"), F.col("rw")
+    split = pairs.withColumns({"tw": tokens(t), "rw": tokens(r)})
+    counted = split.withColumns(
+        {"n_t": F.size("tw"), "n_r": F.size("rw"), "both": F.array_intersect("tw", "rw")}
+    ).withColumn("n_common", F.size("both"))
+    sizes = F.col("n_common"), F.col("n_t"), F.col("n_r")
+    rules = [
+        exact_score(t, r),
+        F.when((t == "") | (r == ""), F.lit(0.0)),
+        synonym_score(F.col("t_hits"), F.col("t_exact"), F.col("r_hits"), F.col("r_exact"), strict),
+        subset_rule(*sizes),
+        overlap_rule(*sizes),
+    ]
+    if strict:
+        rules.append(F.when(F.col("n_common") > 0, F.lit(0.0)))
+    ruled = counted.withColumn("ruled", F.coalesce(*rules))
+    open_ = F.col("ruled").isNull()
+    parts = ruled.withColumns(
+        {
+            "sort_t": F.when(open_, sorted_text(t)), "sort_r": F.when(open_, sorted_text(r)),
+            "diff_t": F.when(open_, join_sorted(F.array_except(tw, rw))),
+            "diff_r": F.when(open_, join_sorted(F.array_except(rw, tw))),
+            "shared": F.when(open_, F.length(F.array_join("both", " "))),
+        }
+    )
+    aligned = parts.withColumns(
+        {"lcs_sort": lcs(F.col("sort_t"), F.col("sort_r")), "lcs_set": lcs(F.col("diff_t"), F.col("diff_r"))}
+    )
+    fuzzy = fuzzy_cut(
+        sort_ratio(F.length("sort_t"), F.length("sort_r"), F.col("lcs_sort")),
+        set_ratio(F.col("n_t"), F.col("n_r"), F.col("shared"), F.length("diff_t"), F.length("diff_r"), F.col("lcs_set")),
+    )
+    return aligned.select(*pairs.columns, F.coalesce("ruled", fuzzy).alias("score"))
 
 
 def score_matrix(
