@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from ..vocab import NULL_TOKENS
 
-_WS = r"[\s\x1c-\x1f]"
+# The white space characters str.strip removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # One form per entry; a value takes the first form that parses.
 DATE_FORMATS: tuple[str, ...] = ("MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
 
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
 _NAMED_MONTH = r"^([A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"
-_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+_NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 _EMAIL = r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 _SEP = r"[-.\s]?"
@@ -29,7 +33,7 @@ _PHONE = (
 
 def trim_text(c: Column) -> Column:
     """Strip white space of every kind, not only blanks."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def null_tokens_to_null(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
@@ -43,27 +47,30 @@ def clean_text(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
 
 def strip_currency(c: Column) -> Column:
     """Remove currency signs, thousands commas, percent signs and white space. ``50%`` stays 50."""
-    return F.regexp_replace(c, r"(?U)[$,£€%\s]", "")
+    return F.translate(c, "$,£€%" + WHITE_SPACE, "")
+
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def parse_number(c: Column) -> Column:
     """Strict number grammar to double: sign, decimals, exponent, infinity; else null."""
-    text = trim_text(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return _number(trim_text(c))
 
 
 def to_number(c: Column, decimal_comma: bool = False, accounting: bool = False) -> Column:
-    """Number from text: as it stands, else after :func:`strip_currency`.
+    """Number from text after :func:`strip_currency`, which leaves plain numbers as they are.
 
     ``decimal_comma`` reads ``1.234,56``; ``accounting`` reads ``(100)`` as -100.
     """
     text = c
     if accounting:
-        text = F.regexp_replace(text, r"(?U)^\s*\((.*)\)\s*$", "-$1")
+        text = F.regexp_replace(trim_text(text), r"^\((.*)\)$", "-$1")
     if decimal_comma:
-        text = F.translate(F.translate(strip_currency(F.translate(text, ",", "\u0001")), ".", ""), "\u0001", ".")
-        return parse_number(text)
-    return F.coalesce(parse_number(text), parse_number(strip_currency(text)))
+        text = F.translate(text, ",.", "\u0001")
+        return _number(F.translate(strip_currency(text), "\u0001", "."))
+    return _number(strip_currency(text))
 
 
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -81,7 +88,7 @@ def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 
 
 def is_email(c: Column) -> Column:
-    return F.coalesce(c.rlike(_EMAIL), F.lit(False))
+    return F.coalesce(F.contains(c, F.lit("@")) & c.rlike(_EMAIL), F.lit(False))
 
 
 def is_phone(c: Column) -> Column:
@@ -89,7 +96,7 @@ def is_phone(c: Column) -> Column:
 
 
 def is_number_text(c: Column) -> Column:
-    return parse_number(strip_currency(c)).isNotNull()
+    return to_number(c).isNotNull()
 
 
 def is_date_text(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
