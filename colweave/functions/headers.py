@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from itertools import chain
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +18,14 @@ def normalize_header(c: Column, vocab: Vocabulary = DEFAULT_VOCABULARY, keep_uni
     """Lower-case, separators to blanks, drop other symbols, squeeze blanks, expand abbreviations."""
     text = F.translate(F.lower(c.cast("string")), "_-.", "   ")
     keep = r"\p{L}\p{N}" if keep_unicode else "a-zA-Z0-9"
-    text = F.regexp_replace(text, rf"(?U)[^{keep}\s\x1c-\x1f]", "")
-    text = F.regexp_replace(F.regexp_replace(text, rf"(?U){_WS}+", " "), "^ | $", "")
+    kept = F.regexp_replace(text, rf"(?U)[^{keep}\s\x1c-\x1f]", "")
+    squeezed = F.btrim(F.regexp_replace(kept, rf"(?U){_WS}+", " "))
+    # Most headers are plain words already; one cheap test spares them the replacements.
+    text = F.when(text.rlike(r"^[a-z0-9]+(?: [a-z0-9]+)*$"), text).otherwise(squeezed)
     if not vocab.abbreviations:
         return text
-    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in vocab.abbreviations.items()))
+    # A constant that the optimizer folds: one map, not an expression per entry.
+    table = F.from_json(F.lit(json.dumps(vocab.abbreviations)), "map<string,string>")
     return F.array_join(
         F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " "
     )
@@ -42,26 +45,32 @@ def sorted_text(norm: Column) -> Column:
     return F.array_join(F.array_sort(words(norm)), " ")
 
 
-def _category_array(flags: list[Column]) -> Column:
-    """Ordinals of the flags that are true."""
-    picks = F.array(*[F.when(f, F.lit(i)) for i, f in enumerate(flags)])
-    return F.array_compact(picks)
+def _terms(vocab: Vocabulary) -> Column:
+    """All terms with their category ordinal, in category order, as one folded constant."""
+    rows = [{"c": i, "t": t} for i, terms in enumerate(vocab.normalised_terms()) for t in terms]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<c: int, t: string>>")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a value for use inside lambdas, where an expression would be evaluated per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def synonym_hits(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False) -> Column:
     """Ordinals of the categories a header hits.
 
     A hit is a listed term occurring anywhere in the header; with ``strict`` it must
-    stand as whole words. One regular expression per category, built from the list.
+    stand as whole words.
     """
-    flags = []
-    for terms in vocab.normalised_terms():
-        alternatives = "|".join(re.escape(t) for t in terms)
-        pattern = rf"(^| )({alternatives})( |$)" if strict else f"({alternatives})"
-        flags.append(norm.rlike(pattern) if terms else F.lit(False))
-    return _category_array(flags)
+    pad = (lambda x: F.concat(F.lit(" "), x, F.lit(" "))) if strict else (lambda x: x)
+    return _once(
+        pad(norm),
+        lambda n: F.array_distinct(
+            F.transform(F.filter(_terms(vocab), lambda x: F.contains(n, pad(x["t"]))), lambda x: x["c"])
+        ),
+    )
 
 
 def synonym_exact(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """Ordinals of the categories that list the whole header."""
-    return _category_array([norm.isin(terms) if terms else F.lit(False) for terms in vocab.normalised_terms()])
+    return _once(norm, lambda n: F.transform(F.filter(_terms(vocab), lambda x: x["t"] == n), lambda x: x["c"]))

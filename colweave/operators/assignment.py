@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.headers import normalize_header
 from ..vocab import DEFAULT_VOCABULARY, Vocabulary
 from .catalog import shape_keys
-from .scoring import MICRO, score_matrix
+from .scoring import MICRO, header_features, score_features
 
 THRESHOLD = 70.0
 
+# Up to this many edges, trying all matchings beats setting up a matrix.
+_SEARCH_EDGES = 7
+
 
 def _potentials(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shortest augmenting paths on a square integer cost matrix: duals and the row of each column."""
@@ -133,22 +137,48 @@ def _components(edges: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, i
     yield from groups.values()
 
 
+def _search(part: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
+    """The same choice for a few edges, by trying all."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for t, r, micro in sorted(part):
+        rows.setdefault(t, []).append((r, micro))
+    order = list(rows)
+    best: tuple = (-1, [])
+
+    def go(i: int, total: int, picks: list) -> None:
+        nonlocal best
+        if i == len(order):
+            # Choices come in the wanted order, so the first of equal totals stays.
+            if total > best[0]:
+                best = (total, picks)
+            return
+        taken = {p[1] for p in picks}
+        for r, micro in rows[order[i]]:
+            if r not in taken:
+                go(i + 1, total + micro, [*picks, (order[i], r, micro)])
+        go(i + 1, total, picks)
+
+    go(0, 0, [])
+    return best[1]
+
+
+@lru_cache(maxsize=50_000)
+def _solve_part(part: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
+    if len(part) <= _SEARCH_EDGES:
+        return _search(part)
+    rows, cols = sorted({e[0] for e in part}), sorted({e[1] for e in part})
+    weight = np.zeros((len(rows), len(cols)), dtype=np.int64)
+    ri, ci = {t: i for i, t in enumerate(rows)}, {r: i for i, r in enumerate(cols)}
+    for t, r, micro in part:
+        weight[ri[t], ci[r]] = micro
+    return [(rows[i], cols[j], int(weight[i, j])) for i, j in enumerate(solve_component(weight)) if j >= 0]
+
+
 def solve_edges(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The chosen ``(t_ord, r_ord, micro)`` of one pair of tables."""
-    chosen = []
-    for part in _components(edges):
-        if len(part) == 1:
-            chosen.append(part[0])
-            continue
-        rows, cols = sorted({e[0] for e in part}), sorted({e[1] for e in part})
-        weight = np.zeros((len(rows), len(cols)), dtype=np.int64)
-        ri, ci = {t: i for i, t in enumerate(rows)}, {r: i for i, r in enumerate(cols)}
-        for t, r, micro in part:
-            weight[ri[t], ci[r]] = micro
-        for i, j in enumerate(solve_component(weight)):
-            if j >= 0:
-                chosen.append((rows[i], cols[j], int(weight[i, j])))
-    return chosen
+    if len(edges) == 1:
+        return edges
+    return [edge for part in _components(edges) for edge in _solve_part(tuple(part))]
 
 
 def _solver(keys: list[str]):
@@ -178,15 +208,15 @@ def prune_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
     return kept.drop("rank_t", "rank_r")
 
 
-def assign(edges: DataFrame, keys: list[str]) -> DataFrame:
+def assign(edges: DataFrame, keys: list[str], prune: bool = True) -> DataFrame:
     """Optimal assignment per group of ``keys``.
 
-    ``edges`` has the keys, ``t_ord``, ``r_ord``, ``micro`` (positive), ``n_template`` and ``n_raw``.
+    ``edges`` has the keys, ``t_ord``, ``r_ord``, ``micro`` (positive) and, to prune, ``n_template`` and ``n_raw``.
     Returns the keys with the chosen ``t_ord``, ``r_ord``, ``micro``.
     """
     edge = F.struct("t_ord", "r_ord", "micro")
     grouped = (
-        prune_edges(edges, keys)
+        (prune_edges(edges, keys) if prune else edges)
         .groupBy(*keys)
         .agg(F.collect_list(edge).alias("e"))
         .select(*keys, F.col("e.t_ord").alias("t_ords"), F.col("e.r_ord").alias("r_ords"), F.col("e.micro").alias("micros"))
@@ -232,7 +262,10 @@ def catalog_edges(
 
     t_cols = columns(t_shapes, templates, "t", "n_template")
     r_cols = columns(r_shapes, sources, "r", "n_raw")
-    scores = score_matrix(templates, sources, vocab=vocab, strict=strict, keep_unicode=keep_unicode)
+    t_words, r_words = (
+        header_features(df.select(F.col(c).alias("norm")), vocab, strict) for df, c in ((t_cols, "t_norm"), (r_cols, "r_norm"))
+    )
+    scores = score_features(t_words, r_words, strict)
     # Per raw header, the template columns it can fill: joined on both the header and the
     # template shape, so no product of columns is ever formed.
     fits = scores.join(t_cols, "t_norm").select("t_shape", "r_norm", "t_ord", "n_template", "micro")
@@ -272,25 +305,24 @@ def match_catalog(
 
 
 def match_headers(
-    spark, raw_columns: list[str], template_columns: list[str], vocab: Vocabulary = DEFAULT_VOCABULARY,
+    spark: SparkSession, raw_columns: list[str], template_columns: list[str], vocab: Vocabulary = DEFAULT_VOCABULARY,
     strict: bool = False, keep_unicode: bool = False, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Map one list of raw headers onto one list of template headers.
+    """Map the headers of one raw table onto those of one template.
 
-    Returns ``(t_ord, template_col, r_ord, raw_col, confidence)``, one row per template column.
+    Returns ``(t_ord, template_col, r_ord, raw_col, confidence)``, one row per template column. Both lists
+    come from schemas, so this skips what a catalog needs against skew.
     """
-    schema = "table_id string, ordinal int, column_name string"
 
-    def one(name, cols):
-        return spark.createDataFrame([(name, i, str(c).strip()) for i, c in enumerate(cols)], schema)
-
-    requests = spark.createDataFrame([("raw", "template")], "source_id string, template_id string")
-    if not raw_columns or not template_columns:
-        empty = [(i, c, None, None, 0.0) for i, c in enumerate(template_columns)]
-        return spark.createDataFrame(
-            empty, "t_ord int, template_col string, r_ord int, raw_col string, confidence double"
-        )
-    matched = match_catalog(
-        one("template", template_columns), one("raw", raw_columns), requests, vocab, strict, keep_unicode, threshold
-    )
-    return matched.drop("source_id", "template_id")
+    def side(columns: list[str], ordinal: str, name: str, norm: str) -> DataFrame:
+        rows = [(i, str(c).strip()) for i, c in enumerate(columns)]
+        df = spark.createDataFrame(rows, f"{ordinal} int, {name} string").coalesce(1)
+        return df.withColumn(norm, normalize_header(F.col(name), vocab, keep_unicode))
+
+    t, r = side(template_columns, "t_ord", "template_col", "t_norm"), side(raw_columns, "r_ord", "raw_col", "r_norm")
+    features = [header_features(df.select(F.col(n).alias("norm")), vocab, strict) for df, n in ((t, "t_norm"), (r, "r_norm"))]
+    scores = score_features(*features, strict, chunk=None)
+    edges = scores.join(t, "t_norm").join(r, "r_norm").select(F.lit(0).alias("pair"), "t_ord", "r_ord", "micro")
+    chosen = assign(edges, ["pair"], prune=False).drop("pair")
+    mapped = t.drop("t_norm").join(chosen, "t_ord", "left").join(r.drop("r_norm"), "r_ord", "left")
+    return apply_threshold(mapped, threshold).select("t_ord", "template_col", "r_ord", "raw_col", "confidence")

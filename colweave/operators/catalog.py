@@ -36,8 +36,10 @@ def shape_keys(catalog: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, keep_
     Returns ``(table_id, shape, n_columns)``.
     """
     norm = normalize_header(F.col("column_name"), vocab, keep_unicode)
+    # The filter is what a join on the key would add; stated here, every use shares one plan.
     return (
-        catalog.select("table_id", "ordinal", norm.alias("norm"))
+        catalog.where("table_id is not null")
+        .select("table_id", "ordinal", norm.alias("norm"))
         .groupBy("table_id")
         .agg(
             F.count("*").cast("int").alias("n_columns"),

@@ -30,17 +30,19 @@ MICRO = 1_000_000
 _RARITY = "zqxjkvbpygfwmucdlhrsnioate "
 _SORTED = "abcdefghijklmnopqrstuvwxyz~"
 
+# Headers of one key and side that a single join task takes on.
+HOT_CHUNK = 20_000
+
 # Beyond this combined length single letters replace pairs as keys, to bound their number.
 _PAIR_KEY_LENGTH = 60
 
 
-def distinct_headers(
-    headers: DataFrame, column: str, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False,
-    keep_unicode: bool = False,
-) -> DataFrame:
-    """Distinct normalised headers with their synonym categories: ``(norm, hits, exact)``."""
-    norms = headers.select(normalize_header(F.col(column), vocab, keep_unicode).alias("norm"))
-    return norms.where("norm <> ''").distinct().select(
+def header_features(norms: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False) -> DataFrame:
+    """Distinct headers of a column ``norm`` with their synonym categories: ``(norm, hits, exact)``.
+
+    An empty header has no word and no letter, so no pair is ever built with it.
+    """
+    return norms.select("norm").distinct().select(
         "norm", synonym_hits(F.col("norm"), vocab, strict).alias("hits"), synonym_exact(F.col("norm"), vocab).alias("exact")
     )
 
@@ -72,34 +74,47 @@ def _letter_keys(headers: DataFrame, is_template: bool) -> DataFrame:
     rest = F.slice("prefix", F.col("i") + 2, F.size("prefix"))
     partners = F.when(F.col("pairs"), rest).otherwise(F.array(F.lit("")))
     return first.select(*headers.columns, "lengths", "one", F.explode(partners).alias("two")).select(
-        *headers.columns, F.xxhash64("lengths", "one", "two").alias("key"), F.lit(0).alias("salt")
+        *headers.columns, F.xxhash64("lengths", "one", "two").alias("key")
     ).distinct()
 
 
-def _keyed(headers: DataFrame, is_template: bool, salts: int) -> DataFrame:
-    """One row per header and join key. Word and category keys are salted: one word may be everywhere."""
-    norm = F.col("norm")
-    prefixed = F.concat(
-        F.transform(tokens(norm), lambda w: F.concat(F.lit("w|"), w)),
+def _keyed(headers: DataFrame, is_template: bool) -> DataFrame:
+    """One row per header and join key."""
+    named = F.concat(
+        F.transform(tokens(F.col("norm")), lambda w: F.concat(F.lit("w|"), w)),
         F.transform(F.col("hits"), lambda h: F.concat(F.lit("c|"), h.cast("string"))),
     )
-    broad = headers.select("*", F.explode(prefixed).alias("text")).select(*headers.columns, F.xxhash64("text").alias("key"))
-    if is_template:
-        broad = broad.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    else:
-        broad = broad.select("*", F.pmod(F.xxhash64("norm"), F.lit(salts)).cast("int").alias("salt"))
-    return broad.unionByName(_letter_keys(headers, is_template))
+    broad = headers.select("*", F.explode(named).alias("text")).select(*headers.columns, F.xxhash64("text").alias("key"))
+    side = "t" if is_template else "r"
+    keyed = broad.unionByName(_letter_keys(headers, is_template))
+    return keyed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in headers.columns])
+
 
+def _spread(df: DataFrame, hot: DataFrame, own: str, other: str, norm: str) -> DataFrame:
+    """Give each row its own part of a hot key, and a copy for every part of the other side."""
+    parts = lambda side: F.coalesce(F.col(f"{side}_parts"), F.lit(1))
+    mine = F.pmod(F.xxhash64(norm), parts(own)).cast("int").alias(f"{own}_part")
+    theirs = F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(f"{other}_part")
+    return df.join(hot, "key", "left").select(*df.columns, mine, theirs)
 
-def _as(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("key", "salt", *[F.col(c).alias(f"{prefix}_{c}") for c in ("norm", "hits", "exact")])
 
+def candidate_pairs(templates: DataFrame, raws: DataFrame, chunk: int | None = HOT_CHUNK) -> DataFrame:
+    """Distinct header pairs that may score. Inputs come from :func:`header_features`.
 
-def candidate_pairs(templates: DataFrame, raws: DataFrame, salts: int = 16) -> DataFrame:
-    """Distinct header pairs that may score. Inputs come from :func:`distinct_headers`."""
-    left = _as(_keyed(templates, True, salts), "t")
-    right = _as(_keyed(raws, False, salts), "r")
-    return left.join(right, ["key", "salt"]).drop("key", "salt").distinct()
+    A word may be in a third of all headers. The rows of a key are cut into parts of about ``chunk`` headers
+    per side, and each pair of parts is its own join key; other keys are not copied. ``None`` is for
+    the columns of two single tables, which no key can make large.
+    """
+    left, right = _keyed(templates, True), _keyed(raws, False)
+    if chunk is None:
+        return left.join(right, "key").drop("key").distinct()
+    sizes = left.selectExpr("key", "1 AS t", "0 AS r").unionByName(right.selectExpr("key", "0 AS t", "1 AS r"))
+    hot = sizes.groupBy("key").agg(
+        F.greatest(F.ceil(F.sum("t") / chunk), F.lit(1)).cast("int").alias("t_parts"),
+        F.greatest(F.ceil(F.sum("r") / chunk), F.lit(1)).cast("int").alias("r_parts"),
+    ).where("t_parts > 1 or r_parts > 1")
+    pairs = _spread(left, hot, "t", "r", "t_norm").join(_spread(right, hot, "r", "t", "r_norm"), ["key", "t_part", "r_part"])
+    return pairs.drop("key", "t_part", "r_part").distinct()
 
 
 def with_scores(pairs: DataFrame, strict: bool = False, lcs=lcs_arrow) -> DataFrame:
@@ -144,18 +159,25 @@ def with_scores(pairs: DataFrame, strict: bool = False, lcs=lcs_arrow) -> DataFr
     return aligned.select(*pairs.columns, F.coalesce("ruled", fuzzy).alias("score"))
 
 
+def score_features(t: DataFrame, r: DataFrame, strict: bool = False, chunk: int | None = HOT_CHUNK) -> DataFrame:
+    """Positive scores of two sets of :func:`header_features`: ``(t_norm, r_norm, score, micro)``."""
+    scored = with_scores(candidate_pairs(t, r, chunk), strict).where("score > 0")
+    return scored.select("t_norm", "r_norm", "score", F.round(F.col("score") * MICRO).cast("long").alias("micro"))
+
+
 def score_matrix(
     templates: DataFrame, raws: DataFrame, t_col: str = "column_name", r_col: str = "column_name",
-    vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False, keep_unicode: bool = False, salts: int = 16,
+    vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False, keep_unicode: bool = False,
 ) -> DataFrame:
     """Positive scores of distinct normalised header pairs: ``(t_norm, r_norm, score, micro)``.
 
     A pair that is absent scores 0. ``micro`` is the score in millionths, for exact sums.
     """
-    t = distinct_headers(templates, t_col, vocab, strict, keep_unicode)
-    r = distinct_headers(raws, r_col, vocab, strict, keep_unicode)
-    scored = with_scores(candidate_pairs(t, r, salts), strict).where("score > 0")
-    return scored.select("t_norm", "r_norm", "score", F.round(F.col("score") * MICRO).cast("long").alias("micro"))
+    t, r = (
+        header_features(df.select(normalize_header(F.col(c), vocab, keep_unicode).alias("norm")), vocab, strict)
+        for df, c in ((templates, t_col), (raws, r_col))
+    )
+    return score_features(t, r, strict)
 
 
 def score_rows(

@@ -84,44 +84,49 @@ def json_flatten(spark, sf_dir):
     return J.flatten(nested)
 
 
-def _order_documents(spark, sf_dir, shape):
-    """One JSON document per order from its lines; ``shape`` builds it from the sorted line structs."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.struct(
-            F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
-            F.struct(F.col("l_quantity").cast("int").alias("qty"), F.col("l_extendedprice").alias("price")).alias("of"),
-        ).alias("item"),
-    )
-    docs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return docs.select(F.to_json(shape(F.col("items"))).alias("doc"))
+def _line_documents(spark, sf_dir, shape):
+    """One JSON document per line item, with two records; ``shape`` builds it from their array."""
+
+    def record(line, part, price):
+        return F.struct(
+            line.alias("line"), F.col(part).alias("part"),
+            F.struct(F.col("l_quantity").cast("int").alias("qty"), F.col(price).alias("price")).alias("of"),
+        )
+
+    number = F.col("l_linenumber")
+    items = F.array(record(number, "l_partkey", "l_extendedprice"), record(number + 10, "l_suppkey", "l_tax"))
+    return table(spark, sf_dir, "lineitem").select(F.to_json(shape(items)).alias("doc"))
 
 
 _ITEMS_SQL = """
     SELECT l_linenumber::BIGINT AS line, l_partkey AS part, CAST(l_quantity AS BIGINT) AS "of.qty", l_extendedprice AS "of.price" FROM lineitem
+    UNION ALL SELECT l_linenumber + 10, l_suppkey, CAST(l_quantity AS BIGINT), l_tax FROM lineitem
 """
 
 
 @query("src_json_array", _ITEMS_SQL)
 def src_json_array(spark, sf_dir):
-    return J.documents_to_table(_order_documents(spark, sf_dir, lambda items: items), "doc")
+    return J.documents_to_table(_line_documents(spark, sf_dir, lambda items: items), "doc")
 
 
 @query("src_json_wrapped", _ITEMS_SQL)
 def src_json_wrapped(spark, sf_dir):
     shape = lambda items: F.struct(F.size(items).alias("entries"), items.alias("items"), F.array(F.struct(F.lit(1).alias("z"))).alias("zz"))
-    return J.documents_to_table(_order_documents(spark, sf_dir, shape), "doc")
+    return J.documents_to_table(_line_documents(spark, sf_dir, shape), "doc")
 
 
 @query("src_json_wrapped_any", _ITEMS_SQL)
 def src_json_wrapped_any(spark, sf_dir):
     shape = lambda items: F.struct(F.size(items).alias("n"), items.alias("order lines"), F.array(F.lit(1)).alias("flags"))
-    return J.documents_to_table(_order_documents(spark, sf_dir, shape), "doc")
+    return J.documents_to_table(_line_documents(spark, sf_dir, shape), "doc")
 
 
-@query("src_json_columnar", "SELECT l_linenumber::BIGINT AS line, l_partkey AS part FROM lineitem")
+@query("src_json_columnar", """
+    SELECT l_linenumber::BIGINT AS line, l_partkey AS part FROM lineitem UNION ALL SELECT l_linenumber + 10, l_suppkey FROM lineitem
+""")
 def src_json_columnar(spark, sf_dir):
     shape = lambda items: F.struct(items["line"].alias("line"), items["part"].alias("part"))
-    return J.documents_to_table(_order_documents(spark, sf_dir, shape), "doc")
+    return J.documents_to_table(_line_documents(spark, sf_dir, shape), "doc")
 
 
 @query("src_json_record", """
@@ -137,9 +142,15 @@ def src_json_record(spark, sf_dir):
     return J.documents_to_table(docs, "doc")
 
 
-@query("src_json_scalars", 'SELECT l_partkey AS "0" FROM lineitem')
+@query("src_json_scalars", 'SELECT l_partkey AS "0" FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem')
 def src_json_scalars(spark, sf_dir):
-    return J.arrays_to_table(_order_documents(spark, sf_dir, lambda items: items["part"]), "doc")
+    return J.arrays_to_table(_line_documents(spark, sf_dir, lambda items: items["part"]), "doc")
+
+
+@query("src_json_arrays", 'SELECT l_linenumber::BIGINT AS "0", l_partkey AS "1", l_tax AS "2" FROM lineitem')
+def src_json_arrays(spark, sf_dir):
+    rows = F.concat(F.lit("[["), F.concat_ws(",", "l_linenumber", "l_partkey", "l_tax"), F.lit("]]"))
+    return J.arrays_to_table(table(spark, sf_dir, "lineitem").select(rows.alias("doc")), "doc")
 
 
 _CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -193,7 +204,7 @@ def sink_json(spark, sf_dir):
 @query("sink_xlsx", _LINES_SQL.format(ship="l_shipdate"))
 def sink_xlsx(spark, sf_dir):
     path = fresh_dir(spark, "sink_xlsx")
-    write_any(_lines(spark, sf_dir), path, "Excel")
+    write_any(_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), path, "Excel")
     return read_xlsx(spark, path)
 
 

@@ -8,6 +8,7 @@ from ..functions.headers import normalize_header
 from ..operators import assignment as A
 from ..operators import mapping as M
 from ..operators.catalog import schema_drift
+from ..scratch import fresh_dir
 from . import inputs as I
 from . import sql_text as Q
 from .core import query, table
@@ -62,10 +63,18 @@ def _mapping_sql(threshold: int) -> str:
 """
 
 
+def _catalogs(spark, sf_dir):
+    """Column catalogs as stored tables, since matching reads them several times."""
+    path = fresh_dir(spark, "catalog")
+    out = []
+    for name, df in (("templates", I.template_catalog(spark, sf_dir)), ("feeds", I.feed_catalog(spark, sf_dir))):
+        df.write.parquet(f"{path}/{name}")
+        out.append(spark.read.schema(df.schema).parquet(f"{path}/{name}"))
+    return out
+
+
 def _mapping(spark, sf_dir, threshold=A.THRESHOLD):
-    return A.match_catalog(
-        I.template_catalog(spark, sf_dir), I.feed_catalog(spark, sf_dir), I.match_requests(spark, sf_dir), threshold=threshold
-    )
+    return A.match_catalog(*_catalogs(spark, sf_dir), I.match_requests(spark, sf_dir), threshold=threshold)
 
 
 def _with(mapping_sql: str, rest: str) -> str:
@@ -74,9 +83,7 @@ def _with(mapping_sql: str, rest: str) -> str:
 
 @query("assign_optimal", f"WITH RECURSIVE {ASSIGN_CTES} SELECT source_id, template_id, t_ord, r_ord, micro FROM picked")
 def assign_optimal(spark, sf_dir):
-    edges, shaped = A.catalog_edges(
-        I.template_catalog(spark, sf_dir), I.feed_catalog(spark, sf_dir), I.match_requests(spark, sf_dir)
-    )
+    edges, shaped = A.catalog_edges(*_catalogs(spark, sf_dir), I.match_requests(spark, sf_dir))
     chosen = A.assign(edges, ["t_shape", "r_shape"])
     return shaped.join(chosen, ["t_shape", "r_shape"]).select("source_id", "template_id", "t_ord", "r_ord", "micro")
 
