@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocab import DEFAULT_VOCABULARY, Vocabulary
+from .binding import bind
 
 # Java's Unicode white space plus the four separator controls Python also counts.
 _WS = r"[\s\x1c-\x1f]"
@@ -51,11 +51,6 @@ def _terms(vocab: Vocabulary) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<c: int, t: string>>")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind a value for use inside lambdas, where an expression would be evaluated per element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def synonym_hits(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: bool = False) -> Column:
     """Ordinals of the categories a header hits.
 
@@ -63,7 +58,7 @@ def synonym_hits(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: b
     stand as whole words.
     """
     pad = (lambda x: F.concat(F.lit(" "), x, F.lit(" "))) if strict else (lambda x: x)
-    return _once(
+    return bind(
         pad(norm),
         lambda n: F.array_distinct(
             F.transform(F.filter(_terms(vocab), lambda x: F.contains(n, pad(x["t"]))), lambda x: x["c"])
@@ -73,4 +68,4 @@ def synonym_hits(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY, strict: b
 
 def synonym_exact(norm: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """Ordinals of the categories that list the whole header."""
-    return _once(norm, lambda n: F.transform(F.filter(_terms(vocab), lambda x: x["t"] == n), lambda x: x["c"]))
+    return bind(norm, lambda n: F.transform(F.filter(_terms(vocab), lambda x: x["t"] == n), lambda x: x["c"]))

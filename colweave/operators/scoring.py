@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.headers import normalize_header, sorted_text, synonym_exact, synonym_hits, tokens
 from ..functions.similarity import (
     exact_score, fuzzy_cut, join_sorted, lcs_arrow, overlap_rule, set_ratio, sort_ratio, subset_rule, synonym_score,
@@ -50,7 +51,9 @@ def header_features(norms: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, st
 def _letters(text: Column) -> Column:
     """Letters of a text, rarest first, each tagged with its running number among equals."""
     chars = F.array_sort(F.filter(F.split(F.translate(text, _RARITY, _SORTED), ""), lambda ch: ch != ""))
-    return F.transform(chars, lambda ch, i: F.concat(ch, (i - F.array_position(chars, ch) + 1).cast("string")))
+    return bind(
+        chars, lambda cs: F.transform(cs, lambda ch, i: F.concat(ch, (i - F.array_position(cs, ch) + 1).cast("string")))
+    )
 
 
 def _letter_keys(headers: DataFrame, is_template: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import bind
 from .probe import UTF8, decode_text, probe_files
 
 # Wrapper keys looked for in a JSON object, in this order.
@@ -99,15 +100,18 @@ def documents_to_table(documents: DataFrame, column: str) -> DataFrame:
 
 def _columnar_records(members: Column) -> Column:
     """One object per position of lists of equal length; ragged lists fail the job."""
-    lists = F.transform_values(members, lambda _, x: x.cast("array<variant>"))
-    sizes = F.array_distinct(F.transform(F.map_values(lists), lambda a: F.size(a)))
-    n = F.element_at(sizes, 1)
-    ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("array<variant>")
-    positions = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    objects = F.transform(
-        positions, lambda i: F.parse_json(F.to_json(F.transform_values(lists, lambda _, a: F.get(a, i))))
-    )
-    return F.when(F.size(sizes) > 1, ragged).otherwise(objects)
+
+    def records(lists: Column) -> Column:
+        sizes = F.transform(F.map_values(lists), lambda a: F.size(a))
+        longest = F.array_max(sizes)
+        ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("array<variant>")
+        positions = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+        objects = F.transform(
+            positions, lambda i: F.parse_json(F.to_json(F.transform_values(lists, lambda _, a: F.get(a, i))))
+        )
+        return F.when(F.array_min(sizes) != longest, ragged).otherwise(objects)
+
+    return bind(F.transform_values(members, lambda _, x: x.cast("array<variant>")), records)
 
 
 def arrays_to_table(documents: DataFrame, column: str) -> DataFrame:
