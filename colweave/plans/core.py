@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,3 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def struct(columns: dict[str, str]) -> T.StructType:
+    """A schema from type names; unlike parsing DDL it needs no session."""
+    out = T.StructType()
+    for name, kind in columns.items():
+        out.add(name, kind)
+    return out

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import registry as R
 from ..operators.catalog import schema_fingerprints
@@ -11,7 +10,7 @@ from ..scratch import fresh_dir
 from ..streaming.apply import map_stream, write_mapped_stream
 from . import inputs as I
 from . import sql_text as Q
-from .core import query, table
+from .core import query, struct, table
 from .match_queries import _LINE_CTE, _line_mapping
 
 _TYPE_SQL = "CASE WHEN raw_col IS NOT NULL AND confidence >= 0.8 THEN 'automatic' ELSE 'manual' END"
@@ -125,7 +124,7 @@ def mapping_summary(spark, sf_dir):
     return text.withColumn("summary", plain)
 
 
-_TEMPLATE = T.StructType.fromDDL("id bigint, label string, nation int, balance double, segment string")
+_TEMPLATE = struct({"id": "long", "label": "string", "nation": "integer", "balance": "double", "segment": "string"})
 
 
 def _feeds(spark, sf_dir):
@@ -163,7 +162,7 @@ def registry_apply(spark, sf_dir):
 """)
 def stream_apply(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    template = T.StructType.fromDDL("id bigint, at timestamp_ntz, kind string, amount double, note string")
+    template = struct({"id": "long", "at": "timestamp_ntz", "kind": "string", "amount": "double", "note": "string"})
     mapping = {"id": "event_id", "at": "ts", "kind": "event_type", "amount": "amount_text", "note": None}
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     messy = stream.withColumn("amount_text", F.concat(F.lit("$ "), F.col("value").cast("string")))

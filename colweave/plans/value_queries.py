@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..operators import transform as X
@@ -11,7 +10,7 @@ from ..operators.assignment import match_headers
 from ..operators.mapping import mapping_dict
 from . import inputs as I
 from . import sql_text as Q
-from .core import query, table
+from .core import query, struct, table
 
 
 def _messy(column: str, sql: str, fn, out: str = "value"):
@@ -59,7 +58,7 @@ def map_supplier_to_customer(spark, sf_dir):
     return X.apply_mapping(raw, mapping, template)
 
 
-_ORDER_TEMPLATE = T.StructType.fromDDL("order_id bigint, amount double, placed timestamp_ntz, contact string, remark string, region string")
+_ORDER_TEMPLATE = struct({"order_id": "long", "amount": "double", "placed": "timestamp_ntz", "contact": "string", "remark": "string", "region": "string"})
 _ORDER_MAPPING = {
     "order_id": ("o_orderkey", 1.0), "amount": ["amount_text", 0.9], "placed": "date_text", "contact": ("contact_text", 0.7),
     "remark": ("note_text", 0.6), "region": (None, 0.0),
@@ -79,15 +78,13 @@ def null_fill(spark, sf_dir):
     SELECT c_mktsegment AS segment, c_custkey AS id, {Q.clean_text('c_name')} AS "full.name" FROM customer
 """)
 def project_rename(spark, sf_dir):
-    template = T.StructType.fromDDL("segment string, id bigint, `full.name` string")
+    template = struct({"segment": "string", "id": "long", "full.name": "string"})
     return X.apply_mapping(
         table(spark, sf_dir, "customer"), {"segment": "c_mktsegment", "id": "c_custkey", "full.name": "c_name"}, template
     )
 
 
-_LINE_TEMPLATE = T.StructType.fromDDL(
-    "order_no bigint, line_no int, qty double, price double, discount double, shipped timestamp_ntz, flag string, note string"
-)
+_LINE_TEMPLATE = struct({"order_no": "long", "line_no": "integer", "qty": "double", "price": "double", "discount": "double", "shipped": "timestamp_ntz", "flag": "string", "note": "string"})
 _LINE_MAPPING = {
     "order_no": ("l_orderkey", 0.9), "line_no": ("l_linenumber", 0.9), "qty": ("l_quantity", 0.92), "price": ("price_text", 0.9),
     "discount": ("discount_text", 0.9), "shipped": ("ship_text", 0.9), "flag": ("l_returnflag", 0.8), "note": (None, 0.0),

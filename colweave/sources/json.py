@@ -57,8 +57,8 @@ def _as_ddl(variant_schema: str) -> str:
 
 def _typed(records: DataFrame) -> DataFrame:
     """Variant records, column ``r``, as a struct of their merged schema, flattened."""
-    found = records.agg(F.schema_of_variant_agg("r").alias("s")).first()["s"]
-    if found is None:
+    n, found = records.agg(F.count("*"), F.schema_of_variant_agg("r")).first()
+    if n == 0:
         return records.sparkSession.createDataFrame([], T.StructType([]))
     if not found.startswith("OBJECT<"):
         raise ValueError(f"records are not JSON objects: {found}")
@@ -120,10 +120,11 @@ def arrays_to_table(documents: DataFrame, column: str) -> DataFrame:
     docs = documents.where(text != "").select(F.parse_json(text).cast("array<variant>").alias("a"))
     items = docs.select(F.explode("a").alias("r"))
     shape = items.agg(
+        F.count("*").alias("n"),
         F.schema_of_variant_agg("r").alias("s"),
         F.max(F.when(_is_array(F.col("r")), F.size(F.col("r").cast("array<variant>")))).alias("width"),
     ).first()
-    if shape["s"] is None:
+    if shape["n"] == 0:
         return documents.sparkSession.createDataFrame([], T.StructType([]))
     if shape["width"] is None:
         return items.select(F.col("r").cast(_as_ddl(shape["s"])).alias("0"))
