@@ -30,47 +30,34 @@ def profile_patterns_full(df: DataFrame, formats: Sequence[str] = DATE_FORMATS)
     """Pattern per column from every value, in one scan.
 
     Returns ``(ordinal, column_name, n_values, n_email, n_phone, n_numeric, n_date, pattern)``; missing-value
-    words do not count as values. Only a row of counts is shuffled.
+    words do not count as values. Cells are tested as rows of one long table, so the generated code
+    does not grow with the columns; only a row of counts per column and task is shuffled.
     """
     inner, names, types = positional(df)
-    cleaned = inner.select(
-        *[(clean_text(F.col(c)) if isinstance(t, T.StringType) else F.col(c)).alias(c) for c, t in zip(inner.columns, types)]
+    cells = []
+    for i, (c, t) in enumerate(zip(inner.columns, types)):
+        is_text = isinstance(t, T.StringType)
+        text = F.col(c) if is_text else F.lit(None).cast("string")
+        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("v"), F.lit(False) if is_text else F.col(c).isNotNull()))
+    long = inner.select(F.inline(F.array(*cells)).alias("ordinal", "v", "typed"))
+    v = F.col("v")
+    counts = long.select("ordinal", clean_text(v).alias("v"), "typed").groupBy("ordinal").agg(
+        F.count_if(v.isNotNull() | F.col("typed")).alias("n"),
+        F.count_if(is_email(v)).alias("email"),
+        F.count_if(is_phone(v)).alias("phone"),
+        F.count_if(is_number_text(v)).alias("numeric"),
+        F.count_if(is_date_text(v, formats)).alias("date"),
+    )
+    columns = df.sparkSession.createDataFrame(
+        [(i, name, _typed_pattern(t)) for i, (name, t) in enumerate(zip(names, types))], "ordinal int, column_name string, kind string"
+    )
+    n, kind, zero = F.coalesce("n", F.lit(0).cast("long")), F.col("kind"), F.lit(0).cast("long")
+    tags = ("email", "phone", "numeric", "date")
+    hits = {tag: F.when(kind == tag, n).when(kind.isNotNull(), zero).otherwise(F.coalesce(tag, zero)) for tag in tags}
+    pattern = F.when(n == 0, "empty").when(kind.isNotNull(), kind).otherwise(pattern_of(n, *hits.values()))
+    return columns.join(counts, "ordinal", "left").select(
+        "ordinal", "column_name", n.alias("n_values"), *[h.alias(f"n_{tag}") for tag, h in hits.items()], pattern.alias("pattern")
     )
-    aggs = []
-    for c, t in zip(inner.columns, types):
-        v = F.col(c)
-        aggs.append(F.count(v).alias(f"{c}_n"))
-        if isinstance(t, T.StringType):
-            aggs += [
-                F.count_if(is_email(v)).alias(f"{c}_email"),
-                F.count_if(is_phone(v)).alias(f"{c}_phone"),
-                F.count_if(is_number_text(v)).alias(f"{c}_numeric"),
-                F.count_if(is_date_text(v, formats)).alias(f"{c}_date"),
-            ]
-    one = cleaned.agg(*aggs)
-    rows = []
-    for i, (c, name, t) in enumerate(zip(inner.columns, names, types)):
-        kind = _typed_pattern(t)
-        n = F.col(f"{c}_n")
-        zero = F.lit(0).cast("long")
-
-        def hits(tag: str, kind=kind, c=c, n=n, zero=zero) -> Column:
-            if kind is None:
-                return F.col(f"{c}_{tag}")
-            return n if kind == tag else zero
-
-        counts = {f"n_{tag}": hits(tag) for tag in ("email", "phone", "numeric", "date")}
-        if kind is None:
-            pattern = pattern_of(n, *counts.values())
-        else:
-            pattern = F.when(n == 0, "empty").otherwise(kind)
-        rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"), n.alias("n_values"),
-                *[v.alias(k) for k, v in counts.items()], pattern.alias("pattern"),
-            )
-        )
-    return one.select(F.inline(F.array(*rows)))
 
 
 def _long_values(df: DataFrame, order_by: Sequence[str], clean: bool) -> DataFrame:
@@ -129,14 +116,19 @@ def profile_patterns(
     return joined.select("ordinal", "column_name", found.alias("pattern"))
 
 
+def _sum_tree(terms: list[Column]) -> Column:
+    """Sum of many columns as a balanced tree; a chain of thousands is too deep for the optimizer."""
+    while len(terms) > 1:
+        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+    return terms[0] if terms else F.lit(0).cast("long")
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Rows, columns, null cells and the share of filled cells, in one scan."""
     inner, names, _ = positional(df)
-    nulls = [F.count_if(F.col(c).isNull()) for c in inner.columns]
-    total = nulls[0] if nulls else F.lit(0).cast("long")
-    for x in nulls[1:]:
-        total = total + x
-    one = inner.agg(F.count("*").alias("total_rows"), total.alias("null_cells"))
+    in_row = _sum_tree([F.col(c).isNull().cast("long") for c in inner.columns])
+    null_cells = F.coalesce(F.sum(in_row), F.lit(0)).cast("long")
+    one = inner.agg(F.count("*").alias("total_rows"), null_cells.alias("null_cells"))
     cells = F.col("total_rows") * len(names)
     return one.select(
         "total_rows", F.lit(len(names)).cast("long").alias("total_columns"), "null_cells",
