@@ -73,18 +73,24 @@ def to_number(c: Column, decimal_comma: bool = False, accounting: bool = False)
     return _number(strip_currency(text))
 
 
-def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def _by_format(text: Column, fmt: str) -> Column:
+    parsed = F.try_to_timestamp(text, F.lit(fmt))
+    if "H" not in fmt and "h" not in fmt:
+        parsed = parsed.cast("date")
+    return parsed.cast("timestamp_ntz")
+
+
+def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS, trimmed: bool = False) -> Column:
     """ISO date or date-time, else the first of ``formats`` that fits; else null. No time zone."""
-    text = trim_text(c)
-    # The default forms all look alike, so one cheap test spares the formatters most values.
-    named = F.when(text.rlike(_NAMED_MONTH), text) if tuple(formats) == DATE_FORMATS else text
-    forms = [F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))]
-    for fmt in formats:
-        parsed = F.try_to_timestamp(named, F.lit(fmt))
-        if "H" not in fmt and "h" not in fmt:
-            parsed = parsed.cast("date")
-        forms.append(parsed.cast("timestamp_ntz"))
-    return F.coalesce(*forms)
+    text = c if trimmed else trim_text(c)
+    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
+    if not formats:
+        return iso
+    other = F.coalesce(*[_by_format(text, fmt) for fmt in formats])
+    if tuple(formats) == DATE_FORMATS:
+        # These forms all look alike, so one cheap test spares most values the formatters.
+        other = F.when(text.rlike(_NAMED_MONTH), other)
+    return F.coalesce(iso, other)
 
 
 def is_email(c: Column) -> Column:
@@ -99,8 +105,8 @@ def is_number_text(c: Column) -> Column:
     return to_number(c).isNotNull()
 
 
-def is_date_text(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    return parse_date(c, formats).isNotNull()
+def is_date_text(c: Column, formats: Sequence[str] = DATE_FORMATS, trimmed: bool = False) -> Column:
+    return parse_date(c, formats, trimmed).isNotNull()
 
 
 def pattern_of(n: Column, n_email: Column, n_phone: Column, n_number: Column, n_date: Column) -> Column:

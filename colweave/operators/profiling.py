@@ -46,7 +46,7 @@ def profile_patterns_full(df: DataFrame, formats: Sequence[str] = DATE_FORMATS)
         F.count_if(is_email(v)).alias("email"),
         F.count_if(is_phone(v)).alias("phone"),
         F.count_if(is_number_text(v)).alias("numeric"),
-        F.count_if(is_date_text(v, formats)).alias("date"),
+        F.count_if(is_date_text(v, formats, trimmed=True)).alias("date"),
     )
     columns = df.sparkSession.createDataFrame(
         [(i, name, _typed_pattern(t)) for i, (name, t) in enumerate(zip(names, types))], "ordinal int, column_name string, kind string"
@@ -102,7 +102,7 @@ def profile_patterns(
         F.count_if(is_email(v)).alias("e"),
         F.count_if(is_phone(v)).alias("p"),
         F.count_if(is_number_text(v)).alias("m"),
-        F.count_if(is_date_text(v, formats)).alias("d"),
+        F.count_if(is_date_text(v, formats, trimmed=True)).alias("d"),
     )
     columns = df.sparkSession.createDataFrame(
         list(zip(range(len(names)), names, kinds)), "ordinal int, column_name string, kind string"
