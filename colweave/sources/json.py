@@ -36,16 +36,16 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema.fields, []))
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+def _is_object(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def _is_array(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _starts_with_object(v: Column) -> Column:
-    return F.coalesce(_is_object(F.try_variant_get(v, "$[0]", "variant")), F.lit(False))
+    return _is_object(v, "$[0]")
 
 
 def _as_ddl(variant_schema: str) -> str:
