@@ -1,24 +1,48 @@
-"""A fresh folder every executor can reach."""
+"""Fresh folders that every executor can reach, and their removal."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import SparkSession
 
+_roots: dict[str, SparkSession] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="colweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    """This application's folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+
+    Both are shared on a cluster. The folder is removed when the process ends, or by ``clear``.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/colweave-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots[root] = spark
+        if len(_roots) == 1:
+            atexit.register(_clear_all)
+    return root
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all folders of this application; results not yet written that read them are lost."""
+    root = shared_root(spark)
+    remove_dir(spark, root)
+    _roots.pop(root, None)
+
+
+def _clear_all() -> None:
+    for root, spark in list(_roots.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove_dir(spark, root)
