@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Every sentence is a chain of words tagged toxic or not. A word's features are its lower-cased form and its prefixes of 3 to 6
-characters, hashed into ``BUCKETS`` weights; neighbouring tags meet in a 2x2 table. Sentences end at full stops,
-exclamation and question marks and line ends, so chains are short and those of a batch are run side by side in numpy.
+bytes, hashed into ``BUCKETS`` weights; neighbouring tags meet in a 2x2 table. Sentences end at words followed by a full stop,
+exclamation or question mark, so chains are short and those of a batch are run side by side in numpy.
 
-Documents carry labels, words do not. Word labels for training come from the documents': a feature found in enough toxic
-documents and (nearly) none of the others marks its word as toxic, in toxic documents only. The field is trained on the marked
+Documents carry labels, words do not. Word labels for training come from the documents': of the features found in toxic
+documents and (nearly) none of the others, those are chosen that explain the toxic documents, and mark their words as toxic. The field is trained on the marked
 sentences and a sample of unmarked ones by gradient steps; each step is a Spark job over the sample that sends one gradient
 per task. Forward-backward marginals then give a probability per word. A document's score is a logistic function of its largest
 marginal and the sum of its marginals of 0.5 and more; those words' places are the offending offsets.
@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,37 @@ from .common import by_bytes, list_array, raw_texts, text_of, unit_hash, written
 BUCKETS = 1 << 16
 _PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_FLAT = bytes(c + 32 if 65 <= c <= 90 else c if _WORD.match(bytes([c])) else 10 if chr(c) in ".!?\n\r" else 32 for c in range(256))
-_REMEMBERED = 250_000
+#: A-Z to lower case, sentence ends to full stops, all other bytes outside words to blanks.
+_FLAT = bytes(c + 32 if 65 <= c <= 90 else c if _WORD.match(bytes([c])) else 46 if chr(c) in ".!?" else 32 for c in range(256))
+_REMEMBERED = 400_000
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The text between blanks, in lower case; full stops inside a piece part words and end sentences."""
+    return text.translate(_FLAT).split()
 
 
 def sentences(text: bytes) -> list[list[bytes]]:
-    return [w for w in map(bytes.split, text.translate(_FLAT).split(b"\n")) if w]
+    out, own = [], []
+    for piece in pieces(text):
+        for i, word in enumerate(piece.split(b".")):
+            if i and own:
+                out.append(own)
+                own = []
+            if word:
+                own.append(word)
+    return [*out, own] if own else out
 
 
 def features(word: bytes) -> list[int]:
-    """Buckets of the word and of its prefixes; characters beyond ASCII count as one."""
-    found = [zlib.crc32(b"=" + word) % BUCKETS]
-    if len(word) >= _PREFIXES[0]:
-        text = word.decode("utf-8", "replace")
-        found += [zlib.crc32(b"^" + text[:n].encode()) % BUCKETS for n in _PREFIXES if len(text) >= n]
+    """Buckets of the word and of its prefixes, counted in bytes."""
+    found = [zlib.crc32(word, 1) % BUCKETS]
+    so_far = 0
+    for low, high in zip((0, *_PREFIXES), _PREFIXES, strict=False):
+        if len(word) < high:
+            break
+        so_far = zlib.crc32(word[low:high], so_far)
+        found.append(so_far % BUCKETS)
     return found
 
 
@@ -85,27 +103,42 @@ def _odds_to_p(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+_ENDS = 1e6
+
+
 class Tagger:
-    """Scores words, remembering those seen; at most ``_REMEMBERED`` of them."""
+    """Scores words, remembering pieces seen; at most about ``_REMEMBERED`` of them."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def emissions(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known, new = {}, set(words)
-        weights, offset = self.model.weights, self.model.offset
-        for w in new:
-            self.known[w] = offset + float(weights[features(w)].sum())
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
+        self.model, self.known, self.weights = model, {}, model.weights.tolist()
+
+    def _learn(self, new: set[bytes]) -> None:
+        """The emissions of each piece's words; the last of a sentence is marked by adding ``_ENDS``."""
+        weights, offset = self.weights, self.model.offset
+        for piece in new:
+            words = piece.split(b".")
+            scores = []
+            for i, w in enumerate(words):
+                if w:
+                    scores.append(offset + sum([weights[f] for f in features(w)]) + (_ENDS if i + 1 < len(words) else 0))
+            self.known[piece] = tuple(scores)
 
     def marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The probability of every word of the texts, laid end to end, and the number of words of each text."""
-        split = [sentences(t) for t in texts]
-        lengths = np.array([len(s) for text in split for s in text], dtype=np.int64)
-        counts = np.array([sum(map(len, text)) for text in split], dtype=np.int64)
-        emission = self.emissions([w for text in split for s in text for w in s])
+        split = [pieces(t) for t in texts]
+        wanted = set().union(*split)
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > _REMEMBERED:
+            self.known, new = {}, wanted
+        self._learn(new)
+        find = self.known.__getitem__
+        scores = [list(chain.from_iterable(map(find, own))) for own in split]
+        counts = np.array([len(x) for x in scores], dtype=np.int64)
+        emission = np.fromiter(chain.from_iterable(scores), dtype=np.float64, count=int(counts.sum()))
+        last = emission > _ENDS / 2
+        emission[last] -= _ENDS
+        last[np.cumsum(counts)[counts > 0] - 1] = True
+        lengths = np.diff(np.flatnonzero(last), prepend=-1)
         ahead, behind = chains(emission, lengths, self.model.pairs)
         return _odds_to_p(ahead + behind), counts
 
@@ -165,11 +198,11 @@ def _gradient(batches: Iterator[pa.RecordBatch], state) -> Iterator[pa.RecordBat
     """The gradient of the log-likelihood over a task's sentences: weights, offset and pairs in one row."""
     model, out, n_words = state.value, np.zeros(BUCKETS + 5), 0
     for batch in batches:
-        for row in batch.to_pylist():
-            sizes, lengths = np.array(row["sizes"], dtype=np.int64), np.array(row["lengths"], dtype=np.int64)
+        for i in range(batch.num_rows):
+            found, sizes, lengths, labels = (batch.column(n)[i].values.to_numpy() for n in ("features", "sizes", "lengths", "labels"))
             if not len(sizes):
                 continue
-            found, labels = np.array(row["features"], dtype=np.int64), np.array(row["labels"], dtype=np.float64)
+            sizes, lengths, labels = sizes.astype(np.int64), lengths.astype(np.int64), labels.astype(np.float64)
             emission = model.offset + np.add.reduceat(model.weights[found], np.cumsum(sizes) - sizes)
             ahead, behind = chains(emission, lengths, model.pairs)
             miss = labels - _odds_to_p(ahead + behind)
@@ -188,6 +221,42 @@ def _gradient(batches: Iterator[pa.RecordBatch], state) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_pydict({"g": pa.array([out.tobytes()], type=pa.binary()), "n": pa.array([n_words], type=pa.int64())})
 
 
+def _present(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """Per document, which of the given features occur."""
+    for batch in batches:
+        found = [sorted({f for s in sentences(t) for w in s for f in features(w)} & held.value) for t in raw_texts(batch.column("text"))]
+        yield pa.RecordBatch.from_pydict({"found": pa.array(found, type=pa.list_(pa.int32()))})
+
+
+def _cover(toxic: DataFrame, likely: set[int], least: int, times: int = 2) -> set[int]:
+    """The features that explain the toxic documents of the sample: greedily, that of most documents not yet explained ``times`` over.
+
+    Words that merely come along, as in copies of one toxic document, explain nothing that is not explained before.
+    """
+    held = toxic.sparkSession.sparkContext.broadcast(likely)
+    found = toxic.mapInArrow(lambda batches: _present(batches, held), "found array<int>").toArrow().column("found").to_pylist()
+    documents: dict[int, list[int]] = {}
+    for i, present in enumerate(found):
+        for f in present:
+            documents.setdefault(f, []).append(i)
+    open_, marks = np.full(len(found), times), set()
+    gain = {f: len(x) for f, x in documents.items()}
+    while gain:
+        best = max(gain, key=lambda f: (gain[f], -f))
+        now = int((open_[documents[best]] > 0).sum())
+        if now < gain[best]:  # gains only shrink: look again before taking it
+            gain[best] = now
+            if now < least:
+                del gain[best]
+            continue
+        if now < least:
+            break
+        marks.add(best)
+        open_[documents[best]] -= 1
+        del gain[best]
+    return marks
+
+
 def _train_field(sequences: DataFrame, steps: int, rate: float) -> Model:
     """Adagrad steps over all sequences; each job sends a gradient of fixed size from each of the sample's few partitions."""
     spark = sequences.sparkSession
@@ -221,7 +290,7 @@ def _fit_document(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def _summarise(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(held.value)
-    for batch in by_bytes(batches, most=1 << 20):
+    for batch in by_bytes(batches, most=4 << 20):
         top, total = summaries(*tagger.marginals(raw_texts(batch.column("text"))))
         yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "top": pa.array(top), "total": pa.array(total)})
 
@@ -248,10 +317,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, steps: int =
         return nothing
     odds = F.log(((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1)))
     least = max(3, n[1] // 250)
-    marks = {r[0] for r in counted.where((F.col("toxic") >= least) & (odds > 2.5) & (F.col("clean") <= F.col("toxic") * 0.05)).select("feature").collect()}
+    likely = counted.where((F.col("toxic") >= least) & (odds > 2.5) & (F.col("clean") <= F.col("toxic") * 0.05))
+    marks = _cover(sample.where("toxic = 1"), {r.feature for r in likely.select("feature").collect()}, least)
     held = spark.sparkContext.broadcast(marks)
-    total_words = max(1, n[0] + n[1])
-    plain_share = min(1.0, 30.0 * 2 * per_class / (total_words * 60))
+    about = sample.agg(F.sum(F.octet_length("text")) / 60).first()[0] or 1.0  # sentences in the sample
+    plain_share = min(1.0, 40.0 * per_class / about)
     sequences = written(
         sample.mapInArrow(
             lambda batches: _sequences(batches, held, plain_share), "features array<int>, sizes array<int>, lengths array<int>, labels array<byte>"
@@ -279,7 +349,7 @@ def _spans(text: bytes, p: np.ndarray) -> list[tuple[int, int]]:
 
 def _score(batches: Iterator[pa.RecordBatch], held, spans: bool) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(held.value)
-    for batch in by_bytes(batches, most=1 << 20):
+    for batch in by_bytes(batches, most=4 << 20):
         texts = raw_texts(batch.column("text"))
         p, counts = tagger.marginals(texts)
         columns = {"row": batch.column("row"), "score": pa.array(document_score(tagger.model, *summaries(p, counts)))}
