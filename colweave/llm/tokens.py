@@ -12,6 +12,8 @@ the struct ``meta``, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,61 +30,90 @@ from .common import by_bytes, list_array, raw_texts, text_of
 #: Ids of one shard and the part of its rows are found by these files of the output folder.
 DATA, SHARDS = "data", "shards"
 
-_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
-_encoders: dict[int, WordEncoder] = {}
+_encoders: dict[int, Encoder] = {}
 
+# The parts of a tokenizer file under which the short way of ``Encoder`` holds.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-class WordEncoder:
-    """Encodes with the tokenizers library, remembering the ids of words between blanks.
+_LETTERS = bytes([*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F)]) + _LETTERS
+_LOWER = bytes(32 if c in (9, 10, 13) else c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_PRETOKEN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ 0-9a-z\xdf-\xf6\xf8-\xff]+")
+#: Byte-level vocabularies write visible bytes as themselves and the others, in order, as the characters from 256.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES_AS_TEXT = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in _VISIBLE)}
 
-    Valid for tokenizers whose pre-tokenizer never joins characters across white space and whose normaliser only composes,
-    lower-cases and squeezes white space; then a text's ids are those of its words in order. ``lower`` says that ASCII may
-    be lower-cased before the look-up. At most ``limit`` words are remembered.
+
+class Encoder:
+    """Encodes with the tokenizers library, remembering the ids of pre-tokens.
+
+    For tokenizers of the fixed kind above, a text of printable ASCII and Latin-1 letters is cut into pre-tokens here and each
+    distinct one is put to the library's model once. Every other text, and every text for other tokenizers, goes to
+    the library whole. Pre-tokens are kept in two generations of ``limit``; the older goes when the younger is full.
     """
 
-    def __init__(self, spec: str, lower: bool, limit: int = 250_000):
+    def __init__(self, spec: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lower, self.limit = Tokenizer.from_str(spec), lower, limit
-        self.known: dict[bytes, tuple[int, ...]] = {b"": ()}
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known = {b"": ()}
-        stems = {w[:-1] if self._ends_plainly(w) else w for w in words}
-        marks = {w[-1:] for w in words if self._ends_plainly(w)}
-        new = [w for w in stems | marks if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, tuple(x.ids)) for w, x in zip(new, found, strict=True))
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
-
-    @staticmethod
-    def _ends_plainly(word: bytes) -> bool:
-        """A full stop or comma after an ASCII letter is always a token of its own."""
-        return len(word) > 1 and word[-1] in b".," and (word[-2:-1].isalpha() and word[-2] < 128)
+        parts = json.loads(spec)
+        self.tokenizer, self.limit = Tokenizer.from_str(spec), limit
+        cut = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.short_way = (
+            parts.get("normalizer") == _NORMALIZER and parts["model"]["type"] == "BPE" and len(cut) == 2
+            and cut[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+            and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+            and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts["added_tokens"])
+        )
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.ints = list(range(self.tokenizer.get_vocab_size()))
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young = self.young, {}
+        model, ints, old = self.tokenizer.model, self.ints, self.old
+        for w in new:
+            ids = old.get(w)
+            if ids is None:
+                text = w.decode("latin-1")
+                if not w.isascii():
+                    text = text.encode().decode("latin-1").translate(_BYTES_AS_TEXT)
+                ids = tuple([ints[t.id] for t in model.tokenize(text)])
+            self.young[w] = ids
+
+    def _pretokens(self, text: bytes) -> list[bytes] | None:
+        """The text cut up, None where it must go to the library whole."""
+        if not self.short_way or b"<|" in text:
+            return None
+        if not text.isascii():
+            try:
+                text = text.decode().encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return None if text.translate(None, _PLAIN) else _PRETOKEN.findall(text.translate(_LOWER))
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
-        split = []
-        for text in texts:
-            flat = text.translate(_BLANKS)
-            split.append((flat.lower() if self.lower and b"<|" not in flat else flat).split(b" "))
-        wanted = set().union(*split)
-        missing = wanted.difference(self.known)
-        if missing:
-            self._learn(missing)
-            if not wanted <= self.known.keys():  # the memory was emptied meanwhile
-                self._learn(wanted - self.known.keys())
-        find = self.known.__getitem__
-        return [list(chain.from_iterable(map(find, words))) for words in split]
-
-
-def _encode(batches: Iterator[pa.RecordBatch], spec, lower: bool, end_id: int | None, keep: bool) -> Iterator[pa.RecordBatch]:
+        split = [self._pretokens(t) for t in texts]
+        wanted = set().union(*(x for x in split if x is not None))
+        new = wanted.difference(self.young)
+        if new:
+            self._learn(new)
+            if not wanted <= self.young.keys():  # a new generation began
+                self._learn(wanted.difference(self.young))
+        whole = iter(self.tokenizer.encode_batch_fast([t.decode() for t, x in zip(texts, split, strict=True) if x is None], add_special_tokens=False))
+        find = self.young.__getitem__
+        return [list(next(whole).ids) if x is None else list(chain.from_iterable(map(find, x))) for x in split]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], spec, end_id: int | None, keep: bool) -> Iterator[pa.RecordBatch]:
     key = hash(spec.value)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = WordEncoder(spec.value, lower)
+        _encoders[key] = Encoder(spec.value)
     encoder, shard, start = _encoders[key], TaskContext.get().partitionId(), 0
     end = [] if end_id is None else [end_id]
     for batch in by_bytes(batches, most=1 << 20):
@@ -101,7 +132,7 @@ def _encode(batches: Iterator[pa.RecordBatch], spec, lower: bool, end_id: int |
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = None, keep: tuple[str, ...] = (), lower: bool = True,
+    docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = None, keep: tuple[str, ...] = (),
     encoding: str = "delta", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000,
 ) -> None:
     """Encode ``text`` of every row and write the ids below ``path``; see the module's text.
@@ -122,7 +153,7 @@ def write_tokens(
     schema = f"doc_id {id_type}, shard int, shard_start long, n_tokens long, ids array<int>"
     if keep:
         schema += f", meta {ranged.schema['meta'].dataType.simpleString()}"
-    encoded = ranged.mapInArrow(lambda batches: _encode(batches, spec, lower, end_id, bool(keep)), schema)
+    encoded = ranged.mapInArrow(lambda batches: _encode(batches, spec, end_id, bool(keep)), schema)
     encoded.write.options(
         **{
             "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes,
