@@ -27,7 +27,7 @@ from .common import by_bytes, raw_texts, text_of, written
 
 WINDOW = 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"  # the same words before lower-casing
+_RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # the same words before lower-casing
 #: A-Z to lower case, all other bytes outside words to blanks.
 _FLAT = bytes(c + 32 if 65 <= c <= 90 else c if _WORD.match(bytes([c])) else 32 for c in range(256))
 
@@ -247,18 +247,22 @@ def hit_words() -> Column:
     return F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def cut_text(text: Column, starts: Column, ends: Column) -> Column:
+def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     """The text without the hit ranges of words and what stands inside them; all around stays."""
-    gaps, own = F.split(text, _RAW_WORD, -1), F.regexp_extract_all(text, F.lit(_RAW_WORD), F.lit(0))
-    spans = F.arrays_zip(starts.alias("low"), ends.alias("high"))
-    kept = F.transform(
-        gaps,
-        lambda gap, i: F.concat(
-            F.when(F.exists(spans, lambda s: (s["low"] < i) & (i < s["high"])), "").otherwise(gap),
-            F.when(F.exists(spans, lambda s: (s["low"] <= i) & (i < s["high"])), "").otherwise(F.coalesce(F.get(own, i), F.lit(""))),
-        ),
-    )
-    return F.array_join(kept, "")
+    places = [m.span() for m in _RAW_WORD.finditer(text)]
+    out, at = [], 0
+    for low, high in zip(starts, ends, strict=True):
+        out.append(text[at:places[low][0]])
+        at = places[high - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cut text of rows with hits, null for the others, whose text is not sent."""
+    for batch in batches:
+        columns = (raw_texts(batch.column("text")), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())
+        cut = [cut_spans(t, s, e).decode() if s else None for t, s, e in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, type=pa.string())], names=["row", "cut"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
@@ -266,11 +270,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     exceed ``max_coverage`` of its words goes. Documents without a hit are passed on untouched."""
     found = contamination(docs, items, window, whole=True)
     kept = found.where(hit_words() <= F.col("n_words") * max_coverage)
-    hit = F.size("starts") > 0
-    kept = kept.withColumn("cut", F.when(hit, cut_text(F.col("row.text"), F.col("starts"), F.col("ends"))))
-    out = []
+    kind = found.schema["row"].dataType.simpleString()
+    sent = kept.select("row", F.when(F.size("starts") > 0, F.col("row.text")).alias("text"), "starts", "ends")
+    cut, out = sent.mapInArrow(_cut, f"row {kind}, cut string"), []
     for f in docs.schema.fields:
         own = F.col(f"row.`{f.name}`")
         new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(f.dataType)}.get(f.name)
-        out.append((own if new is None else F.when(hit, new).otherwise(own)).alias(f.name))
-    return kept.select(*out)
+        out.append((own if new is None else F.coalesce(new, own)).alias(f.name))
+    return cut.select(*out)

@@ -77,22 +77,22 @@ def _valid(kind: str, value: Column) -> Column:
 def _placed(kind: str, matches: Column, text: Column) -> Column:
     """Checked and scored spans from a kind's matches."""
     _, pattern, score, support, against = KINDS[kind]
-    gaps = F.split(text, pattern, -1)
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
-    # the running place and the spans so far, match by match
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(none, F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        value, gap = F.get(matches, i), F.get(gaps, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(value)
+    n, gaps = F.size(matches), F.split(text, pattern, -1)
+    # each match with the gaps around it, made once for a text
+    around = F.arrays_zip(matches.alias("value"), F.slice(gaps, F.lit(1), n).alias("gap"), F.slice(gaps, F.lit(2), n).alias("next"))
+    kind_of = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        start = acc["at"] + F.length(m["gap"])
+        end = start + F.length(m["value"])
         one = F.struct(
-            start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(40)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(20)).alias("after"),
+            start.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(m["gap"], F.lit(40)).alias("before"),
+            F.left(m["next"], F.lit(20)).alias("after"),
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda acc: acc["out"])
+    spans = F.aggregate(around, begin, step, lambda acc: acc["out"])
     near = lambda s, found: s["before"].rlike(rf"(?i)(?:{found})") | s["after"].rlike(rf"(?i)(?:{found})")
     points = lambda s: F.lit(score) + F.when(near(s, support), 0.3).otherwise(0.0) - F.when(near(s, against), 0.2).otherwise(0.0)
     scored = F.transform(
