@@ -22,13 +22,12 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
 _NAMED_MONTH = r"^([A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"
 _NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
-_EMAIL = r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
-_SEP = r"[-.\s]?"
-_PHONE = (
-    rf"^(\+?\d{{1,3}}{_SEP})?"  # country prefix
-    rf"(\(?\d{{2,4}}\)?{_SEP})?"  # area code
-    rf"\d{{3,4}}{_SEP}\d{{3,4}}$"
-)
+_EMAIL = r"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+
+#: What may part the groups of a phone number, all kinds of white space among it, and the form left once each is a blank.
+_PARTING = "-." + WHITE_SPACE
+_COUNTRY, _AREA, _LOCAL = "[+]?[0-9]{1,3}", "[(]?[0-9]{2,4}[)]?", "[0-9]{3,4}"
+_PHONE_SHAPE = f"^({_COUNTRY} ?)?({_AREA} ?)?{_LOCAL} ?{_LOCAL}$"
 
 
 def trim_text(c: Column) -> Column:
@@ -98,7 +97,8 @@ def is_email(c: Column) -> Column:
 
 
 def is_phone(c: Column) -> Column:
-    return F.coalesce(c.rlike(_PHONE), F.lit(False))
+    """Groups of digits: country (1-3, perhaps with a plus), area (2-4, perhaps in brackets), then twice 3-4."""
+    return F.coalesce(F.translate(c, _PARTING, " " * len(_PARTING)).rlike(_PHONE_SHAPE), F.lit(False))
 
 
 def is_number_text(c: Column) -> Column:

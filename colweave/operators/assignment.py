@@ -243,14 +243,14 @@ def catalog_edges(
 ) -> tuple[DataFrame, DataFrame]:
     """Positive edges of the requested pairs, per distinct pair of table shapes.
 
-    Returns ``(edges, shaped_requests)``. Tables with the same ordered headers share a shape,
+    Returns ``(edges, shaped_requests)``; a source without columns has a null shape and no edges. Tables with the same ordered headers share a shape,
     so thousands of alike feeds are scored and solved once.
     """
     t_shapes = shape_keys(templates, vocab, keep_unicode)
     r_shapes = shape_keys(sources, vocab, keep_unicode)
     shaped = requests.join(
         t_shapes.select(F.col("table_id").alias("template_id"), F.col("shape").alias("t_shape")), "template_id"
-    ).join(r_shapes.select(F.col("table_id").alias("source_id"), F.col("shape").alias("r_shape")), "source_id")
+    ).join(r_shapes.select(F.col("table_id").alias("source_id"), F.col("shape").alias("r_shape")), "source_id", "left")
 
     def columns(shapes: DataFrame, catalog: DataFrame, side: str, size: str) -> DataFrame:
         # One table stands for all of its shape.

@@ -213,12 +213,12 @@ def _audit_events(spark, sf_dir):
     return e.select(
         F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("ts"),
         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("user"),
-        F.concat(F.lit("Transformed data and exported as '"), "event_type", F.lit(".csv'")).alias("action"),
+        F.concat(F.lit("wrote '"), "event_type", F.lit(".csv'")).alias("action"),
     )
 
 
 _AUDIT_SQL = """
-    SELECT date_trunc('second', ts) AS ts, 'user ' || user_id AS "user", 'Transformed data and exported as ''' || event_type || '.csv''' AS action FROM events
+    SELECT date_trunc('second', ts) AS ts, 'user ' || user_id AS "user", 'wrote ''' || event_type || '.csv''' AS action FROM events
 """
 
 

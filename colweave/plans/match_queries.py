@@ -19,8 +19,7 @@ ASSIGN_CTES = f"""
            FROM ({I.TEMPLATE_CATALOG_SQL})),
     rc AS (SELECT table_id AS source_id, ordinal AS r_ord, column_name AS raw_col, {Q.norm('column_name')} AS r_norm
            FROM ({I.FEED_SQL})),
-    req AS (SELECT r.* FROM ({I.REQUEST_SQL}) r WHERE source_id IN (SELECT source_id FROM rc)
-            AND template_id IN (SELECT template_id FROM tc)),
+    req AS ({I.REQUEST_SQL}),
     {Q.score_ctes('''SELECT t_norm, r_norm FROM (SELECT DISTINCT t_norm FROM tc WHERE t_norm <> '')
                      CROSS JOIN (SELECT DISTINCT r_norm FROM rc WHERE r_norm <> '')''')},
     edges AS (

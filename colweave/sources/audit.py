@@ -37,8 +37,8 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 
 def upload_action(raw: str, template: str) -> str:
-    return f"Uploaded files '{raw}' and '{template}' for auto-mapping"
+    return f"matched {raw!r} with template {template!r}"
 
 
 def transform_action(output: str) -> str:
-    return f"Transformed data and exported as '{output}'"
+    return f"wrote {output!r}"

@@ -107,13 +107,14 @@ def cast_text(df: DataFrame, types: Sequence[T.DataType]) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str | list[str], sep: str | None = None, encoding: str | None = None,
     columns: Sequence[str] | None = None, infer_schema: bool = True, types: Sequence[T.DataType] | None = None,
-    tokens: Sequence[str] = CSV_NULL_TOKENS, multiline: bool = False,
+    tokens: Sequence[str] = CSV_NULL_TOKENS, multiline: bool = True,
 ) -> DataFrame:
     """CSV files with a header, typed from their values.
 
     Encoding and delimiter are found per file and files of one layout are read together; layouts
     are united by column name. Give ``sep``, ``encoding`` and ``columns`` to skip that scan, and
-    ``types`` or ``infer_schema=False`` to skip the one that finds types.
+    ``types`` or ``infer_schema=False`` to skip the one that finds types. Quoted cells may hold line breaks, so a
+    file is one task; ``multiline=False`` splits files, for feeds known to have none.
     """
     if sep is not None and encoding is not None and columns is not None:
         paths = [path] if isinstance(path, str) else path

@@ -185,7 +185,7 @@ def test_writers(spark, tmp_path):
 
 
 def test_audit(spark, tmp_path):
-    lines = ["2024-01-05 10:30:00,250 - USER: [someone new] - ACTION: Uploaded files 'a' and 'b' for auto-mapping", "noise", ""]
+    lines = ["2024-01-05 10:30:00,250 - USER: [someone new] - ACTION: matched 'a' with template 'b'", "noise", ""]
     put(tmp_path / "log.txt", "\n".join(lines))
     got = rows(audit.read_audit(spark, str(tmp_path / "log.txt")))
     assert got == [(dt.datetime(2024, 1, 5, 10, 30, 0, 250000), "someone new", audit.upload_action("a", "b"))]
@@ -193,4 +193,11 @@ def test_audit(spark, tmp_path):
     for _ in range(2):
         audit.append_audit(spark.createDataFrame(got, audit.AUDIT_DDL), table)
     assert rows(spark.read.parquet(table)) == got * 2
-    assert audit.transform_action("o.csv") == "Transformed data and exported as 'o.csv'"
+    assert audit.transform_action("o.csv") == "wrote 'o.csv'"
+
+
+def test_csv_quoted_line_break(spark, tmp_path):
+    from colweave.sources.csv import read_csv
+
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "a.csv")).collect())) == [(1, "two\nlines"), (2, "plain")]
