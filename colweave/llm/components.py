@@ -1,8 +1,8 @@
 """Connected components of a table of links, all work in joins and minima.
 
-Each round every node takes its smallest neighbour as parent if that is smaller, chains of parents are halved twice, and the
-links are rewritten to the parents and made distinct. Linked nodes meet at once or shrink the graph by half at least, so rounds
-grow with the logarithm of the longest path. Every round is written to the shared folder, which cuts the lineage and
+Each round every node takes its smallest neighbour as parent if that is smaller, parents are followed to the roots of the trees so
+made (paths halve with each step), and the links are rewritten to the roots and made distinct. A root is smaller than all its
+neighbours, so at most half of a component's nodes are left, and rounds grow with the logarithm of its size. Every round is written to the shared folder, which cuts the lineage and
 lets a lost executor be replaced. No list of neighbours is ever gathered; a hub only meets as the many-sided end of a join.
 """
 
@@ -22,10 +22,14 @@ def components(links: DataFrame) -> DataFrame:
         parents = written(
             edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")), "cc-parents"
         )
-        for _ in range(2):
+        moving = True
+        while moving:  # up to the root of each tree; the length of the path to it halves
             over = parents.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            parents = parents.join(over, "up").select("node", F.col("upper").alias("up"))
-        parents = written(parents, "cc-jumped")
+            parents = written(
+                parents.join(over, "up").select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")), "cc-jumped"
+            )
+            moving = parents.where("moved").limit(1).count() > 0
+            parents = parents.drop("moved")
         if roots is None:
             roots = parents.withColumnRenamed("up", "root")
         else:

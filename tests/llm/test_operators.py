@@ -103,7 +103,7 @@ def test_pii_against_plain_patterns(spark, docs, none):
     pick = random.Random(2)
     texts = ["".join(pick.choice("aB1234567890.@+- ()_%é") for _ in range(pick.randrange(80))) for _ in range(400)]
     texts += ["".join(pick.choice("0123 -") for _ in range(60)) for _ in range(400)]
-    texts += ["1" * 50_000, "1 " * 20_000, "a." * 20_000 + "@b.c", "+1" + "2 " * 5_000]
+    texts += ["1" * 3_000, "1 " * 3_000, "a." * 3_000 + "@b.c", "+1" + "2 " * 3_000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, r[1]) for i, r in enumerate(ROWS)]
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "spans").collect()
     by_id = {r.doc_id: r.spans for r in found}
