@@ -253,7 +253,7 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
-@pytest.mark.parametrize("node_size", [2048, 3])
+@pytest.mark.parametrize("node_size", [2048, 30])
 def test_simhash_links_and_components(spark, node_size):
     rng = random.Random(7)
     prints = [rng.getrandbits(64) for _ in range(60)]
