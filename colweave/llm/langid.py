@@ -78,7 +78,8 @@ def fit(labelled: DataFrame, per_language: int = 1500, alpha: float = 0.1) -> tu
     """
     spark = labelled.sparkSession
     totals = labelled.groupBy("lang").agg(F.count("*").alias("of"))
-    sample = labelled.join(totals, "lang").where(unit_hash("doc_id") * F.col("of") < per_language)
+    # a row per language, less than the matrix that all tasks get; texts are then not dealt by so few keys
+    sample = labelled.join(F.broadcast(totals), "lang").where(unit_hash("doc_id") * F.col("of") < per_language)
     counted = sample.select(F.col("lang").cast("string").alias("lang"), "text").repartition(8).mapInArrow(_count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
