@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..vocab import NULL_TOKENS
 
@@ -18,7 +19,9 @@ WHITE_SPACE = (
 # One form per entry; a value takes the first form that parses.
 DATE_FORMATS: tuple[str, ...] = ("MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
 
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+_DAY, _CLOCK = r"\d{4}-\d{1,2}-\d{1,2}", r"[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
+_ZONE = r"(?:Z|[+-](?:0\d|1[0-4])(?::?[0-5]\d)?)$"
+_ISO, _ISO_ZONED = f"^{_DAY}(?:{_CLOCK})?$", f"^{_DAY}{_CLOCK}{_ZONE}"
 _NAMED_MONTH = r"^([A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"
 _NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
@@ -30,6 +33,11 @@ _COUNTRY, _AREA, _LOCAL = "[+]?[0-9]{1,3}", "[(]?[0-9]{2,4}[)]?", "[0-9]{3,4}"
 _PHONE_SHAPE = f"^({_COUNTRY} ?)?({_AREA} ?)?{_LOCAL} ?{_LOCAL}$"
 
 
+def filled(c: Column, t: T.DataType) -> Column:
+    """The value, null where it is not a number: NaN is missing like null."""
+    return F.when(~F.isnan(c), c) if isinstance(t, (T.FloatType, T.DoubleType)) else c
+
+
 def trim_text(c: Column) -> Column:
     """Strip white space of every kind, not only blanks."""
     return F.btrim(c, F.lit(WHITE_SPACE))
@@ -79,10 +87,22 @@ def _by_format(text: Column, fmt: str) -> Column:
     return parsed.cast("timestamp_ntz")
 
 
+def _in_utc(text: Column) -> Column:
+    """ISO date-time with a zone suffix as the UTC time it names; null for other text. The session's zone plays no part."""
+    part = lambda i: F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})?$", i)
+    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
+    minutes = (60 * number(2) + number(3)) * F.when(part(1) == "-", -1).otherwise(1)
+    wall = F.regexp_replace(text, _ZONE, "").try_cast("timestamp_ntz")
+    return F.when(text.rlike(_ISO_ZONED), wall - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+
+
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS, trimmed: bool = False) -> Column:
-    """ISO date or date-time, else the first of ``formats`` that fits; else null. No time zone."""
+    """ISO date or date-time, else the first of ``formats`` that fits; else null.
+
+    A time with ``Z`` or an offset becomes UTC; one without is taken as it stands.
+    """
     text = c if trimmed else trim_text(c)
-    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
+    iso = F.coalesce(F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")), _in_utc(text))
     if not formats:
         return iso
     other = F.coalesce(*[_by_format(text, fmt) for fmt in formats])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.values import DATE_FORMATS, clean_text, is_date_text, is_email, is_number_text, is_phone, pattern_of
+from ..functions.values import DATE_FORMATS, clean_text, filled, is_date_text, is_email, is_number_text, is_phone, pattern_of
 from .transform import positional
 
 
@@ -38,7 +38,7 @@ def profile_patterns_full(df: DataFrame, formats: Sequence[str] = DATE_FORMATS)
     for i, (c, t) in enumerate(zip(inner.columns, types)):
         is_text = isinstance(t, T.StringType)
         text = F.col(c) if is_text else F.lit(None).cast("string")
-        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("v"), F.lit(False) if is_text else F.col(c).isNotNull()))
+        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("v"), F.lit(False) if is_text else filled(F.col(c), t).isNotNull()))
     long = inner.select(F.inline(F.array(*cells)).alias("ordinal", "v", "typed"))
     v = F.col("v")
     counts = long.select("ordinal", clean_text(v).alias("v"), "typed").groupBy("ordinal").agg(
@@ -72,7 +72,7 @@ def _long_values(df: DataFrame, order_by: Sequence[str], clean: bool) -> DataFra
         elif isinstance(t, (T.ArrayType, T.StructType, T.MapType)):
             v = F.to_json(c)
         else:
-            v = F.col(c).cast("string")
+            v = filled(F.col(c), t).cast("string")
         cells.append(F.struct(F.lit(i).alias("ordinal"), v.alias("v")))
     return inner.select(key, F.inline(F.array(*cells))).where("v is not null")
 
@@ -125,8 +125,8 @@ def _sum_tree(terms: list[Column]) -> Column:
 
 def completeness(df: DataFrame) -> DataFrame:
     """Rows, columns, null cells and the share of filled cells, in one scan."""
-    inner, names, _ = positional(df)
-    in_row = _sum_tree([F.col(c).isNull().cast("long") for c in inner.columns])
+    inner, names, types = positional(df)
+    in_row = _sum_tree([filled(F.col(c), t).isNull().cast("long") for c, t in zip(inner.columns, types)])
     null_cells = F.coalesce(F.sum(in_row), F.lit(0)).cast("long")
     one = inner.agg(F.count("*").alias("total_rows"), null_cells.alias("null_cells"))
     cells = F.col("total_rows") * len(names)
@@ -143,7 +143,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 def schema_profile(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
     """Type, null count and the first ``n`` values per column."""
     inner, names, types = positional(df)
-    nulls = inner.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in inner.columns])
+    nulls = inner.agg(*[F.count_if(filled(F.col(c), t).isNull()).alias(c) for c, t in zip(inner.columns, types)])
     base = nulls.select(
         F.inline(
             F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import trim_text
+from ..functions.values import filled, trim_text
 from .profiling import sample_rows
 from .transform import positional
 
@@ -20,8 +20,8 @@ _NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType, T.BinaryType)
 def _flat(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     """Inner frame, inner and outer names of the columns that hold plain values."""
     inner, names, types = positional(df)
-    keep = [(c, n) for c, n, t in zip(inner.columns, names, types) if not isinstance(t, _NESTED)]
-    return inner.select(*[c for c, _ in keep]), [c for c, _ in keep], [n for _, n in keep]
+    keep = [(c, n, t) for c, n, t in zip(inner.columns, names, types) if not isinstance(t, _NESTED)]
+    return inner.select(*[filled(F.col(c), t).alias(c) for c, _, t in keep]), [c for c, _, _ in keep], [n for _, n, _ in keep]
 
 
 def _approx_distinct(c: Column) -> Column:
@@ -44,21 +44,11 @@ def cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def _column_stats(df: DataFrame, approximate: bool) -> tuple[list[int], list[int]]:
-    """Columns that may pass the distinct limit, with their value counts, from one scan.
-
-    With ``approximate`` a column far over the limit (six standard errors) is left out here; the
-    exact limit is applied later to the rest.
-    """
+def _column_stats(df: DataFrame) -> tuple[list[int], list[int]]:
+    """Columns with any value, and their value counts, from one scan."""
     inner, cols, _ = _flat(df)
-    aggs = [F.count(c) for c in cols]
-    if approximate:
-        aggs += [_approx_distinct(F.col(c)) for c in cols]
-    row = inner.agg(*aggs).first()
-    keep = []
-    for i in range(len(cols)):
-        if row[i] > 0 and (not approximate or row[len(cols) + i] <= 1.05 * MAX_DISTINCT_SHARE * row[i]):
-            keep.append(i)
+    row = inner.agg(*[F.count(c) for c in cols]).first() if cols else ()
+    keep = [i for i, n in enumerate(row) if n > 0]
     return keep, [row[i] for i in keep]
 
 
@@ -70,7 +60,7 @@ def _has(i: int) -> Column:
     return F.col(f"m{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS)).cast("long")) != 0
 
 
-def shared_values(df: DataFrame, min_overlap: float = MIN_OVERLAP, prefilter: bool = True) -> DataFrame:
+def shared_values(df: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """Column pairs whose distinct values overlap by more than ``min_overlap`` of the smaller set.
 
     Returns ``(col_a, col_b, n_common, n_smaller, overlap_pct)``. Skips all-null columns and those more
@@ -79,7 +69,7 @@ def shared_values(df: DataFrame, min_overlap: float = MIN_OVERLAP, prefilter: bo
     only from the few distinct bit sets.
     """
     inner, cols, names = _flat(df)
-    picked, filled = _column_stats(df, prefilter)
+    picked, filled = _column_stats(df)
     if len(picked) < 2:
         ddl = "col_a string, col_b string, n_common long, n_smaller long, overlap_pct int"
         return df.sparkSession.createDataFrame([], ddl)
@@ -132,7 +122,7 @@ def shared_values(df: DataFrame, min_overlap: float = MIN_OVERLAP, prefilter: bo
 
 def shared_values_sampled(df: DataFrame, n: int, key: list[str], seed: int = 0, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """The same report from a repeatable sample of ``n`` rows."""
-    return shared_values(sample_rows(df, n, key, seed), min_overlap, prefilter=False)
+    return shared_values(sample_rows(df, n, key, seed), min_overlap)
 
 
 def shared_values_sketch(df: DataFrame, min_overlap: float = MIN_OVERLAP, lg_k: int = 14) -> DataFrame:

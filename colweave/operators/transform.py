@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import DATE_FORMATS, clean_text, parse_date, to_number
+from ..functions.values import DATE_FORMATS, clean_text, filled, parse_date, to_number
 from ..vocab import NULL_TOKENS
 from .mapping import normalise_mapping
 
@@ -94,9 +94,9 @@ def template_types(template: DataFrame | T.StructType, untyped: Sequence[str] =
 
 def all_null_columns(template_sample: DataFrame) -> list[str]:
     """Template columns without any value; their inferred type says nothing, so they ask for no cast."""
-    inner, names, _ = positional(template_sample)
-    row = inner.agg(*[F.count(c).alias(c) for c in inner.columns]).first()
-    return [n for n, filled in zip(names, row) if filled == 0]
+    inner, names, types = positional(template_sample)
+    row = inner.agg(*[F.count(filled(F.col(c), t)).alias(c) for c, t in zip(inner.columns, types)]).first()
+    return [n for n, count in zip(names, row) if count == 0]
 
 
 def mapping_columns(
@@ -147,8 +147,8 @@ def cast_loss_report(
     aggs = []
     for k, ((_, raw_col), value) in enumerate(zip(entries, exprs)):
         i = names.index(raw_col)
-        before = clean_text(F.col(f"_c{i}")) if isinstance(types[i], T.StringType) else F.col(f"_c{i}")
-        aggs += [F.count(before).alias(f"b{k}"), F.count(value).alias(f"a{k}")]
+        before = clean_text(F.col(f"_c{i}")) if isinstance(types[i], T.StringType) else filled(F.col(f"_c{i}"), types[i])
+        aggs += [F.count(before).alias(f"b{k}"), F.count(filled(value, types[i])).alias(f"a{k}")]
     one = inner.agg(*aggs)
     rows = [
         F.struct(

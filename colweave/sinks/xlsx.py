@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -42,10 +43,13 @@ _PARTS = {
     '<cellXfs count="2"><xf/><xf numFmtId="164" applyNumberFormat="1"/></cellXfs></styleSheet>',
 }
 
+_UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+
 
 def _text_cell(text: str) -> str:
-    legal = "".join(ch for ch in text if ch in "\t\n\r" or ord(ch) >= 32)
-    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(legal)}</t></is></c>'
+    """Characters XML cannot hold, or would change, take the format's form ``_xHHHH_``, as does text that looks like it."""
+    held = _UNSAFE.sub(lambda m: f"_x{ord(m[0]):04X}_", text)
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(held)}</t></is></c>'
 
 
 def _cell(value) -> str:
@@ -53,10 +57,17 @@ def _cell(value) -> str:
         return "<c/>"
     if isinstance(value, bool):
         return f'<c t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, decimal.Decimal)) and abs(value) < 2**53:
+    if isinstance(value, (int, decimal.Decimal)):
+        exact = abs(value) < 2**53 if isinstance(value, int) else decimal.Decimal(repr(float(value))) == value
+        if not exact:
+            raise ValueError(f"{value} has more digits than a cell holds; cast its column to string")
         return f"<c><v>{value}</v></c>"
+    if isinstance(value, float) and math.isnan(value):
+        return "<c/>"
     if isinstance(value, float) and math.isfinite(value):
         return f"<c><v>{value!r}</v></c>"
+    if isinstance(value, dt.datetime) and value.microsecond % 1000:  # finer than a serial number holds
+        return f'<c t="d"><v>{value.replace(tzinfo=None).isoformat()}</v></c>'
     if isinstance(value, dt.datetime):
         return f'<c s="1"><v>{(value.replace(tzinfo=None) - _EPOCH).total_seconds() / 86400!r}</v></c>'
     if isinstance(value, dt.date):

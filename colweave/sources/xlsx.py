@@ -20,6 +20,15 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _BUILTIN_DATES = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 _EPOCH = dt.datetime(1899, 12, 30)
+_ESCAPED = re.compile(r"_x((?![dD][89a-fA-F])[0-9A-Fa-f]{4})_")
+_TYPES = {
+    "boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType(), "string": T.StringType()
+}
+
+
+def _plain(text: str) -> str:
+    """Text with the format's ``_xHHHH_`` forms of characters undone."""
+    return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
 
 
 def _column_index(ref: str) -> int:
@@ -60,7 +69,7 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     with book.open("xl/sharedStrings.xml") as f:
         for _, el in ET.iterparse(f):
             if el.tag == f"{_MAIN}si":
-                out.append("".join(t.text or "" for t in el.iter(f"{_MAIN}t")))
+                out.append(_plain("".join(t.text or "" for t in el.iter(f"{_MAIN}t"))))
                 el.clear()
     return out
 
@@ -84,7 +93,7 @@ def sheet_rows(content: bytes) -> Iterator[list]:
 def _cell_value(cell, strings: list[str], dates: set[int]):
     kind = cell.get("t", "n")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+        return _plain("".join(t.text or "" for t in cell.iter(f"{_MAIN}t")))
     v = cell.find(f"{_MAIN}v")
     if v is None or v.text is None:
         return None
@@ -92,8 +101,10 @@ def _cell_value(cell, strings: list[str], dates: set[int]):
         return strings[int(v.text)]
     if kind == "b":
         return v.text == "1"
-    if kind in ("str", "e", "d"):
-        return None if kind == "e" else v.text
+    if kind == "d":
+        return dt.datetime.fromisoformat(v.text).replace(tzinfo=None)
+    if kind in ("str", "e"):
+        return None if kind == "e" else _plain(v.text)
     number = float(v.text)
     if int(cell.get("s", 0)) in dates:
         return _EPOCH + dt.timedelta(milliseconds=round(number * 86_400_000))
@@ -114,6 +125,14 @@ def _names(header: list) -> list[str]:
     return dedupe_names(["" if h is None else str(h).strip() for h in header])
 
 
+def _within(rows: Iterator[list], width: int) -> Iterator[list]:
+    """The rows, an error at one with values beyond the header."""
+    for nth, row in enumerate(rows, 2):
+        if any(value is not None and value != "" for value in row[width:]):
+            raise ValueError(f"row {nth} of a sheet has values beyond the {width} columns of its header")
+        yield row
+
+
 def _scan_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Column names and the kinds of value seen, one row per workbook column and kind."""
     for batch in batches:
@@ -122,7 +141,7 @@ def _scan_kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = sheet_rows(content)
             names = _names(next(rows, []))
             kinds: list[set] = [set() for _ in names]
-            for row in rows:
+            for row in _within(rows, len(names)):
                 for i, value in enumerate(row[: len(names)]):
                     if value is not None and value != "":
                         kinds[i].add(_kind(value))
@@ -149,7 +168,7 @@ def read_xlsx(spark: SparkSession, path: str | list[str], schema: T.StructType |
         columns = merged.orderBy("ordinal", "name").collect()
         if not columns:
             raise ValueError("no columns: every workbook is empty")
-        schema = T.StructType.fromDDL(", ".join(f"`{r['name']}` {_merge(set(r['kinds']))}" for r in columns))
+        schema = T.StructType([T.StructField(r["name"], _TYPES[_merge(set(r["kinds"]))]) for r in columns])
     wanted = [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +177,7 @@ def read_xlsx(spark: SparkSession, path: str | list[str], schema: T.StructType |
                 rows = sheet_rows(content)
                 at = {n: i for i, n in enumerate(_names(next(rows, [])))}
                 block: list[list] = []
-                for row in rows:
+                for row in _within(rows, len(at)):
                     block.append([_convert(row[at[n]] if at.get(n, len(row)) < len(row) else None, t) for n, t in wanted])
                     if len(block) == 10_000:
                         yield _frame(block, wanted)

@@ -97,8 +97,7 @@ def test_shared_values(spark, n_cols):
     rows = [tuple("hot" if rng.random() < 0.33 else rng.choice(pool[i]) for i in range(n_cols - 1)) + (f"unique{k}",) for k in range(200)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     want = plain_shared(rows, names)
-    for prefilter in (True, False):
-        assert {tuple(r) for r in S.shared_values(df, prefilter=prefilter).collect()} == want
+    assert {tuple(r) for r in S.shared_values(df).collect()} == want
     if n_cols < 10:
         sketch = {(r.col_a, r.col_b, r.n_common) for r in S.shared_values_sketch(df).collect()}
         assert sketch == {(a, b, n) for a, b, n, _, _ in want}
