@@ -4,7 +4,9 @@ Records are put in order of the page id. A histogram of ids by payload bytes cut
 ``shard_bytes``; the cuts depend on the rows alone, so the same input gives the same files, byte by byte, whatever the
 partitioning. A shard is written by one task as files that are rolled once their compressed size reaches ``file_bytes``; each record
 is a gzip member of its own with headers and digests made anew. Payloads of ``least`` bytes and more that are equal are stored
-once, with the largest page id; the others are revisit records without a body.
+once, with the largest page id; the others are revisit records without a body. Which page holds a repeated payload is found from
+digests alone; these notes (page id, digest, holder) are dealt with the pages and sort just before them, so payloads are
+shuffled once.
 
 Tasks write under temporary names and return a manifest row per file. After all have ended, the manifest is stored, tasks give
 the files their names (safe to repeat), and leftovers of failed attempts are removed. What the manifest lists is the archive.
@@ -93,16 +95,21 @@ class _Roll:
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, file_bytes: int, least: int, date: str) -> Iterator[pa.RecordBatch]:
-    file, done, before, nth = None, [], None, 0
+    file, done, before, nth, note = None, [], None, 0, None
     for batch in by_bytes(batches, "payload"):
         for row in batch.to_pylist():
+            key = row["page_id"], row["digest"], row["size"]
+            if row["holder"] is not None:
+                note = key, row["holder"]
+                continue
             if file is not None and (file.shard != row["shard"] or file.bytes >= file_bytes):
                 done.append(file.close())
                 file = _Roll(path, row["shard"], file.roll + 1 if file.shard == row["shard"] else 0, date)
             file = file or _Roll(path, row["shard"], 0, date)
             same = before is not None and before[0] == row["page_id"]
             nth = nth + 1 if same else 0
-            refers_to, payload = row["holder"], (row["payload"] or "").encode()
+            refers_to = note[1] if note is not None and note[0] == key else None
+            payload = b"" if refers_to is not None else row["payload"].encode()
             if refers_to is None and same and before[1] == row["digest"] and row["size"] >= least and row["page_id"] is not None:
                 refers_to, payload = row["page_id"], b""
             before = row["page_id"], row["digest"]
@@ -137,10 +144,10 @@ def write_warc(
     rows = pages.select(
         "page_id", text_of("url").alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("digest")
     )
-    held = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(held, ["digest", "size"], "left")
-    holder = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
-    rows = rows.withColumn("holder", holder).withColumn("payload", F.when(F.col("holder").isNull(), F.col("payload")))
+    repeatable = rows.where(F.col("size") >= least).select("page_id", "size", "digest")
+    held = repeatable.groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
+    notes = repeatable.join(held, ["digest", "size"]).where(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")))
+    rows = rows.withColumn("holder", F.lit(None).cast(pages.schema["page_id"].dataType)).unionByName(notes, allowMissingColumns=True)
 
     # cells of equal width over the ids, weighed by bytes; a shard is a run of cells
     edges = pages.agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).first()
@@ -151,7 +158,7 @@ def write_warc(
     before = F.sum("w").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("w")
     shards = weights.select("cell", F.floor(before / shard_bytes).cast("int").alias("shard"))  # at most _CELLS rows
     dealt = rows.withColumn("cell", cell).join(F.broadcast(shards), "cell").select("shard", "page_id", "url", "payload", "size", "digest", "holder")
-    dealt = dealt.repartitionByRange("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    dealt = dealt.repartitionByRange("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "size", F.col("holder").isNull(), "url")
     files = dealt.mapInArrow(lambda b: _write(b, path, file_bytes, least, date), _FILE)
     files.write.parquet(f"{path}/_pending")
     pending = spark.read.schema(files.schema).parquet(f"{path}/_pending")
