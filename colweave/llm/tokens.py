@@ -16,7 +16,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,8 @@ class Encoder:
 
     For tokenizers of the fixed kind above, a text of printable ASCII and Latin-1 letters is cut into pre-tokens here and each
     distinct one is put to the library's model once. Every other text, and every text for other tokenizers, goes to
-    the library whole. Pre-tokens are kept in two generations of ``limit``; the older goes when the younger is full.
+    the library whole. Pre-tokens are kept in two generations of at most ``limit``; the older goes when the younger is full.
+    Ids are looked up in the batch's own mapping where it needs more.
     """
 
     def __init__(self, spec: str, limit: int = 200_000):
@@ -72,10 +73,13 @@ class Encoder:
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.ints = list(range(self.tokenizer.get_vocab_size()))
 
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.young) + len(new) > self.limit:
-            self.old, self.young = self.young, {}
-        model, ints, old = self.tokenizer.model, self.ints, self.old
+    def _ids_of(self, wanted: set[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """A mapping that holds at least the ids of ``wanted``, however many more than ``limit`` they are."""
+        young, old = self.young, self.old
+        new = wanted.difference(young)
+        if not new:
+            return young
+        model, ints, learned = self.tokenizer.model, self.ints, {}
         for w in new:
             ids = old.get(w)
             if ids is None:
@@ -83,7 +87,13 @@ class Encoder:
                 if not w.isascii():
                     text = text.encode().decode("latin-1").translate(_BYTES_AS_TEXT)
                 ids = tuple([ints[t.id] for t in model.tokenize(text)])
-            self.young[w] = ids
+            learned[w] = ids
+        if len(young) + len(new) <= self.limit:
+            young.update(learned)
+            return young
+        learned.update((w, young[w]) for w in wanted.difference(new))
+        self.old, self.young = young, dict(islice(learned.items(), self.limit))  # a new generation begins
+        return learned
 
     def _pretokens(self, text: bytes) -> list[bytes] | None:
         """The text cut up, None where it must go to the library whole."""
@@ -99,13 +109,9 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         split = [self._pretokens(t) for t in texts]
         wanted = set().union(*(x for x in split if x is not None))
-        new = wanted.difference(self.young)
-        if new:
-            self._learn(new)
-            if not wanted <= self.young.keys():  # a new generation began
-                self._learn(wanted.difference(self.young))
+        ids = self._ids_of(wanted)
         whole = iter(self.tokenizer.encode_batch_fast([t.decode() for t, x in zip(texts, split, strict=True) if x is None], add_special_tokens=False))
-        find = self.young.__getitem__
+        find = ids.__getitem__
         return [list(next(whole).ids) if x is None else list(chain.from_iterable(map(find, x))) for x in split]
 
 

@@ -87,6 +87,19 @@ def test_encoder_against_library():
     assert own.encode([t.encode() for t in texts]) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_beyond_its_memory():
+    from tokenizers import Tokenizer
+
+    spec = open(queries.tokenizer_file(), encoding="utf-8").read()
+    whole, own = Tokenizer.from_str(spec), tokens.Encoder(spec, limit=20)
+    pick = random.Random(10)
+    words = ["".join(pick.choice("abcdeé") for _ in range(6)) for _ in range(200)]
+    for n in (5, 100, 0, 18, 15, 200, 3, 21, 20, 60):
+        texts = [" ".join(pick.sample(words, n)) + " same" for _ in range(3)]
+        assert own.encode([t.encode() for t in texts]) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.young) <= 20 and len(own.old) <= 20
+
+
 PLAIN = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
