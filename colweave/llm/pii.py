@@ -6,8 +6,8 @@ written with possessive repeats and look-behinds, so they give the matches of th
 however long a run of digits or letters is. Places follow from splitting the text at the same pattern: a
 match starts after all gaps and matches before it. Offsets are code points, ends exclusive.
 
-Scores start at the kind's value, rise where a word of the kind stands within 40 characters before or 20 after,
-and fall where a word speaks against it. Email, ip, card and phone spans stay whatever their score; others need ``LEAST``.
+Scores start at the kind's value, rise where a word of the kind stands within 40 characters before or 20 after in the text,
+other matches included, and fall where a word speaks against it. Email, ip, card and phone spans stay whatever their score; others need ``LEAST``.
 
 Null text is empty and has no spans. Each row stands for itself, so ties, repeats and other columns do not matter.
 """
@@ -21,7 +21,6 @@ from .common import text_of
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-
 # What must occur for a kind to be looked for, its pattern, score, supporting and opposing words nearby.
 KINDS = {
     "email": ("@", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "e-?mail|mailto|contact|write to", "example|noreply"),
@@ -33,6 +32,8 @@ KINDS = {
 }
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.5
+#: Characters before and after a span in which words count.
+BEFORE, AFTER = 40, 20
 
 
 def _digits(value: Column) -> Column:
@@ -78,25 +79,32 @@ def _placed(kind: str, matches: Column, text: Column) -> Column:
     """Checked and scored spans from a kind's matches."""
     _, pattern, score, support, against = KINDS[kind]
     n, gaps = F.size(matches), F.split(text, pattern, -1)
-    # each match with the gaps around it, made once for a text
-    around = F.arrays_zip(matches.alias("value"), F.slice(gaps, F.lit(1), n).alias("gap"), F.slice(gaps, F.lit(2), n).alias("next"))
+    # the text behind each match, whatever it holds: a look-ahead takes nothing away from the next match
+    behind = F.regexp_extract_all(text, F.lit(rf"(?:{pattern})(?=((?s:.{{0,{AFTER}}})))"), F.lit(1))
+    # each match with the gap before it, made once for a text
+    zipped = F.arrays_zip(matches.alias("match"), F.slice(gaps, F.lit(1), n).alias("gap"), behind.alias("behind"))
+    around = F.transform(zipped, lambda m: F.struct(m["match"].alias("match"), m["gap"].alias("gap"), m["behind"].alias("behind"), m["match"].alias("value")))
     kind_of = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("before"), F.array().cast(kind_of).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["value"])
+        before = F.right(F.concat(acc["before"], F.right(m["gap"], F.lit(BEFORE))), F.lit(BEFORE))
+        free = _valid(kind, m["value"])
+        after = F.substring(m["behind"], F.length(m["value"]) - F.length(m["match"]) + 1, F.lit(AFTER))
         one = F.struct(
-            start.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(m["gap"], F.lit(40)).alias("before"),
-            F.left(m["next"], F.lit(20)).alias("after"),
+            start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"), before.alias("before"), after.alias("after")
+        )
+        return F.struct(
+            (start + F.length(m["match"])).alias("at"), F.right(F.concat(before, F.right(m["match"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"),
+            F.when(free, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     spans = F.aggregate(around, begin, step, lambda acc: acc["out"])
     near = lambda s, found: s["before"].rlike(rf"(?i)(?:{found})") | s["after"].rlike(rf"(?i)(?:{found})")
     points = lambda s: F.lit(score) + F.when(near(s, support), 0.3).otherwise(0.0) - F.when(near(s, against), 0.2).otherwise(0.0)
     scored = F.transform(
-        F.filter(spans, lambda s: _valid(kind, s["value"])),
+        spans,
         lambda s: F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
             F.least(F.lit(1.0), points(s)).alias("score"),

@@ -128,6 +128,23 @@ def test_pii_against_plain_patterns(spark, docs, none):
     assert pii.find_spans(none).count() == 0 and pii.find_spans(docs).count() == len(ROWS)
 
 
+def _spans(spark, texts, kind):
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", "spans").collect()
+    by_id = {r.doc_id: [s for s in r.spans if s.kind == kind] for r in found}
+    assert all(s.value == t[s.start:s.end] for i, t in enumerate(texts) for s in by_id[i])
+    return [[s.value for s in by_id[i]] for i in range(len(texts))]
+
+
+def test_ssn_list_behind_one_word(spark):
+    near = "321-54-9876, 222-33-4444"
+    texts = [
+        "SSN 123-45-6789, " + near, "SSN 000-45-6789, " + near, f"{near} tax id", "123-45-6789\n" * 5 + "ssn", "ssn" + " " * 36 + "\n123-45-6789",
+        "ssn" + " " * 38 + "123-45-6789", "123-45-6789" + " " * 17 + "ssn", "123-45-6789" + " " * 18 + "ssn", "SSN 123-45-6789" + " 日𝄞" * 8 + " 321-54-9876",
+    ]
+    a, b, c = "123-45-6789", "321-54-9876", "222-33-4444"
+    assert _spans(spark, texts, "ssn") == [[a, b, c], [b, c], [b, c], [a, a], [a], [], [a], [], [a, b]]
+
+
 def _hits(text: str, items: list[tuple[int, str]]):
     """Hit word positions and item names the slow way."""
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
