@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score. DataFrame functions only.
 
 Kinds: email, ip, card (Luhn), phone; and beyond these iban (mod 97) and ssn (only where a word nearby supports it). A kind's
-pattern finds leftmost matches that do not overlap; a match that fails its check is dropped without a retry. The patterns are
+pattern finds leftmost matches that do not overlap; a match that fails its check is dropped without a retry, but for iban, whose pattern finds the first four
+characters: each end of a group behind them is tried, so words behind an IBAN do not hide it. The patterns are
 written with possessive repeats and look-behinds, so they give the matches of the plain ones in a time linear in the text,
 however long a run of digits or letters is. Places follow from splitting the text at the same pattern: a
 match starts after all gaps and matches before it. Offsets are code points, ends exclusive.
@@ -21,19 +22,30 @@ from .common import text_of
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+# An IBAN's country and check digits, and what may follow: one word, or groups of four and a rest, each a word of its own.
+_IBAN = "[A-Z](?<![0-9A-Za-z][A-Z])[A-Z][0-9]{2}"
+_RUN = r"(?:[0-9A-Z]{11,30}+(?![0-9A-Za-z])|(?:\x20[0-9A-Z]{4}(?![0-9A-Za-z])){2,7}+(?:\x20[0-9A-Z]{1,3}(?![0-9A-Za-z]))?+)"
+# Characters of an IBAN by country.
+_IBAN_LENGTHS = (
+    " AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27"
+    " GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22"
+    " MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28"
+    " TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+)
+
 # What must occur for a kind to be looked for, its pattern, score, supporting and opposing words nearby.
 KINDS = {
     "email": ("@", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "e-?mail|mailto|contact|write to", "example|noreply"),
     "ip": (".", r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}+", 0.6, "ip|address|host|server|login|client", "version|release|section"),
     "card": (None, r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?+[0-9]){12,18}+(?![\x20-]?[0-9])", 0.8, "card|visa|mastercard|amex|credit|debit|payment|cvv|expires", "isbn|order|tracking|serial"),
     "phone": ("+", r"\+[0-9](?:[\x20().-]*+[0-9]){8,14}+(?![\x20().-]*+[0-9])", 0.7, "phone|tel|call|mobile|fax|whatsapp", "score|total"),
-    "iban": (None, r"[A-Z](?<![0-9A-Za-z][A-Z])[A-Z][0-9]{2}(?:[0-9A-Z]{11,30}+|(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,3})?+)(?![0-9A-Za-z])", 0.8, "iban|account|bank|konto|transfer", "serial|key|hash"),
+    "iban": (None, rf"{_IBAN}(?={_RUN})", 0.8, "iban|account|bank|konto|transfer", "serial|key|hash"),
     "ssn": ("-", r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security|tax id", "part|order|serial"),
 }
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.5
-#: Characters before and after a span in which words count.
-BEFORE, AFTER = 40, 20
+#: Characters before and after a span in which words count, and those kept behind a match: the longest IBAN's rest and what follows it.
+BEFORE, AFTER, AHEAD = 40, 20, 64
 
 
 def _digits(value: Column) -> Column:
@@ -63,13 +75,29 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN a run of groups begins with, null if none.
+
+    A group may be the word behind the IBAN, so every end of a group is tried: the country's length is taken first, then the
+    whole run, then, for countries not listed, the longest that passes.
+    """
+    plain = lambda s: F.replace(s, F.lit(" "), F.lit(""))
+    country = lambda s: F.concat(F.lit(" "), F.left(s, F.lit(2)))
+    fits = lambda s: F.lit(_IBAN_LENGTHS).contains(F.concat(country(s), F.length(plain(s)).cast("string"), F.lit(" ")))
+    listed = F.lit(_IBAN_LENGTHS).contains(country(run))
+    shorter = F.when(run.contains(" "), F.array(*[F.left(run, F.lit(4 + 5 * k)) for k in range(7, 1, -1)])).otherwise(F.array().cast("array<string>"))
+    tried = F.concat(F.array(run), F.filter(shorter, lambda s: ~listed | fits(s)))
+    passed = F.filter(tried, mod97)
+    return F.coalesce(F.get(F.filter(passed, fits), F.lit(0)), F.get(passed, F.lit(0)))
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
     if kind == "card":
         return luhn(value)
     if kind == "iban":
-        return mod97(value)
+        return value.isNotNull()
     if kind == "ssn":
         return ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -80,17 +108,19 @@ def _placed(kind: str, matches: Column, text: Column) -> Column:
     _, pattern, score, support, against = KINDS[kind]
     n, gaps = F.size(matches), F.split(text, pattern, -1)
     # the text behind each match, whatever it holds: a look-ahead takes nothing away from the next match
-    behind = F.regexp_extract_all(text, F.lit(rf"(?:{pattern})(?=((?s:.{{0,{AFTER}}})))"), F.lit(1))
+    behind = F.regexp_extract_all(text, F.lit(rf"(?:{pattern})(?=((?s:.{{0,{AHEAD}}})))"), F.lit(1))
     # each match with the gap before it, made once for a text
     zipped = F.arrays_zip(matches.alias("match"), F.slice(gaps, F.lit(1), n).alias("gap"), behind.alias("behind"))
-    around = F.transform(zipped, lambda m: F.struct(m["match"].alias("match"), m["gap"].alias("gap"), m["behind"].alias("behind"), m["match"].alias("value")))
+    value = lambda m: _iban(F.regexp_extract(F.concat(m["match"], m["behind"]), f"^{_IBAN}{_RUN}", 0)) if kind == "iban" else m["match"]
+    around = F.transform(zipped, lambda m: F.struct(m["match"].alias("match"), m["gap"].alias("gap"), m["behind"].alias("behind"), value(m).alias("value")))
     kind_of = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("before"), F.array().cast(kind_of).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
         before = F.right(F.concat(acc["before"], F.right(m["gap"], F.lit(BEFORE))), F.lit(BEFORE))
-        free = _valid(kind, m["value"])
+        # an IBAN reaches beyond its match, and what begins inside it is no span
+        free = _valid(kind, m["value"]) & (start >= F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)))
         after = F.substring(m["behind"], F.length(m["value"]) - F.length(m["match"]) + 1, F.lit(AFTER))
         one = F.struct(
             start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"), before.alias("before"), after.alias("after")

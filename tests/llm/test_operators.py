@@ -135,6 +135,24 @@ def _spans(spark, texts, kind):
     return [[s.value for s in by_id[i]] for i in range(len(texts))]
 
 
+def _iban(country: str, body: str) -> str:
+    rest = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def test_iban_before_capitals_and_digits(spark):
+    be, es = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"
+    mt, no, other = "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NO93 8601 1117 947", _iban("ZZ", "12345678901234567890")
+    other = " ".join(other[i:i + 4] for i in range(0, 24, 4))
+    ibans = [be, es, mt, no, other, "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "BE68539007547034", "DE89370400440532013000"]
+    behind = ["", " BIC GEBABEBB", " 100 EUR", " BANK", " Thanks", " T", " 1234 5678 9012", ". A", ", 12", " é", " BANK BANK BANK BANK BANK BANK BANK", "\nABCD"]
+    texts = [f"é pay {i}{b}" for i in ibans for b in behind]
+    assert _spans(spark, texts, "iban") == [[i] for i in ibans for _ in behind]
+    assert _spans(spark, [f"{be} {be} {es} AB13 {be}", "BE69 5390 0754 7034 BANK", f"x{be}", f"{be}5", "AB12 CD34 EF56 " + be, "AB12 " * 5_000], "iban") == [
+        [be, be, es, be], [], [], [], [be], []
+    ]
+
+
 def test_ssn_list_behind_one_word(spark):
     near = "321-54-9876, 222-33-4444"
     texts = [
