@@ -14,6 +14,7 @@ table gives what remains.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,15 +120,32 @@ def _shard(bits: int):
 def build_history(rows: DataFrame, shard_digests: int = 2048) -> tuple[DataFrame, int]:
     """The history's shards from ``digest_rows`` rows, written to the shared folder, and the number of shard bits.
 
-    A shard holds about ``shard_digests`` digests whatever the size of the history, up to 2^24 shards.
+    A shard holds about ``shard_digests`` digests whatever the size of the history, up to 2^24 shards; ``merge`` cuts them
+    finer where more arrive.
     """
     distinct = written(_grouped(rows), "history-digests")
-    count = distinct.count()
-    bits = min(_SHARD_BITS, max(0, math.ceil(math.log2(max(1, count / shard_digests)))))
+    bits = _bits(distinct.count(), shard_digests)
+    return _shards(distinct, bits), bits
+
+
+def _bits(count: int, shard_digests: int) -> int:
+    return min(_SHARD_BITS, max(0, math.ceil(math.log2(max(1, count / shard_digests)))))
+
+
+def _shards(distinct: DataFrame, bits: int) -> DataFrame:
     shards = distinct.select(_shard(bits), "digest", F.col("winner").cast("long").alias("winner"), "n").groupBy("shard").applyInPandas(
         _build, "shard int, mph binary, digests binary, winners array<long>, sizes array<long>"
     )
-    return written(shards, "history"), bits
+    return written(shards, "history")
+
+
+def _held(shards: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups that shards hold."""
+    for pdf in shards:
+        for digests, winners, sizes in zip(pdf["digests"], pdf["winners"], pdf["sizes"], strict=True):
+            held = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 32)
+            known = pd.array([None if pd.isna(x) else int(x) for x in winners], dtype="Int64")
+            yield pd.DataFrame({"digest": [x.tobytes() for x in held], "winner": known, "n": np.array(sizes, dtype=np.int64)})
 
 
 def _lookup(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -156,9 +174,17 @@ def _lookup(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def merge(history: DataFrame, bits: int, arriving: DataFrame) -> DataFrame:
-    """digest, winner and n (rows) of every group over the history and the ``digest_rows`` rows that arrive."""
-    asked = _grouped(arriving).select(_shard(bits), "digest", F.col("winner").cast("long").alias("winner"), "n")
+def merge(history: DataFrame, bits: int, arriving: DataFrame, shard_digests: int = 2048) -> DataFrame:
+    """digest, winner and n (rows) of every group over the history and the ``digest_rows`` rows that arrive.
+
+    Where far more digests arrive than the history holds, its shards are first cut finer, so that a shard meets at most
+    about four times ``shard_digests`` of them: a small or empty history does not bring them all to one task.
+    """
+    groups = written(_grouped(arriving), "arriving-digests")
+    needed = _bits(groups.count(), shard_digests)
+    if needed > bits + 2:
+        history, bits = _shards(history.mapInPandas(_held, "digest binary, winner long, n long"), needed), needed
+    asked = groups.select(_shard(bits), "digest", F.col("winner").cast("long").alias("winner"), "n")
     return history.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_lookup, "digest binary, winner long, n long")
 
 

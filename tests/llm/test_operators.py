@@ -357,6 +357,22 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.exact_duplicates(none, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n_old", [0, 1, 2500])
+def test_many_arrivals_for_a_small_history(spark, monkeypatch, n_old):
+    import pandas as pd
+
+    n, texts = 40_000, 30_000
+    made = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % texts).cast("string").alias("text"))
+    rows = exact_dedup.digest_rows(made)
+    old, new = rows.where(f"doc_id < {n_old}"), rows.where(f"doc_id >= {n_old}")
+    history, bits = exact_dedup.build_history(old)
+    found = {bytes(r.digest): (r.winner, r.n) for r in exact_dedup.merge(history, bits, new).collect()}
+    assert found == {hashlib.sha256(str(t).encode()).digest(): (t + texts, 2) if t + texts < n else (t, 1) for t in range(texts)}
+    monkeypatch.setattr(exact_dedup, "_lookup", lambda h, asked: pd.DataFrame({"digest": [b""], "winner": [0], "n": [len(asked)]}))
+    met = [r.n for r in exact_dedup.merge(history, bits, new).collect()]
+    assert sum(met) in range(texts - n_old, texts + 1) and max(met) < 9_000
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(9)
     keys, other = (rng.integers(0, 256, size=(n, 32), dtype=np.uint8) for n in (3000, 500))
