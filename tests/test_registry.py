@@ -39,6 +39,17 @@ def test_row(registry):
     assert r.statistics.raw_data == {"rows": "3"}
 
 
+def test_source_without_columns(spark):
+    r = R.create_metadata(spark, [], ["id", "mail"], {"id": (None, 0.0), "mail": (None, 0.0)}).first()
+    assert r.source_fingerprint == plain_print([]) and r.template_fingerprint == plain_print(["id", "mail"])
+    assert (r.column_info.raw_columns, r.column_info.template_columns, r.column_info.unmapped_count) == ([], ["id", "mail"], 2)
+    made = lambda rows, names: spark.createDataFrame(rows, names)
+    mapping = made([("a", 0, "id", "key", 1.0), ("b", 0, "id", None, 0.0)], "k string, t_ord int, template_col string, raw_col string, confidence double")
+    columns = "k string, ordinal int, column_name string"
+    rows = R.registry_rows(mapping, made([("a", 0, "key")], columns), made([("a", 0, "id"), ("b", 0, "id")], columns), ["k"]).collect()
+    assert {x.k: (x.column_info.raw_columns, x.mappings["id"].source_column) for x in rows} == {"a": (["key"], "key"), "b": ([], None)}
+
+
 def test_json_round_trip(registry):
     texts = R.export_json(registry)
     doc = json.loads(texts.first()["config"])
