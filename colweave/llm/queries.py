@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from colweave.scratch import fresh_dir
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, pii, simhash, tokens, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, langid, mixing, pii, quality, simhash, tokens, toxicity, warc
 from .common import id_remainder, table, text_of, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,7 @@ def _toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxici
 
 
 THRESHOLD = 0.7
+GOOD = 0.3
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +107,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.examples(turns.unionByName(more)), "chat"))
 
 
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), F.col("doc_id"), tokenizer_file(TOKENIZER_A), tokenizer_file(TOKENIZER_B))
+    return found.withColumnRenamed("row", "doc_id")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    found = quality.score(docs, quality.fit(docs, labels.where(~held_out)), F.struct("doc_id", held_out.alias("held_out")))
+    return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_ids, op2_pii, op3_decontamination, op4_language, op5_mixing, op6_toxicity, op7_warc, op8_simhash, op9_exact_dedup, op10_chat
+        op1_token_ids, op2_pii, op3_decontamination, op4_language, op5_mixing, op6_toxicity, op7_warc, op8_simhash, op9_exact_dedup, op10_chat,
+        op12_alignment, op13_quality,
     )
 }
 
