@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colweave.scratch import fresh_dir
 
-from . import alignment, chat, decontaminate, exact_dedup, langid, mixing, pii, quality, simhash, tokens, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, langid, mixing, pii, prefix_trie, quality, simhash, tokens, toxicity, warc
 from .common import id_remainder, table, text_of, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -107,6 +107,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.examples(turns.unionByName(more)), "chat"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -127,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_ids, op2_pii, op3_decontamination, op4_language, op5_mixing, op6_toxicity, op7_warc, op8_simhash, op9_exact_dedup, op10_chat,
-        op12_alignment, op13_quality,
+        op11_prefix_trie, op12_alignment, op13_quality,
     )
 }
 
@@ -188,4 +192,53 @@ ORACLES = {
             CAST(sum(CASE WHEN reply OR final THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
         FROM p GROUP BY conv_id
     """,
+    "op11_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        ids AS (SELECT conv_id, count(*) AS own, string_split(CAST(conv_id AS VARCHAR), '') AS letters FROM t GROUP BY conv_id),
+        bits AS (
+            SELECT conv_id, own, list_concat([4294967295], list_transform(generate_series(0, 8 * len(letters) - 1),
+                lambda i: CAST((ascii(letters[i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT))) AS b
+            FROM ids
+        ),
+        c AS (
+            SELECT conv_id, own, conv_id - conv_id % 5 AS base,
+                xor(list_reduce(b, lambda crc, bit: xor(crc >> 1, (xor(crc, bit) & 1) * 3988292384)), 4294967295) % 9 AS h
+            FROM bits
+        ),
+        seq AS (
+            SELECT c.conv_id, t.pos AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h
+            UNION ALL
+            SELECT c.conv_id, least(h, coalesce(b.own, 0)) + t.pos - h, role, text
+            FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h LEFT JOIN ids b ON b.conv_id = c.base
+        ),
+        named AS (
+            SELECT conv_id, depth, octet_length(encode(text)) AS n,
+                md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k
+            FROM seq
+        ),
+        path AS (
+            SELECT conv_id, depth, n, k, lag(k, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM named
+            UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c
+        ),
+        node AS (
+            SELECT k, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(n) AS n, any_value(parent) AS parent, count(*) AS n_convs FROM path GROUP BY k
+        ),
+        kids AS (SELECT parent AS k, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+        below AS (
+            SELECT p.k, sum((u.n_convs - 1) * u.n) AS saved, count(*) FILTER (u.k NOT IN (SELECT k FROM kids)) AS leaves
+            FROM node u JOIN path p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.k
+        ),
+        ends AS (
+            SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS l
+            FROM (SELECT conv_id, arg_max(k, depth) AS k FROM path GROUP BY conv_id) GROUP BY k
+        )
+        SELECT CAST(node.conv_id AS BIGINT) AS conv_id, CAST(node.depth AS BIGINT) AS depth, CAST(up.conv_id AS BIGINT) AS parent_conv_id,
+            CAST(node.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+            CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(l, '')) AS ends_sha256
+        FROM node JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN node up ON up.k = node.parent
+    """,
 }
