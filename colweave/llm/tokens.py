@@ -16,16 +16,17 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_bytes, list_array, raw_texts, text_of
+from .common import by_bytes, list_array, text_of
 
 #: Ids of one shard and the part of its rows are found by these files of the output folder.
 DATA, SHARDS = "data", "shards"
@@ -39,80 +40,99 @@ _NORMALIZER = {
 }
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_LETTERS = bytes([*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
-_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F)]) + _LETTERS
+#: Printable ASCII, the three line and tab characters and Latin-1 letters: what a plain unit is made of.
+_OTHER = r"<\||[^\t\n\r\x20-\x7e\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
 _LOWER = bytes(32 if c in (9, 10, 13) else c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
-_PRETOKEN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ 0-9a-z\xdf-\xf6\xf8-\xff]+")
+_PRETOKEN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\x00|[^\x00 0-9a-z\xdf-\xf6\xf8-\xff]+")
 #: Byte-level vocabularies write visible bytes as themselves and the others, in order, as the characters from 256.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES_AS_TEXT = {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in _VISIBLE)}
+_TEXT_OF_BYTE = {**{b: chr(b) for b in _VISIBLE}, **{b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}}
+_BATCH = 8 << 20
 
 
 class Encoder:
-    """Encodes with the tokenizers library, remembering the ids of pre-tokens.
+    """Encodes with the tokenizers library, each distinct unit of a batch once.
 
-    For tokenizers of the fixed kind above, a text of printable ASCII and Latin-1 letters is cut into pre-tokens here and each
-    distinct one is put to the library's model once. Every other text, and every text for other tokenizers, goes to
-    the library whole. Pre-tokens are kept in two generations of at most ``limit``; the older goes when the younger is full.
-    Ids are looked up in the batch's own mapping where it needs more.
+    For tokenizers of the fixed kind above nothing is merged or matched over a blank, so a text is the ids of its units between blanks.
+    Units of printable ASCII and Latin-1 letters are cut into pre-tokens here and merged, all in one call, by tiktoken's
+    routine under the file's ranks, a blank standing for the end of a word; other units go to the library. For other tokenizers
+    every text goes to the library whole. Nothing is remembered between batches.
     """
 
-    def __init__(self, spec: str, limit: int = 200_000):
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         parts = json.loads(spec)
-        self.tokenizer, self.limit = Tokenizer.from_str(spec), limit
-        cut = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.tokenizer = Tokenizer.from_str(spec)
+        model, cut = parts["model"], (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.short_way = (
-            parts.get("normalizer") == _NORMALIZER and parts["model"]["type"] == "BPE" and len(cut) == 2
+            parts.get("normalizer") == _NORMALIZER and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and len(cut) == 2
+            and not model.get("ignore_merges") and not model.get("dropout")
             and cut[0] == {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
             and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
-            and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts["added_tokens"])
+            and all("<|" in t["content"] and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts["added_tokens"])
         )
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
-        self.ints = list(range(self.tokenizer.get_vocab_size()))
-
-    def _ids_of(self, wanted: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """A mapping that holds at least the ids of ``wanted``, however many more than ``limit`` they are."""
-        young, old = self.young, self.old
-        new = wanted.difference(young)
-        if not new:
-            return young
-        model, ints, learned = self.tokenizer.model, self.ints, {}
-        for w in new:
-            ids = old.get(w)
-            if ids is None:
-                text = w.decode("latin-1")
-                if not w.isascii():
-                    text = text.encode().decode("latin-1").translate(_BYTES_AS_TEXT)
-                ids = tuple([ints[t.id] for t in model.tokenize(text)])
-            learned[w] = ids
-        if len(young) + len(new) <= self.limit:
-            young.update(learned)
-            return young
-        learned.update((w, young[w]) for w in wanted.difference(new))
-        self.old, self.young = young, dict(islice(learned.items(), self.limit))  # a new generation begins
-        return learned
-
-    def _pretokens(self, text: bytes) -> list[bytes] | None:
-        """The text cut up, None where it must go to the library whole."""
-        if not self.short_way or b"<|" in text:
-            return None
-        if not text.isascii():
-            try:
-                text = text.decode().encode("latin-1")
-            except UnicodeEncodeError:
-                return None
-        return None if text.translate(None, _PLAIN) else _PRETOKEN.findall(text.translate(_LOWER))
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        split = [self._pretokens(t) for t in texts]
-        wanted = set().union(*(x for x in split if x is not None))
-        ids = self._ids_of(wanted)
-        whole = iter(self.tokenizer.encode_batch_fast([t.decode() for t, x in zip(texts, split, strict=True) if x is None], add_special_tokens=False))
-        find = ids.__getitem__
-        return [list(next(whole).ids) if x is None else list(chain.from_iterable(map(find, x))) for x in split]
+        if self.short_way:
+            self.short_way = self._ranked(model["vocab"], ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]])
+
+    def _ranked(self, vocabulary: dict[str, int], merges: list[str]) -> bool:
+        """Set up the merging routine; False where the file does not number bytes, bytes that end words and merges in this order."""
+        import tiktoken
+
+        byte_of = {c: b for b, c in _TEXT_OF_BYTE.items()}
+        single = sorted(vocabulary[c] for c in byte_of if c in vocabulary)
+        final = sorted(vocabulary[f"{c}</w>"] for c in byte_of if f"{c}</w>" in vocabulary)
+        if single != list(range(256)) or final != list(range(256, 512)) or [vocabulary[m] for m in merges] != list(range(512, 512 + len(merges))):
+            return False
+        as_bytes = lambda t: bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>")
+        order = [vocabulary[_TEXT_OF_BYTE[b]] for b in range(256)] + final + list(range(512, 512 + len(merges)))
+        token_of = {i: t for t, i in vocabulary.items()}
+        ranks = {bytes([b]): b for b in range(256)}
+        ranks.update((as_bytes(token_of[i]), rank) for rank, i in enumerate(order) if rank >= 256)
+        self.id_of_rank = np.array(order, dtype=np.int32)
+        self.merger = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.unit_end = ranks[b"\x00 "]
+        return len(ranks) == len(order)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain units end to end, and how many each has."""
+        joined = ("\x00".join(units) + "\x00").encode("latin-1").translate(_LOWER)
+        stream = b" ".join(_PRETOKEN.findall(joined)) + b" "
+        ranks = np.array(self.merger.encode_ordinary(stream.decode("latin-1")), dtype=np.int32)
+        end = ranks == self.unit_end
+        lengths = np.diff(np.flatnonzero(end), prepend=-1) - 1
+        return self.id_of_rank[ranks[~end]], lengths
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        none = np.zeros(0, dtype=np.int32)
+        if not self.short_way:
+            found = self._library(texts.to_pylist())
+            return np.concatenate([none, *found]), np.array([len(x) for x in found], dtype=np.int64)
+        split = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        slots, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        other = pc.match_substring_regex(distinct, _OTHER)
+        plain_at, other_at = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (pc.invert(other), other))
+        ids, plain_lengths = self._plain_units(distinct.take(pa.array(plain_at)).to_pylist()) if len(plain_at) else (none, none)
+        found = self._library(distinct.take(pa.array(other_at)).to_pylist()) if len(other_at) else []
+        lengths, starts = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        order = np.concatenate([plain_at, other_at])
+        ids, by_place = np.concatenate([ids, *found]), np.concatenate([plain_lengths, [len(x) for x in found]]).astype(np.int64)
+        lengths[order], starts[order] = by_place, np.cumsum(by_place) - by_place
+        of_unit = lengths[slots]
+        ahead = np.repeat(starts[slots] - (np.cumsum(of_unit) - of_unit), of_unit)
+        upto = np.concatenate([[0], np.cumsum(of_unit)])
+        ends = np.cumsum(counts)
+        return ids[ahead + np.arange(len(ahead))], upto[ends] - upto[ends - counts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
 
 
 def _encode(batches: Iterator[pa.RecordBatch], spec, end_id: int | None, keep: bool) -> Iterator[pa.RecordBatch]:
@@ -121,15 +141,14 @@ def _encode(batches: Iterator[pa.RecordBatch], spec, end_id: int | None, keep: b
         _encoders.clear()
         _encoders[key] = Encoder(spec.value)
     encoder, shard, start = _encoders[key], TaskContext.get().partitionId(), 0
-    end = [] if end_id is None else [end_id]
-    for batch in by_bytes(batches, most=1 << 20):
-        ids = [x + end for x in encoder.encode(raw_texts(batch.column("text")))]
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
+    for batch in by_bytes(batches, most=_BATCH):
+        flat, lengths = encoder.encode_column(batch.column("text").cast(pa.string()))
+        if end_id is not None:
+            flat, lengths = np.insert(flat, np.cumsum(lengths), end_id), lengths + 1
         before = start + np.cumsum(lengths) - lengths
         start += int(lengths.sum())
         columns = {
-            "doc_id": batch.column("doc_id"), "shard": pa.array(np.full(len(ids), shard, dtype=np.int32)),
+            "doc_id": batch.column("doc_id"), "shard": pa.array(np.full(len(lengths), shard, dtype=np.int32)),
             "shard_start": pa.array(before), "n_tokens": pa.array(lengths), "ids": list_array(flat, lengths, pa.int32()),
         }
         if keep:
@@ -151,14 +170,15 @@ def write_tokens(
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    columns = ["doc_id", text_of().alias("text")] + ([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("meta")] if keep else [])
+    columns = ["doc_id", text_of().alias("text")] + ([F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in keep]).alias("meta")] if keep else [])
     ranged = docs.select(*columns).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
     )
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, shard int, shard_start long, n_tokens long, ids array<int>"
-    if keep:
-        schema += f", meta {ranged.schema['meta'].dataType.simpleString()}"
+    kinds = {"shard": T.IntegerType(), "shard_start": T.LongType(), "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, k) for n, k in kinds.items()],
+        *([ranged.schema["meta"]] if keep else []),
+    ])
     encoded = ranged.mapInArrow(lambda batches: _encode(batches, spec, end_id, bool(keep)), schema)
     encoded.write.options(
         **{

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -79,25 +80,30 @@ def test_encoder_against_library():
     from tokenizers import Tokenizer
 
     spec = open(queries.tokenizer_file(), encoding="utf-8").read()
-    whole, own = Tokenizer.from_str(spec), tokens.Encoder(spec, limit=5)
+    whole, own = Tokenizer.from_str(spec), tokens.Encoder(spec)
     pick = random.Random(1)
     alphabet = "abYZ .,'sS0é×ÿß\t\n\x1c\x85\xa0日́<|>-"
     texts = ["".join(pick.choice(alphabet) for _ in range(pick.randrange(40))) for _ in range(300)]
     assert own.short_way
-    assert own.encode([t.encode() for t in texts]) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["", " ", "  a  ", "<|endoftext|> x<|startoftext|>", "e\u0301 \u0301e", "ΑΣ ΣΑΣ", "a\x00b", "'s 't'll don't 12"]
+    assert own.encode(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    alike = json.loads(spec)  # a tokenizer of another kind goes to the library whole
+    alike["normalizer"] = None
+    other = tokens.Encoder(json.dumps(alike))
+    assert not other.short_way
+    assert other.encode(texts) == [x.ids for x in Tokenizer.from_str(json.dumps(alike)).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_encoder_beyond_its_memory():
+def test_encoder_of_many_words():
     from tokenizers import Tokenizer
 
     spec = open(queries.tokenizer_file(), encoding="utf-8").read()
-    whole, own = Tokenizer.from_str(spec), tokens.Encoder(spec, limit=20)
+    whole, own = Tokenizer.from_str(spec), tokens.Encoder(spec)
     pick = random.Random(10)
     words = ["".join(pick.choice("abcdeé") for _ in range(6)) for _ in range(200)]
     for n in (5, 100, 0, 18, 15, 200, 3, 21, 20, 60):
         texts = [" ".join(pick.sample(words, n)) + " same" for _ in range(3)]
-        assert own.encode([t.encode() for t in texts]) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-        assert len(own.young) <= 20 and len(own.old) <= 20
+        assert own.encode(texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 PLAIN = [
