@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from colweave.scratch import file_system, qualified
+
 MAX_ROWS = 1_048_575  # data rows a sheet can hold below its header
 _EPOCH = dt.datetime(1899, 12, 30)
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -113,9 +115,7 @@ class XlsxWriter(DataSourceWriter):
         self.path, self.names, self.sheet, self.max_rows, self.overwrite = path, names, sheet, max_rows, overwrite
 
     def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return file_system(self.path)
 
     def write(self, iterator: Iterator) -> _Written:
         from pyspark import TaskContext
@@ -177,4 +177,4 @@ class XlsxDataSource(DataSource):
 def write_xlsx(df: DataFrame, path: str, mode: str = "append", sheet: str = "Data", max_rows: int = MAX_ROWS) -> None:
     spark: SparkSession = df.sparkSession
     spark.dataSource.register(XlsxDataSource)
-    df.write.format("colweave_xlsx").mode(mode).option("sheet", sheet).option("max_rows", max_rows).save(path)
+    df.write.format("colweave_xlsx").mode(mode).option("sheet", sheet).option("max_rows", max_rows).save(qualified(spark, path))
