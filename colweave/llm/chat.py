@@ -85,9 +85,11 @@ def examples(turns: DataFrame) -> DataFrame:
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(
         "conv_id", "turn", role.alias("role"), F.concat(F.lit(START), _escaped_role(role), F.lit("\n")).alias("head"),
-        escaped(text_of()).alias("body"), (role == "assistant").alias("reply"),
+        text_of().alias("text"), (role == "assistant").alias("reply"),
+    )
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select(
+        "conv_id", "head", escaped(F.col("text")).alias("body"), "reply"
     )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body").select("conv_id", "head", "body", "reply")
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, name = to_arrow_type(turns.schema["conv_id"].dataType), turns.schema["conv_id"].dataType.simpleString()

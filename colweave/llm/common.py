@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from colweave.scratch import fresh_dir
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, readable after executors are lost."""
+def written(df: DataFrame, label: str, row_group_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, readable after executors are lost.
+
+    Row groups are small, as a task holds the one it writes in memory.
+    """
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", row_group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ are hit, and the state tells which items hold the window.
 Items are taken in blocks of about ``block_words`` words, which bounds an automaton; a benchmark beyond one block is run
 block by block over all documents and the hits are joined, so a benchmark of any size gives the same result.
 
-Null text has no words. Items without words never match; repeated items count once; items with equal text are all reported.
+Null text has no words. Items of null id hit like others and are left out of the items named. Items without words never match; repeated items count once; items with equal text are all reported.
 Repeated documents are returned as often as they come. Without items nothing is hit.
 """
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, raw_texts, text_of, written
 
@@ -161,7 +162,10 @@ class Automaton:
 
 
 _automata: dict[str, Automaton] = {}
-_SCANNED = "n_words long, starts array<long>, ends array<long>, items array<string>"
+_SCANNED = [
+    T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
+]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> Iterator[pa.RecordBatch]:
@@ -175,13 +179,13 @@ def _scan(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> It
             "row": batch.column("row"), "n_words": pa.array([x[0] for x in found], type=pa.int64()),
             "starts": pa.array([[s for s, _ in x[1]] for x in found], type=pa.list_(pa.int64())),
             "ends": pa.array([[e for _, e in x[1]] for x in found], type=pa.list_(pa.int64())),
-            "items": pa.array([sorted(x[2]) for x in found], type=pa.list_(pa.string())),
+            "items": pa.array([sorted(x[2] - {None}) for x in found], type=pa.list_(pa.string())),
         })
 
 
 def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     """The items in blocks of about ``block_words`` words, a longer item alone; each block is read when its turn comes."""
-    sized = items.where("item_id is not null").select(
+    sized = items.select(
         F.col("item_id").cast("string").alias("item"), text_of().cast("binary").alias("text"),
         F.pmod(F.xxhash64(F.col("item_id"), text_of()), F.lit(1 << 20)).alias("cell"),
         (F.octet_length(text_of()) / 4 + 1).alias("size"),
@@ -200,7 +204,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row")) if whole else docs.select(F.col("doc_id").alias("row"), text_of().alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {_SCANNED}"
+    schema = T.StructType([rows.schema["row"], *_SCANNED])
 
     def scanned(rows, block, schema):
         # a block holds about block_words words, whatever the benchmark's size
@@ -212,11 +216,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     if len(blocks) == 1:
         return scanned(rows, blocks[0], schema)
     # copies of a row are scanned alike, so a row's hits in all blocks meet by its id and hash, and copies are put back after
-    kind = rows.schema["row"].dataType.simpleString()
     if whole:
         rows = rows.withColumn("text", F.col("row.text"))
     keyed = rows.select(F.struct("row", F.xxhash64("row", "text").alias("hash")).alias("row"), "text")
-    parts = [scanned(keyed, b, f"row struct<row:{kind},hash:bigint>, {_SCANNED}") for b in blocks]
+    parts = [scanned(keyed, b, T.StructType([keyed.schema["row"], *_SCANNED])) for b in blocks]
     ranges = F.arrays_zip("starts", "ends")
     merged = None
     for part in parts:
@@ -270,11 +273,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     exceed ``max_coverage`` of its words goes. Documents without a hit are passed on untouched."""
     found = contamination(docs, items, window, whole=True)
     kept = found.where(hit_words() <= F.col("n_words") * max_coverage)
-    kind = found.schema["row"].dataType.simpleString()
     sent = kept.select("row", F.when(F.size("starts") > 0, F.col("row.text")).alias("text"), "starts", "ends")
-    cut, out = sent.mapInArrow(_cut, f"row {kind}, cut string"), []
+    cut, out = sent.mapInArrow(_cut, T.StructType([found.schema["row"], T.StructField("cut", T.StringType())])), []
     for f in docs.schema.fields:
-        own = F.col(f"row.`{f.name}`")
+        own = F.col("row").getField(f.name)
         new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(f.dataType)}.get(f.name)
         out.append((own if new is None else F.coalesce(new, own)).alias(f.name))
     return cut.select(*out)

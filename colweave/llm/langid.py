@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, text_of, unit_hash
 
@@ -116,5 +117,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], row: Column,
     """``row``, lang_pred and score per row of ``docs``. ``temperature`` above 0 divides the log-odds by that share of n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(row.alias("row"), text_of().alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _score(batches, held, temperature), f"row {kind}, lang_pred string, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(lambda batches: _score(batches, held, temperature), schema)

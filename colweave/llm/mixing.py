@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return marked.select("source", "source_size", F.least("limit", F.coalesce(F.col("final") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def solve(sizes: DataFrame, wanted: DataFrame, most: float, steps: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def solve(sizes: DataFrame, wanted: DataFrame, most: float, steps: int = 120, tolerance: float = 1e-6) -> DataFrame:
     """Per source the multiplier of the dual; ``mean`` scales sizes. Newton inside a bracket, a job a step."""
     cap = math.log(most)
     stats = sizes.where("size > 0").groupBy(F.col("source").alias("s")).agg(
@@ -93,8 +93,8 @@ def solve(sizes: DataFrame, wanted: DataFrame, most: float, steps: int = 30, tol
         )
         worst = state.agg(F.max("gap")).first()[0]
         if worst is None or worst < tolerance:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"the dual did not converge within {steps} steps: a target is still missed by a part of {worst:g}")
 
 
 def copies(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -172,7 +172,10 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash")
+    """A hash of all columns; maps and variants, which have no hash, count as their JSON."""
+    whole = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return F.xxhash64(*[F.to_json(F.struct(column(c))) if c in whole else column(c) for c in docs.columns]).alias("row_hash")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:

@@ -140,7 +140,7 @@ _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 ORACLES = {
     "op3_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
-        b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
         windows AS (
             SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS s
             FROM (SELECT item, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)

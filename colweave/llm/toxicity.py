@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, list_array, raw_texts, text_of, unit_hash, written
 
@@ -366,6 +367,6 @@ def score(docs: DataFrame, model: Model, row: Column | None = None, spans: bool
     """``row`` (by default a struct of all columns) and score per row, with ``spans`` also the toxic words' offsets."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row")) if row is None else docs.select(row.alias("row"), text_of().alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    more = ", starts array<long>, ends array<long>" if spans else ""
-    return rows.mapInArrow(lambda batches: _score(batches, held, spans), f"row {kind}, score double{more}")
+    more = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")] if spans else []
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), *more])
+    return rows.mapInArrow(lambda batches: _score(batches, held, spans), schema)

@@ -181,7 +181,7 @@ def _hits(text: str, items: list[tuple[int, str]]):
             if k and tuple(own[i:i + k]) in windows:
                 hit |= set(range(i, i + k))
                 names.add(str(name))
-    return len(own), hit, sorted(names)
+    return len(own), hit, sorted(names - {"None"})
 
 
 @pytest.mark.parametrize("block_words", [150_000, 20])
@@ -192,9 +192,8 @@ def test_contamination_against_windows(spark, docs, none, block_words):
     rows = [(i, text(pick.randrange(60))) for i in range(60)] + [(90, "x z Z z y"), (91, None), (90, "x z Z z y")]
     made = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(*made, block_words=block_words).collect()
-    known = [x for x in items if x[0] is not None]
     got = sorted((r.row, r.n_words, sorted(set().union(*(range(s, e) for s, e in zip(r.starts, r.ends, strict=True)))), list(r["items"])) for r in found)
-    want = sorted((i, n, sorted(h), names) for i, t in rows for n, h, names in [_hits(t, known)])
+    want = sorted((i, n, sorted(h), names) for i, t in rows for n, h, names in [_hits(t, items)])
     assert got == want
     assert decontaminate.contamination(none, made[1]).count() == 0
     empty = decontaminate.decontaminate(docs, made[1].where("false"))
@@ -307,6 +306,41 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_shards_by_weight(spark):
+    """Ids far out, at both ends of their type, and one of much weight: no shard is above twice its size, none is cut unlike another time."""
+    text = lambda i, n: f"{i} " + "x" * n
+    ids = [-9_000_000_000_000_000_000, *range(3000), 10**12, *range(10**12 + 5, 10**12 + 50), 9_000_000_000_000_000_000]
+    rows = [(i, "u", text(i, 600)) for i in ids] + [(77, f"v{k}", text(k, 900)) for k in range(1500)] + [(None, "n", text(k, 100)) for k in range(40)]
+    made = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = [fresh_dir(spark, "w") for _ in range(2)]
+    listed = [sorted((r["name"], r["sha256"]) for r in warc.write_warc(made.repartition(n), p, shard_bytes=60_000, file_bytes=20_000).collect()) for n, p in zip((1, 6), paths, strict=True)]
+    assert listed[0] == listed[1]
+    sizes = {}
+    for r in warc.read_warc(spark, paths[0]).withColumn("n", F.col("payload_bytes") + 400).collect():
+        sizes[r.page_id] = sizes.get(r.page_id, 0) + 1
+    assert sum(sizes.values()) == len(rows) and sizes[77] == 1501 and sizes[None] == 40
+    digest = F.sha1(F.col("html").cast("binary"))
+    cut = warc._shards(made.select("page_id", digest.alias("digest"), F.octet_length("html").alias("size")), 60_000)
+    placed = warc._in_cells(made.withColumn("digest", digest), cut).groupBy("shard").agg(F.sum(F.octet_length("html") + 400).alias("w")).collect()
+    assert len(placed) > 40 and max(r.w for r in placed) <= 120_000
+
+
+def test_awkward_column_names(spark):
+    """Names and kinds of columns that cannot be written into a schema's text or hashed."""
+    rows = [(i, f"some words here {i} and more words", "en", "a", 10, i, {"k": i}) for i in range(30)] + [(30, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m int, kv map<string,int>")
+    docs = docs.withColumnsRenamed({"m": "n:x, y", "kv": "my `col`"})
+    items = spark.createDataFrame([(None, "words here 7")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, items).columns == docs.columns
+    assert [r[0] for r in decontaminate.contamination(docs, items).where("size(starts) > 0").collect()] == [7]
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs).count() >= 30
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(docs, model, spans=True).select("row.*").columns == docs.columns
+    path = fresh_dir(spark, "t")
+    tokens.write_tokens(docs, path, queries.tokenizer_file(), 1, keep=("n:x, y", "my `col`"))
+    assert spark.read.parquet(f"{path}/data").count() == 31
+
+
 @pytest.mark.parametrize("node_size", [2048, 30])
 def test_simhash_links_and_components(spark, node_size):
     rng = random.Random(7)
@@ -390,6 +424,7 @@ def test_chat_round_trip(spark):
     rows = [
         (1, 0, "system", "be <|im_end|> kind"), (1, 1, "user", "<\\|x|> \\n <"), (1, 2, "assistant", "|y<|im_start|>"), (1, 3, "user", None),
         (1, 4, "assistant", ""), (1, 5, "user", "tail"), (2, 0, None, "x"), (3, 0, "we\nird\\n", "y"), (3, 0, "we\nird\\n", "y"), (None, None, "assistant", "z" * 9000),
+        (4, 0, "user", "<|x"), (4, 0, "user", "<a"), (4, 1, "assistant", "<\\|"),
     ]
     made = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, example int")
     out = chat.examples(made)
@@ -397,10 +432,10 @@ def test_chat_round_trip(spark):
     for r in texts:
         if r.loss_start is not None:
             assert list(chat.turns_of(r.text))[-1] == ("assistant", chat.unescape(r.text[r.loss_start:r.loss_end]))
-    assert sorted((r.conv_id or 0, r.example) for r in texts) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    assert sorted((r.conv_id or 0, r.example) for r in texts) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (4, 0)]
     found = {r.conv_id: r for r in chat.digests(out).collect()}
     for conv in {r[0] for r in rows}:
-        own = [(r[2] or "", r[3] or "") for r in rows if r[0] == conv]
+        own = [(r[2] or "", r[3] or "") for r in sorted(rows, key=lambda r: (r[1] or 0, r[2] or "", r[3] or "")) if r[0] == conv]
         loss = "".join(t for role, t in own if role == "assistant")
         r = found[conv]
         assert r.n_turns == len(own) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
