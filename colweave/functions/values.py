@@ -27,10 +27,25 @@ _NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|in
 
 _EMAIL = r"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 
-#: What may part the groups of a phone number, all kinds of white space among it, and the form left once each is a blank.
-_PARTING = "-." + WHITE_SPACE
-_COUNTRY, _AREA, _LOCAL = "[+]?[0-9]{1,3}", "[(]?[0-9]{2,4}[)]?", "[0-9]{3,4}"
-_PHONE_SHAPE = f"^({_COUNTRY} ?)?({_AREA} ?)?{_LOCAL} ?{_LOCAL}$"
+#: What may part the groups of a phone number, all kinds of white space among it.
+PHONE_PARTING = "-." + WHITE_SPACE
+#: How many digits the groups have: a prefix, an area and two local groups. Prefix and area may be absent.
+PREFIX_DIGITS, AREA_DIGITS, LOCAL_DIGITS = (1, 2, 3), (2, 3, 4), (3, 4)
+
+
+def _phone_outlines() -> list[str]:
+    """Every outline a phone number may have: digits as 9, whatever parts groups as a blank.
+
+    A plus may lead the prefix, a bracket may stand on either side of the area, and groups may touch.
+    """
+    parted = lambda group: [group, group + " "]
+    prefixes = ["", *(x for n in PREFIX_DIGITS for sign in ("", "+") for x in parted(sign + "9" * n))]
+    areas = ["", *(x for n in AREA_DIGITS for left in ("", "(") for right in ("", ")") for x in parted(left + "9" * n + right))]
+    locals_ = [x + "9" * n for m in LOCAL_DIGITS for x in parted("9" * m) for n in LOCAL_DIGITS]
+    return sorted({prefix + area + local for prefix in prefixes for area in areas for local in locals_})
+
+
+PHONE_OUTLINES = _phone_outlines()
 
 
 def filled(c: Column, t: T.DataType) -> Column:
@@ -117,8 +132,14 @@ def is_email(c: Column) -> Column:
 
 
 def is_phone(c: Column) -> Column:
-    """Groups of digits: country (1-3, perhaps with a plus), area (2-4, perhaps in brackets), then twice 3-4."""
-    return F.coalesce(F.translate(c, _PARTING, " " * len(_PARTING)).rlike(_PHONE_SHAPE), F.lit(False))
+    """Whether the value's outline is one of ``PHONE_OUTLINES``, looked up among those of its length."""
+    outline = F.translate(c, "0123456789" + PHONE_PARTING, "9" * 10 + " " * len(PHONE_PARTING))
+    by_length: dict[int, str] = {}
+    for o in PHONE_OUTLINES:
+        by_length[len(o)] = by_length.get(len(o), "|") + o + "|"
+    known = F.str_to_map(F.lit(";".join(f"{n}={text}" for n, text in by_length.items())), F.lit(";"), F.lit("="))
+    alike = F.element_at(known, F.length(outline).cast("string"))
+    return F.coalesce(F.contains(alike, F.concat(F.lit("|"), outline, F.lit("|"))) & ~F.contains(outline, F.lit("|")), F.lit(False))
 
 
 def is_number_text(c: Column) -> Column:

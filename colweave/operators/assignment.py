@@ -15,105 +15,22 @@ from ..functions.headers import normalize_header
 from ..vocab import DEFAULT_VOCABULARY, Vocabulary
 from .catalog import shape_keys
 from .scoring import MICRO, header_features, score_features
+from .sparse_matching import heaviest_matching
 
 THRESHOLD = 70.0
 
-# Up to this many edges, trying all matchings beats setting up a matrix.
-_SEARCH_EDGES = 7
-
-
-def _potentials(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shortest augmenting paths on a square integer cost matrix: duals and the row of each column."""
-    n = len(cost)
-    u, v = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    row_of = np.full(n + 1, n)  # index n stands for "none"
-    far = np.iinfo(np.int64).max // 4
-    for start in range(n):
-        row_of[n] = start
-        best, back = np.full(n, far), np.full(n, n)
-        done = np.zeros(n + 1, dtype=bool)
-        col = n
-        while True:
-            done[col] = True
-            row = row_of[col]
-            reach = cost[row] - u[row] - v[:n]
-            better = ~done[:n] & (reach < best)
-            best[better], back[better] = reach[better], col
-            col_next = int(np.argmin(np.where(done[:n], far, best)))
-            step = best[col_next]
-            u[row_of[done]] += step
-            v[done] -= step
-            best[~done[:n]] -= step
-            col = col_next
-            if row_of[col] == n:
-                break
-        while col != n:
-            row_of[col] = row_of[back[col]]
-            col = back[col]
-    return u[:n], v[:n], row_of[:n]
-
-
-def _reroute(row: int, goal: int, allowed: list[set[int]], row_of: np.ndarray) -> bool:
-    """Give ``row`` another column by an alternating path that ends in ``goal``."""
-    came: dict[int, tuple[int, int]] = {}
-    queue = [(row, -1)]
-    for here, via in queue:
-        for col in allowed[here]:
-            if col in came or col == via:
-                continue
-            came[col] = (here, via)
-            if col == goal:
-                while True:
-                    here, via = came[col]
-                    row_of[col] = here
-                    if here == row:
-                        return True
-                    col = via
-            queue.append((int(row_of[col]), col))
-    return False
+# Parts up to this many edges are remembered: many tables have the same few.
+_REMEMBERED_EDGES = 64
 
 
 def solve_component(weight: np.ndarray) -> list[int]:
     """Column per row (-1 for none) of the heaviest matching of a non-negative integer matrix.
 
-    Among equally heavy ones: the lexicographically smallest column list, "none" last. All
-    optimal assignments of a squared matrix are the perfect matchings of its tight edges, so
-    rows take their smallest column that still leaves such a matching.
+    Among equally heavy ones: the lexicographically smallest column list, "none" last.
     """
-    n_rows, n_cols = weight.shape
-    n = max(n_rows, n_cols)
-    gain = np.zeros((n, n), dtype=np.int64)
-    gain[:n_rows, :n_cols] = weight
-    u, v, row_of = _potentials(-gain)
-    tight = (-gain - u[:, None] - v[None, :]) == 0
-    allowed = [set(np.flatnonzero(tight[i]).tolist()) for i in range(n)]
-    col_of = {int(row): col for col, row in enumerate(row_of)}
-    picks = []
-    for i in range(n_rows):
-        real = sorted(c for c in allowed[i] if gain[i, c] > 0)
-        idle = {c for c in allowed[i] if gain[i, c] == 0}
-        for choice in [{c} for c in real] + [idle]:
-            current = col_of[i]
-            if current in choice:
-                allowed[i] = choice
-                break
-            taken = False
-            for col in sorted(choice):
-                other = int(row_of[col])
-                saved, saved_allowed = row_of.copy(), allowed[i]
-                allowed[i] = {col}
-                row_of[col] = i
-                if _reroute(other, current, allowed, row_of):
-                    col_of = {int(row): c for c, row in enumerate(row_of)}
-                    taken = True
-                    break
-                row_of[:], allowed[i] = saved, saved_allowed
-            if taken:
-                allowed[i] = choice
-                break
-        pick = col_of[i]
-        picks.append(pick if gain[i, pick] > 0 else -1)
-    return picks
+    edges = [(int(i), int(j), int(weight[i, j])) for i, j in np.argwhere(weight > 0)]
+    found = {i: j for i, j, _ in heaviest_matching(edges)}
+    return [found.get(i, -1) for i in range(len(weight))]
 
 
 def _components(edges: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -137,48 +54,19 @@ def _components(edges: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, i
     yield from groups.values()
 
 
-def _search(part: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
-    """The same choice for a few edges, by trying all."""
-    rows: dict[int, list[tuple[int, int]]] = {}
-    for t, r, micro in sorted(part):
-        rows.setdefault(t, []).append((r, micro))
-    order = list(rows)
-    best: tuple = (-1, [])
-
-    def go(i: int, total: int, picks: list) -> None:
-        nonlocal best
-        if i == len(order):
-            # Choices come in the wanted order, so the first of equal totals stays.
-            if total > best[0]:
-                best = (total, picks)
-            return
-        taken = {p[1] for p in picks}
-        for r, micro in rows[order[i]]:
-            if r not in taken:
-                go(i + 1, total + micro, [*picks, (order[i], r, micro)])
-        go(i + 1, total, picks)
-
-    go(0, 0, [])
-    return best[1]
-
-
 @lru_cache(maxsize=50_000)
 def _solve_part(part: tuple[tuple[int, int, int], ...]) -> list[tuple[int, int, int]]:
-    if len(part) <= _SEARCH_EDGES:
-        return _search(part)
-    rows, cols = sorted({e[0] for e in part}), sorted({e[1] for e in part})
-    weight = np.zeros((len(rows), len(cols)), dtype=np.int64)
-    ri, ci = {t: i for i, t in enumerate(rows)}, {r: i for i, r in enumerate(cols)}
-    for t, r, micro in part:
-        weight[ri[t], ci[r]] = micro
-    return [(rows[i], cols[j], int(weight[i, j])) for i, j in enumerate(solve_component(weight)) if j >= 0]
+    return heaviest_matching(list(part))
 
 
 def solve_edges(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The chosen ``(t_ord, r_ord, micro)`` of one pair of tables."""
     if len(edges) == 1:
         return edges
-    return [edge for part in _components(edges) for edge in _solve_part(tuple(part))]
+    out = []
+    for part in _components(edges):
+        out += _solve_part(tuple(part)) if len(part) <= _REMEMBERED_EDGES else heaviest_matching(part)
+    return out
 
 
 def _solver(keys: list[str]):

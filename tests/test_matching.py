@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from colweave.operators import assignment as A
 from colweave.operators import mapping as M
 from colweave.operators.catalog import column_catalog, schema_drift, schema_fingerprints, shape_keys
+from colweave.operators.sparse_matching import heaviest_matching
 
 
 def brute(weight):
@@ -180,3 +182,38 @@ def test_catalog(spark):
 def test_schema_drift(spark, old, new, want):
     df = lambda cols: spark.createDataFrame([("t", c) for c in cols], "table_id string, column_name string")
     assert {tuple(r)[1:] for r in schema_drift(df(old), df(new)).collect()} == want
+
+
+def test_sparse_matching_on_wide_sides():
+    """A narrow side against thousands of equal edges, from either side, and ties that only rerouting settles."""
+    for n, m in ((20, 2000), (2000, 20)):
+        edges = [(i, j, 880_000) for i in range(n) for j in range(m)]
+        start = time.perf_counter()
+        assert heaviest_matching(edges) == [(i, i, 880_000) for i in range(20)]
+        assert time.perf_counter() - start < 5
+    assert heaviest_matching([(0, 0, 1), (0, 1, 1), (1, 0, 1)]) == [(0, 1, 1), (1, 0, 1)]
+    assert heaviest_matching([(0, 5, 2), (1, 5, 2)]) == [(0, 5, 2)]
+    assert heaviest_matching([(0, 5, 2), (1, 5, 3)]) == [(1, 5, 3)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_matching_equals_all_choices(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        top, share = rng.choice([1, 2, 9]), rng.random()
+        edges = [(i, j, rng.randint(1, top)) for i in range(rng.randint(1, 6)) for j in range(rng.randint(1, 6)) if rng.random() < share]
+        rows = sorted({e[0] for e in edges})
+        best = (-1, [])
+
+        def go(i, total, picks, edges=edges, rows=rows):
+            nonlocal best
+            if i == len(rows):
+                best = (total, picks) if total > best[0] else best
+                return
+            for r, c, w in sorted(e for e in edges if e[0] == rows[i]):
+                if c not in {p[1] for p in picks}:
+                    go(i + 1, total + w, [*picks, (r, c, w)])
+            go(i + 1, total, picks)
+
+        go(0, 0, [])
+        assert heaviest_matching(edges) == best[1]
