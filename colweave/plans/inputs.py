@@ -1,6 +1,6 @@
 """Header-like and messy text derived from the given tables, in Spark and in SQL alike.
 
-Every expression keeps all rows; the modulus only chooses a spelling per row.
+Every expression keeps all rows and whole texts; the modulus only chooses a spelling or a place per row.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ def raw_header() -> Column:
 
 
 def template_header() -> Column:
-    return F.concat(F.substring_index("p_name", " ", -1), pick(TEMPLATE_SUFFIX, F.col("p_partkey")))
+    return F.concat("p_name", pick(TEMPLATE_SUFFIX, F.col("p_partkey")))
 
 
 RAW_SQL = f"p_name || {sql_pick(RAW_SUFFIX, 'p_size')}"
-TEMPLATE_SQL = f"regexp_extract(p_name, '[^ ]+$') || {sql_pick(TEMPLATE_SUFFIX, 'p_partkey')}"
+TEMPLATE_SQL = f"p_name || {sql_pick(TEMPLATE_SUFFIX, 'p_partkey')}"
 
 
 def header_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,28 +61,29 @@ FEED_SQL = f"""
 
 
 def template_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand as a template of five columns named after its parts."""
-    return table(spark, sf_dir, "part").groupBy(
-        F.col("p_brand").alias("table_id"), (F.col("p_size") % 5).alias("ordinal")
-    ).agg(F.min(template_header()).alias("column_name"))
+    """Every five parts as a template whose columns are named after them, so templates grow with the parts."""
+    return table(spark, sf_dir, "part").select(
+        F.expr("cast(p_partkey div 5 as string)").alias("table_id"), (F.col("p_partkey") % 5).cast("int").alias("ordinal"),
+        template_header().alias("column_name"),
+    )
 
 
 TEMPLATE_CATALOG_SQL = f"""
-    SELECT p_brand AS table_id, p_size % 5 AS ordinal, min({TEMPLATE_SQL}) AS column_name FROM part GROUP BY ALL
+    SELECT CAST(p_partkey // 5 AS VARCHAR) AS table_id, CAST(p_partkey % 5 AS INTEGER) AS ordinal, {TEMPLATE_SQL} AS column_name FROM part
 """
 
 
 def match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each feed is matched against the template of its customer's brand."""
+    """Each feed is matched against a template chosen by its customer; there are four parts to three customers."""
     orders = table(spark, sf_dir, "orders")
     return orders.select(
         F.col("o_orderkey").cast("string").alias("source_id"),
-        F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("template_id"),
+        F.expr("cast(o_custkey * 4 div 15 as string)").alias("template_id"),
     )
 
 
 REQUEST_SQL = """
-    SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS template_id FROM orders
+    SELECT CAST(o_orderkey AS VARCHAR) AS source_id, CAST(o_custkey * 4 // 15 AS VARCHAR) AS template_id FROM orders
 """
 
 

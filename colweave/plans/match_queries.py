@@ -8,7 +8,7 @@ from ..functions.headers import normalize_header
 from ..operators import assignment as A
 from ..operators import mapping as M
 from ..operators.catalog import schema_drift
-from ..scratch import fresh_dir
+from ..scratch import exists, fresh_dir
 from . import inputs as I
 from . import sql_text as Q
 from .core import query, table
@@ -100,72 +100,66 @@ def catalog_match(spark, sf_dir):
 _KEYS = ["source_id", "template_id"]
 
 
-# A smaller stand-in for the review operators: each order's mapping, read off its lines. Template column k
-# of order o takes the k-th line's part; quality follows the line's quantity.
+_PATTERNS = ["email", "phone", "numeric", "date", "text", "empty"]
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _matched(spark, sf_dir):
+    """The result of the catalog match as a stored table, which is what is reviewed; written once a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
+        path = fresh_dir(spark, "matched")
+        _mapping(spark, sf_dir).withColumn("source_id", F.col("source_id").cast("long")).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def _pattern(ordinal: str):
+    """Value patterns of columns are given by their place: feeds are headers without values here."""
+    return F.element_at(F.array(*[F.lit(p) for p in _PATTERNS]), ((F.col(ordinal) + F.col("mapping_id")) % 6 + 1).cast("int"))
+
+
 def _line_mapping(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    rows = line.join(part, line.l_partkey == part.p_partkey).groupBy(
-        F.col("l_orderkey").alias("mapping_id"), F.col("l_linenumber").alias("t_ord")
-    ).agg(
-        F.max(F.struct(F.col("l_quantity").cast("int").alias("q"), F.col("p_partkey").alias("pk"), "p_name", "p_type")).alias("x")
-    )
-    q = F.col("x.q")
-    hit = q % 4 != 0
-    return rows.select(
-        "mapping_id", "t_ord", F.concat_ws(" ", F.lit("field"), "t_ord").alias("template_col"),
-        F.when(hit, (q % 7).cast("int")).alias("r_ord"),
-        F.when(hit, F.concat_ws(" ", F.lit("col"), q % 7)).alias("raw_col"),
-        F.when(hit, F.lit(1.0) - (q % 6) / 10.0).otherwise(0.0).alias("confidence"),
-        F.element_at(F.array(*[F.lit(p) for p in _PATTERNS]), (q % 6 + 1)).alias("pattern"),
+    """Each order's matched mapping: the template's columns, its lines as raw columns."""
+    matched = _matched(spark, sf_dir).select(
+        F.col("source_id").alias("mapping_id"), "t_ord", "template_col", "r_ord", "raw_col", "confidence"
     )
+    return matched.withColumn("pattern", _pattern("t_ord"))
 
 
-_PATTERNS = ["email", "phone", "numeric", "date", "text", "empty"]
-
 _LINE_CTE = f"""
-    lm0 AS (
-      SELECT l_orderkey AS mapping_id, l_linenumber AS t_ord, max(CAST(l_quantity AS INTEGER)) AS q
-      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-    lm AS (
-      SELECT mapping_id, t_ord, 'field ' || t_ord AS template_col,
-             CASE WHEN q % 4 <> 0 THEN q % 7 END AS r_ord,
-             CASE WHEN q % 4 <> 0 THEN 'col ' || (q % 7) END AS raw_col,
-             CASE WHEN q % 4 <> 0 THEN 1.0::DOUBLE - (q % 6) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-             ({_PATTERNS!r})[q % 6 + 1] AS pattern
-      FROM lm0)
+    {ASSIGN_CTES}, {_mapping_sql(70)},
+    lm AS MATERIALIZED (
+      SELECT CAST(source_id AS BIGINT) AS mapping_id, t_ord, template_col, r_ord, raw_col, confidence,
+             ({_PATTERNS!r})[(t_ord + CAST(source_id AS BIGINT)) % 6 + 1] AS pattern
+      FROM mapping)
 """
 
 
-# Seven raw columns per order; their pattern follows the column and the order.
-def _raw_columns(mapping):
-    ids = mapping.select("mapping_id").distinct()
-    r = F.col("r_ord")
-    return ids.select("mapping_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("r_ord")).select(
-        "mapping_id", "r_ord", F.concat_ws(" ", F.lit("col"), r).alias("raw_col"),
-        F.element_at(F.array(*[F.lit(p) for p in _PATTERNS]), ((r + F.col("mapping_id")) % 6 + 1).cast("int")).alias("pattern"),
-    )
+def _raw_columns(spark, sf_dir):
+    feeds = I.feed_catalog(spark, sf_dir)
+    columns = feeds.select(F.col("table_id").cast("long").alias("mapping_id"), F.col("ordinal").alias("r_ord"), F.col("column_name").alias("raw_col"))
+    return columns.withColumn("pattern", _pattern("r_ord"))
 
 
 _RAW_CTE = f"""
-    rawc AS (
-      SELECT mapping_id, r_ord, 'col ' || r_ord AS raw_col, ({_PATTERNS!r})[(r_ord + mapping_id) % 6 + 1] AS pattern
-      FROM (SELECT DISTINCT mapping_id FROM lm), (SELECT unnest(range(7))::INTEGER AS r_ord))
+    rawc AS MATERIALIZED (
+      SELECT CAST(source_id AS BIGINT) AS mapping_id, r_ord, raw_col, ({_PATTERNS!r})[(r_ord + CAST(source_id AS BIGINT)) % 6 + 1] AS pattern FROM rc)
 """
 
 
 @query("unused_raw", f"""
-    WITH {_LINE_CTE}, {_RAW_CTE}
+    WITH RECURSIVE {_LINE_CTE}, {_RAW_CTE}
     SELECT mapping_id, r_ord, raw_col, pattern FROM rawc
     WHERE (mapping_id, raw_col) NOT IN (SELECT (mapping_id, raw_col) FROM lm WHERE raw_col IS NOT NULL)
 """)
 def unused_raw(spark, sf_dir):
     mapping = _line_mapping(spark, sf_dir)
-    return M.unused_raw(mapping, _raw_columns(mapping), ["mapping_id"])
+    return M.unused_raw(mapping, _raw_columns(spark, sf_dir), ["mapping_id"])
 
 
 @query("unmapped_template", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, template_col, raw_col, confidence FROM lm WHERE raw_col IS NULL OR confidence < 0.8
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, template_col, raw_col, confidence FROM lm WHERE raw_col IS NULL OR confidence < 0.8
 """)
 def unmapped_template(spark, sf_dir):
     return M.unmapped_template(_line_mapping(spark, sf_dir)).select("mapping_id", "template_col", "raw_col", "confidence")
@@ -188,36 +182,38 @@ def unmapped_template(spark, sf_dir):
           (SELECT min(f.r_ord) FROM free f WHERE f.mapping_id = t.mapping_id AND f.pattern = w.pattern
              AND NOT list_contains(t.taken, f.r_ord)) AS got
         FROM turns t JOIN waiting w ON w.mapping_id = t.mapping_id AND w.turn = t.turn + 1))
-    SELECT lm.mapping_id, lm.template_col, coalesce(lm.raw_col, 'col ' || got) AS raw_col,
+    SELECT lm.mapping_id, lm.template_col, coalesce(lm.raw_col, f.raw_col) AS raw_col,
            CASE WHEN got IS NOT NULL THEN 0.6 ELSE lm.confidence END AS confidence
     FROM lm LEFT JOIN waiting w USING (mapping_id, t_ord) LEFT JOIN turns t ON t.mapping_id = w.mapping_id AND t.turn = w.turn
+    LEFT JOIN rawc f ON f.mapping_id = lm.mapping_id AND f.r_ord = got
 """)
 def promote_by_pattern(spark, sf_dir):
     mapping = _line_mapping(spark, sf_dir)
     promoted = M.promote_by_pattern(
-        mapping.drop("pattern"), mapping.select("mapping_id", "template_col", "pattern"), _raw_columns(mapping), ["mapping_id"]
+        mapping.drop("pattern"), mapping.select("mapping_id", "template_col", "pattern"), _raw_columns(spark, sf_dir), ["mapping_id"]
     )
     return promoted.select("mapping_id", "template_col", "raw_col", "confidence")
 
 
 @query("apply_overrides", f"""
-    WITH {_LINE_CTE}
+    WITH RECURSIVE {_LINE_CTE}
     SELECT mapping_id, template_col,
-      CASE t_ord WHEN 1 THEN 'col 3' WHEN 2 THEN NULL ELSE raw_col END AS raw_col,
-      CASE t_ord WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE confidence END AS confidence,
-      CASE WHEN t_ord = 1 AND raw_col = 'col 3' THEN 'confirmed' WHEN t_ord IN (1, 2) THEN 'manual' ELSE 'automatic' END AS mapping_type
+      CASE t_ord WHEN 2 THEN NULL WHEN 3 THEN 'col 3' ELSE raw_col END AS raw_col,
+      CASE WHEN t_ord = 2 THEN 0.0 WHEN t_ord = 3 OR (t_ord = 1 AND raw_col IS NOT NULL) THEN 1.0 ELSE confidence END AS confidence,
+      CASE WHEN t_ord = 1 AND raw_col IS NOT NULL THEN 'confirmed' WHEN t_ord IN (2, 3) THEN 'manual' ELSE 'automatic' END AS mapping_type
     FROM lm
 """)
 def apply_overrides(spark, sf_dir):
+    """The reviewer confirms the second column's match, takes the third's away and names another for the fourth."""
     mapping = _line_mapping(spark, sf_dir)
-    overrides = mapping.where("t_ord in (1, 2)").select(
-        "mapping_id", "template_col", F.when(F.col("t_ord") == 1, "col 3").alias("raw_col")
+    overrides = mapping.where("t_ord in (2, 3) or t_ord = 1 and raw_col is not null").select(
+        "mapping_id", "template_col", F.when(F.col("t_ord") == 1, F.col("raw_col")).when(F.col("t_ord") == 3, "col 3").alias("raw_col")
     )
     return M.apply_overrides(mapping, overrides, ["mapping_id"]).drop("t_ord")
 
 
 @query("mapping_duplicates", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, raw_col, count(*) AS n_uses FROM lm WHERE raw_col IS NOT NULL
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, raw_col, count(*) AS n_uses FROM lm WHERE raw_col IS NOT NULL
     GROUP BY ALL HAVING count(*) > 1
 """)
 def mapping_duplicates(spark, sf_dir):
@@ -225,7 +221,7 @@ def mapping_duplicates(spark, sf_dir):
 
 
 @query("confidence_band", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, template_col,
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, template_col,
       CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence > 0 THEN 'low' ELSE 'none' END AS band
     FROM lm
 """)
@@ -234,7 +230,7 @@ def confidence_band(spark, sf_dir):
 
 
 @query("mapping_progress", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, count(raw_col) AS n_matched, count(*) AS n_total,
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, count(raw_col) AS n_matched, count(*) AS n_total,
       CAST(floor(count(raw_col) * 100 / count(*)) AS BIGINT) AS pct_complete,
       count(*) FILTER (raw_col IS NOT NULL AND confidence >= 0.8) AS n_auto_accepted FROM lm GROUP BY ALL
 """)
@@ -243,7 +239,7 @@ def mapping_progress(spark, sf_dir):
 
 
 @query("review_queue", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, t_ord, template_col, raw_col, confidence FROM lm
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, t_ord, template_col, raw_col, confidence FROM lm
     WHERE NOT (raw_col IS NOT NULL AND confidence >= 0.8)
 """)
 def review_queue(spark, sf_dir):

@@ -102,7 +102,7 @@ def _code_table(spark, sf_dir):
     return o.select(
         "o_orderkey", "o_custkey",
         (key % 40).cast("string").alias("slot"), F.concat(F.lit(" "), (cust % 25).cast("string")).alias("zone"),
-        (cust % 300 + 20).alias("batch"), "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("rank"),
+        (cust % 300 + 20).alias("batch"), "o_orderstatus", F.length("o_orderpriority").cast("string").alias("rank"),
         F.when(key % 3 == 0, F.col("o_orderstatus")).when(key % 3 == 1, "").alias("stage"),
         F.lit(None).cast("string").alias("nothing"),
     )
@@ -110,7 +110,7 @@ def _code_table(spark, sf_dir):
 
 _CODE_SQL = """
     SELECT o_orderkey, o_custkey, CAST(o_orderkey % 40 AS VARCHAR) AS slot, ' ' || (o_custkey % 25) AS zone, o_custkey % 300 + 20 AS batch,
-      o_orderstatus, o_orderpriority[1:1] AS rank,
+      o_orderstatus, CAST(length(o_orderpriority) AS VARCHAR) AS rank,
       CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus WHEN 1 THEN '' END AS stage, CAST(NULL AS VARCHAR) AS nothing FROM orders
 """
 _CODE_COLS = ["o_orderkey", "o_custkey", "slot", "zone", "batch", "o_orderstatus", "rank", "stage", "nothing"]

@@ -25,7 +25,7 @@ def schema_fingerprint(spark, sf_dir):
 
 
 @query("mapping_rows", f"""
-    WITH {_LINE_CTE} SELECT mapping_id, template_col, raw_col AS source_column, confidence AS confidence_score,
+    WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, template_col, raw_col AS source_column, confidence AS confidence_score,
       {_TYPE_SQL} AS mapping_type FROM lm
 """)
 def mapping_rows(spark, sf_dir):
@@ -43,7 +43,7 @@ _QUALITY_SQL = """
 """
 
 
-@query("mapping_quality", f"WITH {_LINE_CTE} {_QUALITY_SQL}")
+@query("mapping_quality", f"WITH RECURSIVE {_LINE_CTE} {_QUALITY_SQL}")
 def mapping_quality(spark, sf_dir):
     q = R.mapping_quality(_line_mapping(spark, sf_dir), ["mapping_id"])
     rounded = {c: F.round(c, 6) for c in ("overall_score", "completeness", "average_confidence")}
@@ -59,41 +59,69 @@ def _registry(spark, sf_dir):
 
 
 _FPS = f"""
-    raw_fp AS (SELECT CAST(table_id AS BIGINT) AS mapping_id, md5(string_agg(column_name, '|' ORDER BY column_name)) AS source_fingerprint,
-               count(*) AS n_raw FROM ({I.FEED_SQL}) GROUP BY table_id),
+    raw_fp AS (SELECT mapping_id, md5(coalesce(string_agg(column_name, '|' ORDER BY column_name), '')) AS source_fingerprint,
+               count(column_name) AS n_raw
+               FROM (SELECT DISTINCT mapping_id FROM lm) LEFT JOIN ({I.FEED_SQL}) ON CAST(table_id AS BIGINT) = mapping_id GROUP BY mapping_id),
     template_fp AS (SELECT mapping_id, md5(string_agg(template_col, '|' ORDER BY template_col)) AS template_fingerprint FROM lm GROUP BY ALL)
 """
 
 
-@query("registry_row")
+_ENTRIES_SQL = f"""
+    entries AS (SELECT mapping_id, string_agg(template_col || '=' || coalesce(raw_col, '') || '@' || printf('%.4f', confidence) || ':' || {_TYPE_SQL},
+                '|' ORDER BY template_col) AS entries, string_agg(template_col, '|' ORDER BY t_ord) AS template_columns FROM lm GROUP BY mapping_id)
+"""
+
+
+def _entries(mappings):
+    """Every entry of a mapping as text, by template column."""
+    one = lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"]["source_column"], F.lit("")), F.lit("@"),
+        F.format_string("%.4f", e["value"]["confidence_score"]), F.lit(":"), e["value"]["mapping_type"],
+    )
+    return F.array_join(F.transform(F.array_sort(F.map_entries(mappings), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)), one), "|")
+
+
+@query("registry_row", f"""
+    WITH RECURSIVE {_LINE_CTE}, {_FPS}, {_ENTRIES_SQL}, quality AS ({_QUALITY_SQL})
+    SELECT mapping_id, source_fingerprint, template_fingerprint, entries, template_columns, n_raw, overall_score, completeness, average_confidence,
+      high_confidence_mappings, total_mappings, successful_mappings, successful_mappings AS mapped_count, total_mappings - successful_mappings AS unmapped_count
+    FROM quality JOIN raw_fp USING (mapping_id) JOIN template_fp USING (mapping_id) JOIN entries USING (mapping_id)
+""")
 def registry_row(spark, sf_dir):
-    return _registry(spark, sf_dir)
+    """Whole configurations, but for their times, with entries and column lists as text."""
+    q = [F.col(f"statistics.mapping_quality.{c}").alias(c) for c in ("high_confidence_mappings", "total_mappings", "successful_mappings")]
+    rounded = [F.round(f"statistics.mapping_quality.{c}", 6).alias(c) for c in ("overall_score", "completeness", "average_confidence")]
+    return _registry(spark, sf_dir).select(
+        "mapping_id", "source_fingerprint", "template_fingerprint", _entries(F.col("mappings")).alias("entries"),
+        F.array_join("column_info.template_columns", "|").alias("template_columns"), F.size("column_info.raw_columns").cast("long").alias("n_raw"),
+        *rounded, *q, F.col("column_info.mapped_count").alias("mapped_count"), F.col("column_info.unmapped_count").alias("unmapped_count"),
+    )
 
 
 @query("registry_roundtrip", f"""
-    WITH {_LINE_CTE}, {_FPS}, quality AS ({_QUALITY_SQL})
-    SELECT mapping_id, source_fingerprint, template_fingerprint, average_confidence, total_mappings AS n_entries,
+    WITH RECURSIVE {_LINE_CTE}, {_FPS}, {_ENTRIES_SQL}, quality AS ({_QUALITY_SQL})
+    SELECT mapping_id, source_fingerprint, template_fingerprint, average_confidence, entries,
       successful_mappings AS mapped_count, n_raw
-    FROM quality JOIN raw_fp USING (mapping_id) JOIN template_fp USING (mapping_id)
+    FROM quality JOIN raw_fp USING (mapping_id) JOIN template_fp USING (mapping_id) JOIN entries USING (mapping_id)
 """)
 def registry_roundtrip(spark, sf_dir):
     back = R.import_json(R.export_json(_registry(spark, sf_dir)))
     return back.select(
         "mapping_id", "source_fingerprint", "template_fingerprint",
         F.round("statistics.mapping_quality.average_confidence", 6).alias("average_confidence"),
-        F.size("mappings").cast("long").alias("n_entries"), F.col("column_info.mapped_count").alias("mapped_count"),
+        _entries(F.col("mappings")).alias("entries"), F.col("column_info.mapped_count").alias("mapped_count"),
         F.size("column_info.raw_columns").cast("long").alias("n_raw"),
     )
 
 
-@query("reusable_mappings", f"WITH {_LINE_CTE} SELECT mapping_id, template_col, raw_col FROM lm WHERE raw_col IS NOT NULL")
+@query("reusable_mappings", f"WITH RECURSIVE {_LINE_CTE} SELECT mapping_id, template_col, raw_col FROM lm WHERE raw_col IS NOT NULL")
 def reusable_mappings(spark, sf_dir):
     return R.reusable_mappings(_registry(spark, sf_dir), ["mapping_id"])
 
 
 # Later state of the tables: raw names change on every third order, templates on every fifth.
 @query("schema_compat", f"""
-    WITH advice AS (SELECT mapping_id AS config_id, mapping_id % 3 <> 0 AS r, mapping_id % 5 <> 0 AS t FROM (SELECT DISTINCT l_orderkey AS mapping_id FROM lineitem))
+    WITH advice AS (SELECT mapping_id AS config_id, mapping_id % 3 <> 0 AS r, mapping_id % 5 <> 0 AS t FROM (SELECT o_orderkey AS mapping_id FROM orders))
     SELECT config_id, r AND t AS is_compatible, r AS raw_structure_match, t AS template_structure_match, t AS can_reuse_mappings,
       CASE {' '.join(f"WHEN r = {r} AND t = {t} THEN {Q.quote(text)}" for (r, t), text in R.ADVICE.items())} END AS recommendation
     FROM advice
@@ -109,7 +137,7 @@ def schema_compat(spark, sf_dir):
 
 
 @query("mapping_summary", f"""
-    WITH {_LINE_CTE}, {_FPS}, quality AS ({_QUALITY_SQL})
+    WITH RECURSIVE {_LINE_CTE}, {_FPS}, quality AS ({_QUALITY_SQL})
     SELECT mapping_id, printf('%d of %d template columns filled from %d source columns (%.1f%%), %d of them with high confidence; %d left open',
       successful_mappings, total_mappings, n_raw, completeness, high_confidence_mappings, total_mappings - successful_mappings) AS summary
     FROM quality JOIN raw_fp USING (mapping_id)

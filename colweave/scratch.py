@@ -45,6 +45,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
