@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from ..functions.headers import normalize_header
 from ..vocab import DEFAULT_VOCABULARY, Vocabulary
 from .catalog import shape_keys
-from .scoring import MICRO, header_features, score_features
+from .scoring import MICRO, header_features, positive_scores, requested_pairs, score_features
 from .sparse_matching import heaviest_matching
 
 THRESHOLD = 70.0
@@ -153,11 +153,12 @@ def catalog_edges(
     t_words, r_words = (
         header_features(df.select(F.col(c).alias("norm")), vocab, strict) for df, c in ((t_cols, "t_norm"), (r_cols, "r_norm"))
     )
-    scores = score_features(t_words, r_words, strict)
+    pairs = shaped.select("t_shape", "r_shape").distinct()
+    r_for = pairs.join(r_cols, "r_shape").select("t_shape", "r_norm").distinct()
+    scores = positive_scores(requested_pairs(t_words, r_words, t_cols.select("t_shape", "t_norm").distinct(), r_for), strict)
     # Per raw header, the template columns it can fill: joined on both the header and the
     # template shape, so no product of columns is ever formed.
     fits = scores.join(t_cols, "t_norm").select("t_shape", "r_norm", "t_ord", "n_template", "micro")
-    pairs = shaped.select("t_shape", "r_shape").distinct()
     edges = pairs.join(r_cols, "r_shape").join(fits, ["t_shape", "r_norm"])
     return edges.select("t_shape", "r_shape", "t_ord", "r_ord", "n_template", "n_raw", "micro"), shaped
 

@@ -34,6 +34,9 @@ _SORTED = "abcdefghijklmnopqrstuvwxyz~"
 # Headers of one key and side that a single join task takes on.
 HOT_CHUNK = 20_000
 
+# Where only some tables are matched, a key of more pairs than this gives those asked for only.
+HOT_PAIRS = 1_000
+
 # Beyond this combined length single letters replace pairs as keys, to bound their number.
 _PAIR_KEY_LENGTH = 60
 
@@ -101,6 +104,34 @@ def _spread(df: DataFrame, hot: DataFrame, own: str, other: str, norm: str) -> D
     return df.join(hot, "key", "left").select(*df.columns, mine, theirs)
 
 
+def _asked_pairs(left: DataFrame, right: DataFrame, t_in: DataFrame, r_for: DataFrame, parts: int = 16) -> DataFrame:
+    """The pairs of keyed headers that meet in a template's columns and those of a table to be matched with it.
+
+    A template that very many tables are matched with has few columns: these are copied and the other side is cut into parts.
+    """
+    mine = t_in.join(left, "t_norm").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    theirs = r_for.join(right, "r_norm").withColumn("part", F.pmod(F.xxhash64("r_norm"), F.lit(parts)).cast("int"))
+    return mine.join(theirs, ["t_shape", "key", "part"]).drop("t_shape", "key", "part")
+
+
+def requested_pairs(templates: DataFrame, raws: DataFrame, t_in: DataFrame, r_for: DataFrame, most: int = HOT_PAIRS) -> DataFrame:
+    """Distinct header pairs that may score, for matching only some tables with some templates.
+
+    ``t_in`` lists ``(t_shape, t_norm)``, the columns of each template, and ``r_for`` ``(t_shape, r_norm)``, the columns of tables to be matched
+    with it, both distinct. A key that few headers share gives all its pairs, at most ``most``, whoever asks; a word or
+    category in very many headers gives only pairs of columns that do meet, so candidates grow with what is asked, not
+    with the square of a key.
+    """
+    left, right = _keyed(templates, True), _keyed(raws, False)
+    sizes = left.selectExpr("key", "1 AS t", "0 AS r").unionByName(right.selectExpr("key", "0 AS t", "1 AS r"))
+    sizes = sizes.groupBy("key").agg(F.sum("t").alias("t"), F.sum("r").alias("r")).where("t > 0 and r > 0")
+    sizes = sizes.select("key", (F.col("t") * F.col("r") > most).alias("hot"))
+    left, right = left.join(sizes, "key"), right.join(sizes, "key")
+    few = left.where("not hot").drop("hot").join(right.where("not hot").drop("hot"), "key").drop("key")
+    hot = _asked_pairs(left.where("hot").drop("hot"), right.where("hot").drop("hot"), t_in, r_for)
+    return few.unionByName(hot).distinct()
+
+
 def candidate_pairs(templates: DataFrame, raws: DataFrame, chunk: int | None = HOT_CHUNK) -> DataFrame:
     """Distinct header pairs that may score. Inputs come from :func:`header_features`.
 
@@ -164,7 +195,12 @@ def with_scores(pairs: DataFrame, strict: bool = False, lcs=lcs_arrow) -> DataFr
 
 def score_features(t: DataFrame, r: DataFrame, strict: bool = False, chunk: int | None = HOT_CHUNK) -> DataFrame:
     """Positive scores of two sets of :func:`header_features`: ``(t_norm, r_norm, score, micro)``."""
-    scored = with_scores(candidate_pairs(t, r, chunk), strict).where("score > 0")
+    return positive_scores(candidate_pairs(t, r, chunk), strict)
+
+
+def positive_scores(pairs: DataFrame, strict: bool = False) -> DataFrame:
+    """Positive scores of candidate pairs: ``(t_norm, r_norm, score, micro)``."""
+    scored = with_scores(pairs, strict).where("score > 0")
     return scored.select("t_norm", "r_norm", "score", F.round(F.col("score") * MICRO).cast("long").alias("micro"))
 
 

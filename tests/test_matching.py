@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colweave.functions.headers import normalize_header
 from colweave.operators import assignment as A
 from colweave.operators import mapping as M
 from colweave.operators.catalog import column_catalog, schema_drift, schema_fingerprints, shape_keys
+from colweave.operators.scoring import header_features, requested_pairs
 from colweave.operators.sparse_matching import heaviest_matching
 
 
@@ -184,6 +186,33 @@ def test_schema_drift(spark, old, new, want):
     assert {tuple(r)[1:] for r in schema_drift(df(old), df(new)).collect()} == want
 
 
+def test_candidates_grow_with_requests(spark):
+    """600 headers a side that all share a word: only pairs of columns that meet are built, and none of those is lost."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7))
+    tables = {side: {f"{side}{i}": [f"email {word()}" for _ in range(3)] for i in range(200)} for side in ("t", "f")}
+    ddl = "table_id string, ordinal int, column_name string"
+    catalogs = [spark.createDataFrame([(t, i, c) for t, cols in tables[s].items() for i, c in enumerate(cols)], ddl) for s in ("t", "f")]
+    sides = [header_features(c.select(normalize_header(F.col("column_name")).alias("norm"))) for c in catalogs]
+    norms = [c.select("table_id", normalize_header(F.col("column_name")).alias("norm")) for c in catalogs]
+    counts = []
+    for n in (1, 10, 100):
+        asked = spark.createDataFrame([(f"t{i}", f"f{i}") for i in range(n)], "t_shape string, f string")
+        t_in = norms[0].withColumnsRenamed({"table_id": "t_shape", "norm": "t_norm"}).distinct()
+        r_for = asked.join(norms[1], asked.f == norms[1].table_id).select("t_shape", F.col("norm").alias("r_norm")).distinct()
+        pairs = requested_pairs(*sides, t_in, r_for).select("t_norm", "r_norm")
+        want = t_in.join(r_for, "t_shape").select("t_norm", "r_norm")
+        assert want.join(pairs, ["t_norm", "r_norm"], "left_anti").count() == 0  # all share a word, so all are candidates
+        counts.append(pairs.count())
+    few = counts[0] - 9  # pairs that a rare key gives whoever asks
+    assert few < 20_000 and abs(counts[1] - few - 90) < 90 and counts[2] < few + 900 + 90 < 360_000
+    requests = spark.createDataFrame([(f"f{i}", f"t{i}") for i in range(4)], "source_id string, template_id string")
+    got = A.match_catalog(*catalogs, requests).collect()
+    for i in range(4):
+        single = M.mapping_dict(A.match_headers(spark, tables["f"][f"f{i}"], tables["t"][f"t{i}"]))
+        assert {r.template_col: (r.raw_col, r.confidence) for r in got if r.source_id == f"f{i}"} == single
+
+
 def test_sparse_matching_on_wide_sides():
     """A narrow side against thousands of equal edges, from either side, and ties that only rerouting settles."""
     for n, m in ((20, 2000), (2000, 20)):
