@@ -16,6 +16,7 @@ from ..functions.values import null_tokens_to_null, parse_number, trim_text
 from ..operators.transform import dedupe_names
 from ..vocab import CSV_NULL_TOKENS
 from .probe import CP1252, UTF8, fix_cp1252, probe_files
+from .records import quoted_records
 
 _BOOLEANS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 _CORRUPT = "_bad_record"
@@ -47,11 +48,17 @@ def _read_group(
     """Files of one layout as text columns; short rows are padded, long rows fail the job."""
     inner = [f"_c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*inner, _CORRUPT]])
-    df = spark.read.csv(
-        paths, schema=schema, header=True, sep=sep, encoding="UTF-8" if encoding == UTF8 else "ISO-8859-1",
-        mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, quote='"', escape='"', multiLine=multiline,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    options = {
+        "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "quote": '"', "escape": '"',
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    if multiline:
+        record = F.col("record")
+        text = F.regexp_replace(record.cast("string") if encoding == UTF8 else F.decode(record, "ISO-8859-1"), "\r\\z", "")
+        parsed = F.from_csv(text, ", ".join(f"`{c}` string" for c in schema.names), {**options, "multiLine": "true"})
+        df = quoted_records(spark, paths, sep).select(parsed.alias("p")).select("p.*")
+    else:
+        df = spark.read.csv(paths, schema=schema, header=True, encoding="UTF-8" if encoding == UTF8 else "ISO-8859-1", **options)
     too_long = F.col(_CORRUPT).isNotNull() & (_fields_in(F.col(_CORRUPT), sep) > len(names))
     checked = F.when(too_long, F.raise_error(F.concat(F.lit("row with more fields than the header: "), _CORRUPT)).cast("string"))
     cells = []
@@ -113,8 +120,9 @@ def read_csv(
 
     Encoding and delimiter are found per file and files of one layout are read together; layouts
     are united by column name. Give ``sep``, ``encoding`` and ``columns`` to skip that scan, and
-    ``types`` or ``infer_schema=False`` to skip the one that finds types. Quoted cells may hold line breaks, so a
-    file is one task; ``multiline=False`` splits files, for feeds known to have none.
+    ``types`` or ``infer_schema=False`` to skip the one that finds types. Quoted cells may hold line breaks; files are
+    split over tasks all the same, at the price of a scan for quotes, which ``multiline=False`` saves for feeds known to have none.
+    Lines end in a line feed, perhaps after a carriage return.
     """
     if sep is not None and encoding is not None and columns is not None:
         paths = [path] if isinstance(path, str) else path

@@ -201,3 +201,51 @@ def test_csv_quoted_line_break(spark, tmp_path):
 
     (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
     assert sorted(map(tuple, read_csv(spark, str(tmp_path / "a.csv")).collect())) == [(1, "two\nlines"), (2, "plain")]
+
+
+def _messy_csv(rng, n):
+    """Quoted cells with line breaks, separators and doubled quotes, stray quotes, blank lines, both line ends."""
+    def cell():
+        kind = rng.randrange(7)
+        if kind < 3:
+            return rng.choice(["x", "", "12", "Zoë €", "a b"])
+        if kind == 3:
+            return '5" pipe'
+        return '"' + "".join(rng.choice(["a", ",", "\n", '""', "long " * rng.randrange(30), "\r\n", "é"]) for _ in range(rng.randrange(8))) + '"'
+
+    lines = ["id,note,more"] + [f"{i},{cell()},{cell()}" for i in range(n)]
+    return "".join(x + rng.choice(["\n", "\n", "\r\n", "\n\n"]) for x in lines)
+
+
+@pytest.mark.parametrize("block", [37, 400, 1 << 20])
+def test_quoted_csv_over_blocks(spark, tmp_path, block):
+    """Whatever the blocks, line breaks at their edges included, the records are those of Python's reader."""
+    import csv as plain
+    import io
+    import random
+
+    from colweave.sources.records import quoted_records
+
+    rng, want = random.Random(block), []
+    (tmp_path / "c").mkdir()
+    for i in range(3):
+        text = _messy_csv(rng, 60)
+        (tmp_path / "c" / f"{i}.csv").write_text(text, newline="")
+        want += [tuple(r) for r in list(plain.reader(io.StringIO(text, newline="")))[1:] if r]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = read_csv(spark, str(tmp_path / "c"), tokens=(), infer_schema=False)
+        got = [tuple("" if c is None else c for c in r) for r in df.collect()]
+        if block < 1000:
+            assert quoted_records(spark, [str(tmp_path / "c")], ",").rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(want)
+
+
+def test_quote_left_open(spark, tmp_path):
+    p = put(tmp_path / "a.csv", 'id,note\n1,x\n2,"open\nto the end\n')
+    assert rows(read_csv(spark, p, infer_schema=False))[0] == ("1", "x") and read_csv(spark, p).count() == 2
