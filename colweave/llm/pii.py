@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.binding import bind
+
 from .common import text_of
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -46,6 +48,7 @@ BASE = ("email", "ip", "card", "phone")
 LEAST = 0.5
 #: Characters before and after a span in which words count, and those kept behind a match: the longest IBAN's rest and what follows it.
 BEFORE, AFTER, AHEAD = 40, 20, 64
+_TOGETHER = 128
 
 
 def _digits(value: Column) -> Column:
@@ -113,24 +116,41 @@ def _placed(kind: str, matches: Column, text: Column) -> Column:
     zipped = F.arrays_zip(matches.alias("match"), F.slice(gaps, F.lit(1), n).alias("gap"), behind.alias("behind"))
     value = lambda m: _iban(F.regexp_extract(F.concat(m["match"], m["behind"]), f"^{_IBAN}{_RUN}", 0)) if kind == "iban" else m["match"]
     around = F.transform(zipped, lambda m: F.struct(m["match"].alias("match"), m["gap"].alias("gap"), m["behind"].alias("behind"), value(m).alias("value")))
+    around = F.transform(around, lambda m: F.struct(m["match"], m["gap"], m["behind"], m["value"], _valid(kind, m["value"]).alias("valid")))
     kind_of = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("before"), F.array().cast(kind_of).alias("out"))
+    zero = F.lit(0).cast("long")
+    none = F.array().cast(kind_of)
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
         before = F.right(F.concat(acc["before"], F.right(m["gap"], F.lit(BEFORE))), F.lit(BEFORE))
         # an IBAN reaches beyond its match, and what begins inside it is no span
-        free = _valid(kind, m["value"]) & (start >= F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)))
+        free = m["valid"] & (start >= acc["end"])
         after = F.substring(m["behind"], F.length(m["value"]) - F.length(m["match"]) + 1, F.lit(AFTER))
         one = F.struct(
             start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"), before.alias("before"), after.alias("after")
         )
         return F.struct(
-            (start + F.length(m["match"])).alias("at"), F.right(F.concat(before, F.right(m["match"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"),
+            (start + F.length(m["match"])).alias("at"), F.when(free, start + F.length(m["value"])).otherwise(acc["end"]).alias("end"),
+            F.right(F.concat(before, F.right(m["match"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"),
             F.when(free, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
         )
 
-    spans = F.aggregate(around, begin, step, lambda acc: acc["out"])
+    # every step copies what is gathered, so matches are taken in short runs, each run's spans put away once
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / _TOGETHER).cast("int"))
+    runs = bind(around, lambda every: F.transform(numbers, lambda i: F.slice(every, i * _TOGETHER + 1, F.lit(_TOGETHER))))
+    begin = F.struct(zero.alias("at"), zero.alias("end"), F.lit("").alias("before"), F.array().cast(f"array<{kind_of}>").alias("done"))
+
+    def run(acc: Column, matches: Column) -> Column:
+        fresh = F.struct(acc["at"].alias("at"), acc["end"].alias("end"), acc["before"].alias("before"), none.alias("out"))
+        return bind(
+            F.aggregate(matches, fresh, step),
+            lambda r: F.struct(
+                r["at"].alias("at"), r["end"].alias("end"), r["before"].alias("before"), F.concat(acc["done"], F.array(r["out"])).alias("done")
+            ),
+        )
+
+    spans = F.aggregate(runs, begin, run, lambda acc: F.flatten(acc["done"]))
     near = lambda s, found: s["before"].rlike(rf"(?i)(?:{found})") | s["after"].rlike(rf"(?i)(?:{found})")
     points = lambda s: F.lit(score) + F.when(near(s, support), 0.3).otherwise(0.0) - F.when(near(s, against), 0.2).otherwise(0.0)
     scored = F.transform(
