@@ -173,8 +173,9 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 5, blank_nulls: boo
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """A repeatable random sample of ``n`` rows: the smallest hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """A repeatable random sample of ``n`` rows: the smallest MD5 hashes of seed and key."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary")), *key).limit(n)
 
 
 def column_width(df: DataFrame, padding: int = 4, cap: int = 60) -> DataFrame:

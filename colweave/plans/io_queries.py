@@ -167,6 +167,34 @@ def src_dispatch(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_LABELLED_SQL = "SELECT c_custkey AS id, c_name || ' é' AS label, c_acctbal AS balance FROM customer"
+
+
+@query("src_json_encoding", _LABELLED_SQL)
+def src_json_encoding(spark, sf_dir):
+    """Records in Latin-1 and in UTF-8, each in files of its own."""
+    out = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" é")).alias("label"), F.col("c_acctbal").alias("balance")
+    )
+    path = fresh_dir(spark, "src_json_encoding")
+    out.where("id % 2 = 0").write.option("encoding", "ISO-8859-1").json(f"{path}/single")
+    out.where("id % 2 = 1").write.json(f"{path}/utf8")
+    return J.read_json(spark, [f"{path}/single", f"{path}/utf8"])
+
+
+@query("sink_formats", " UNION ALL ".join(f"SELECT '{name}' AS fmt, * FROM ({_CUSTOMER_SQL})" for name in ("csv", "json", "txt")))
+def sink_formats(spark, sf_dir):
+    """Format names as users write them, each written and read back by the reader of what it stands for."""
+    customers, path = table(spark, sf_dir, "customer"), fresh_dir(spark, "sink_formats")
+    readers, out = {"csv": read_csv, "txt": read_csv, "json": J.read_json}, None
+    for spelt in (" CSV", "Json ", "txt"):
+        name = spelt.strip().lower()
+        write_any(customers, f"{path}/{name}", spelt)
+        part = readers[name](spark, f"{path}/{name}").select(F.lit(name).alias("fmt"), *customers.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("src_xlsx", _CUSTOMER_SQL)
 def src_xlsx(spark, sf_dir):
     path = fresh_dir(spark, "src_xlsx")

@@ -150,7 +150,10 @@ def contamination_sketch(spark, sf_dir):
     return S.shared_values_sketch(_code_table(spark, sf_dir))
 
 
-@query("contamination_sampled")
+_SAMPLE_SQL = f"codes AS (SELECT * FROM ({_CODE_SQL}) ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 100)"
+
+
+@query("contamination_sampled", f"WITH {_SHARED_CTES.replace(f'codes AS ({_CODE_SQL})', _SAMPLE_SQL)} SELECT * FROM report")
 def contamination_sampled(spark, sf_dir):
     return S.shared_values_sampled(_code_table(spark, sf_dir), 100, ["o_orderkey"], seed=7)
 
@@ -177,7 +180,7 @@ def mapping_flags(spark, sf_dir):
     return M.mapping_flags(mapping, S.shared_values(codes)).select("template_col", "raw_col", "shares_values")
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT * FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 100")
 def sample_rows(spark, sf_dir):
     return P.sample_rows(table(spark, sf_dir, "orders"), 100, ["o_orderkey"], seed=7)
 

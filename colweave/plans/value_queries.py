@@ -130,3 +130,11 @@ def _loss_row(template_col: str, raw_col: str, before: str, after: str) -> str:
 ]))
 def cast_loss_report(spark, sf_dir):
     return X.cast_loss_report(I.messy_orders(spark, sf_dir), _ORDER_MAPPING, _ORDER_TEMPLATE)
+
+
+@query("map_duplicate_raw", f"SELECT c_custkey AS id, {Q.clean_text('c_name')} AS label, c_acctbal AS amount FROM customer")
+def map_duplicate_raw(spark, sf_dir):
+    """Of raw columns with one name the first is meant."""
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey").toDF("id", "x", "y", "x", "y")
+    template = struct({"id": "long", "label": "string", "amount": "double"})
+    return X.apply_mapping(raw, {"id": "id", "label": "x", "amount": "y"}, template)
