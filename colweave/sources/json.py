@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json as _json
-import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.binding import bind
-from .probe import UTF8, decode_text, probe_files
+from ..scratch import fresh_dir
+from .json_blocks import array_records
+from .probe import decode_text, latin1
 
 # Wrapper keys looked for in a JSON object, in this order.
 WRAPPER_KEYS = (
@@ -48,90 +50,95 @@ def _starts_with_object(v: Column) -> Column:
     return _is_object(v, "$[0]")
 
 
-def _as_ddl(variant_schema: str) -> str:
-    """Variant schema text as DDL: objects become structs, fractions double."""
-    ddl = variant_schema.replace("OBJECT<", "STRUCT<")
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
-    return re.sub(r"\bVOID\b", "STRING", ddl)
+def _from_lines(lines: DataFrame) -> DataFrame:
+    """Rows of JSON texts, column ``line``: an object gives itself, an array its objects; not flattened.
 
+    The texts are written once, so that what made them does not run again when their types are found and when they are read.
+    """
+    spark = lines.sparkSession
+    path = fresh_dir(spark, "json-records")
+    lines.select(F.translate("line", "\n\r", "  ")).write.text(path)
+    return spark.read.option("mode", "FAILFAST").option("prefersDecimal", "false").json(path)
 
-def _typed(records: DataFrame) -> DataFrame:
-    """Variant records, column ``r``, as a struct of their merged schema, flattened."""
-    n, found = records.agg(F.count("*"), F.schema_of_variant_agg("r")).first()
-    if n == 0:
-        return records.sparkSession.createDataFrame([], T.StructType([]))
-    if not found.startswith("OBJECT<"):
-        raise ValueError(f"records are not JSON objects: {found}")
-    return flatten(records.select(F.col("r").cast(_as_ddl(found)).alias("r")).select("r.*"))
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Columns named by position in the order of their numbers; others follow as they are."""
+    names = sorted(df.columns, key=lambda c: (not c.isdigit(), int(c) if c.isdigit() else 0))
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _array_lines(items: Column) -> Column:
+    """An array document as text of an array of objects; scalars and inner arrays are named by position."""
+
+    def text(values: Column) -> Column:
+        first = F.get(F.filter(values, lambda x: ~F.is_variant_null(x)), F.lit(0))
+        of_cells = F.transform(values, lambda row: F.map_from_entries(
+            F.transform(row.cast("array<variant>"), lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("x")))))
+        scalars = F.transform(values, lambda x: F.create_map(F.lit("0"), x))
+        return F.when(_is_array(first), F.to_json(of_cells)).when(_is_object(first), F.to_json(values)).otherwise(F.to_json(scalars))
+
+    return bind(items, text)
 
-def documents_to_table(documents: DataFrame, column: str) -> DataFrame:
-    """Rows of every JSON document in a column, one document per row.
 
-    Per document: an array gives its objects; an object gives the objects under a wrapper key, or
-    under its only list of objects, or one row per position of its equally long lists, or itself.
-    Blank documents give nothing; a bare scalar or broken JSON fails the job. Arrays of
-    something else than objects are read by :func:`arrays_to_table`.
+def _record_lines(documents: DataFrame, column: str) -> DataFrame:
+    """Every document as the text of an object or of an array of objects, column ``line``.
+
+    An array of objects, the usual layout, is passed on as it is; only other documents are taken apart.
     """
     text = F.trim(F.col(column))
-    docs = documents.where(text != "").select(F.parse_json(text).alias("v"))
+    plain = text.rlike(r"^\[\s*\{")
+    docs = documents.where(text != "").select(F.when(plain, text).alias("t"), F.when(~plain, F.parse_json(text)).alias("v"))
     v = F.col("v")
     members = F.when(_is_object(v), v.cast("map<string,variant>"))
-    staged = docs.select("v", members.alias("m"))
+    items = F.when(_is_array(v), v.cast("array<variant>"))
+    staged = docs.select("t", "v", members.alias("m"), items.alias("a"))
     lists = F.map_filter("m", lambda _, x: _is_array(x))
     of_objects = F.map_filter("m", lambda _, x: _is_array(x) & _starts_with_object(x))
-    staged = staged.select("v", "m", F.size(lists).alias("n_lists"), F.size("m").alias("n_keys"), of_objects.alias("o"))
+    staged = staged.select("t", "v", "m", "a", F.size(lists).alias("n_lists"), F.size("m").alias("n_keys"), of_objects.alias("o"))
     wrapped = F.coalesce(*[F.try_element_at("o", F.lit(k)) for k in WRAPPER_KEYS])
     only = F.when(F.size("o") == 1, F.element_at(F.map_values("o"), 1))
-    rows = F.coalesce(wrapped, only)
     columnar = (F.col("n_keys") > 0) & (F.col("n_lists") == F.col("n_keys"))
-    root_kind = F.when(_is_array(v), "array").when(F.col("m").isNotNull(), "object")
-    staged = staged.select("v", "m", rows.alias("rows"), columnar.alias("columnar"), root_kind.alias("kind"))
-    bad = F.raise_error(F.lit("unsupported JSON root: expected an array or an object")).cast("array<variant>")
-    records = (
-        F.when(F.col("kind") == "array", v.cast("array<variant>"))
-        .when(F.col("rows").isNotNull(), F.col("rows").cast("array<variant>"))
-        .when(F.col("columnar"), _columnar_records(F.col("m")))
-        .when(F.col("kind") == "object", F.array("v"))
+    staged = staged.select("t", "v", "m", "a", F.coalesce(wrapped, only).alias("rows"), columnar.alias("columnar"))
+    bad = F.raise_error(F.lit("unsupported JSON root: expected an array or an object")).cast("string")
+    line = (
+        F.when(F.col("t").isNotNull(), F.col("t"))
+        .when(F.col("a").isNotNull(), _array_lines(F.col("a")))
+        .when(F.col("rows").isNotNull(), F.to_json("rows"))
+        .when(F.col("columnar"), _columnar_line(F.col("m")))
+        .when(F.col("m").isNotNull(), F.to_json("v"))
         .otherwise(bad)
     )
-    return _typed(staged.select(F.explode(records).alias("r")))
+    return staged.select(line.alias("line"))
+
 
+def documents_to_table(documents: DataFrame, column: str) -> DataFrame:
+    """Rows of every JSON document in a column, one document per row, flattened.
+
+    Per document: an array gives its objects, or rows of columns ``0``, ``1``, ... where it holds scalars or arrays; an object gives
+    the objects under a wrapper key, or under its only list of objects, or one row per position of its equally long lists, or
+    itself. Documents of different layouts may meet in one column. Blank documents give nothing; a bare scalar or broken JSON
+    fails the job. A column with values of several types is text. A raw line break inside a string is read as a blank.
+    """
+    return _numbered(flatten(_from_lines(_record_lines(documents, column))))
 
-def _columnar_records(members: Column) -> Column:
-    """One object per position of lists of equal length; ragged lists fail the job."""
 
-    def records(lists: Column) -> Column:
+def _columnar_line(members: Column) -> Column:
+    """Text of one object per position of lists of equal length; ragged lists fail the job."""
+
+    def text(lists: Column) -> Column:
         sizes = F.transform(F.map_values(lists), lambda a: F.size(a))
         longest = F.array_max(sizes)
-        ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("array<variant>")
+        ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("string")
         positions = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
-        objects = F.transform(
-            positions, lambda i: F.parse_json(F.to_json(F.transform_values(lists, lambda _, a: F.get(a, i))))
-        )
-        return F.when(F.array_min(sizes) != longest, ragged).otherwise(objects)
+        objects = F.transform(positions, lambda i: F.transform_values(lists, lambda _, a: F.get(a, i)))
+        return F.when(F.array_min(sizes) != longest, ragged).otherwise(F.to_json(objects))
 
-    return bind(F.transform_values(members, lambda _, x: x.cast("array<variant>")), records)
+    return bind(F.transform_values(members, lambda _, x: x.cast("array<variant>")), text)
 
 
 def arrays_to_table(documents: DataFrame, column: str) -> DataFrame:
-    """Rows of JSON arrays of scalars (one column ``0``) or of arrays (columns ``0``, ``1``, ...)."""
-    text = F.trim(F.col(column))
-    docs = documents.where(text != "").select(F.parse_json(text).cast("array<variant>").alias("a"))
-    items = docs.select(F.explode("a").alias("r"))
-    shape = items.agg(
-        F.count("*").alias("n"),
-        F.schema_of_variant_agg("r").alias("s"),
-        F.max(F.when(_is_array(F.col("r")), F.size(F.col("r").cast("array<variant>")))).alias("width"),
-    ).first()
-    if shape["n"] == 0:
-        return documents.sparkSession.createDataFrame([], T.StructType([]))
-    if shape["width"] is None:
-        return items.select(F.col("r").cast(_as_ddl(shape["s"])).alias("0"))
-    cells = items.select(F.col("r").cast("array<variant>").alias("a"))
-    cells = cells.select(*[F.get("a", F.lit(i)).alias(str(i)) for i in range(shape["width"])])
-    found = cells.agg(*[F.schema_of_variant_agg(f"`{c}`").alias(c) for c in cells.columns]).first()
-    return cells.select(*[F.col(f"`{c}`").cast(_as_ddl(found[c] or "STRING")).alias(c) for c in cells.columns])
+    """Rows of JSON arrays of scalars (one column ``0``) or of arrays (columns ``0``, ``1``, ...); objects in cells stay whole."""
+    return _numbered(_from_lines(_record_lines(documents, column)))
 
 
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -145,52 +152,57 @@ def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType
     return flatten(reader.json(path))
 
 
-def _is_json(line: str) -> bool:
-    try:
-        _json.loads(line)
-    except ValueError:
-        return False
-    return True
+def _layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[bool, str], list[str]]:
+    """Files that are not blank, by whether they are UTF-8 and by layout: ``lines``, ``array`` or ``document``.
+
+    One scan; a first line of any length stays in the tasks, and two short values a file come back.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    content = F.trim(F.regexp_replace(latin1(F.col("value")), "^\u00ef\u00bb\u00bf", ""))
+    order = F.struct("start", "at")
+    filled, inner = content != "", ~content.isin("", "[")
+    facts = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.count_if(filled).alias("n_lines"),
+        F.min_by(F.when(filled, F.col("value")), F.when(filled, order)).alias("first"),
+        F.min_by(F.when(inner, F.left(content, F.lit(1))), F.when(inner, order)).alias("inner"),
+    ).where("n_lines > 0")
+    first = F.trim(decode_text(F.col("first")))
+    head = F.when(first == "[", F.concat(first, F.coalesce("inner", F.lit("")))).otherwise(first)
+    layout = (
+        F.when((F.col("n_lines") > 1) & F.try_parse_json(first).isNotNull(), "lines")
+        .when(F.col("utf8") & head.rlike(r"^\[\s*\{"), "array")
+        .otherwise("document")
+    )
+    out: dict[tuple[bool, str], list[str]] = {}
+    for r in facts.select("path", "utf8", layout.alias("layout")).orderBy("path").collect():
+        out.setdefault((r["utf8"], r["layout"]), []).append(unquote(r["path"]))
+    return out
 
 
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON files of any supported layout, found per file.
+    """JSON files of any supported layout, found per file; files of different layouts may share a folder.
 
-    A file whose first line is complete JSON and that goes on cannot be one document, so it has
-    one record per line. An array of objects is streamed record by record. Anything else is
-    one document per task; use one record per line for large feeds.
+    A file whose first line is complete JSON and that goes on cannot be one document, so it has one record per line. An array of
+    objects in UTF-8 is split over tasks, line breaks or not. Anything else is one document per task; use one record per line for
+    large feeds.
     """
-    facts = [f for f in probe_files(spark, path) if f.n_lines]
-    if not facts:
-        return spark.createDataFrame([], T.StructType([]))
-    opened = [f.path for f in facts if f.first_line.strip() == "["]
-    after = {f.path: f.first_line.strip() for f in probe_files(spark, opened, skip="[")} if opened else {}
-    lines, arrays, documents = [], [], []
-    for f in facts:
-        first = f.first_line.strip()
-        head = first + after.get(f.path, "")
-        if f.n_lines > 1 and _is_json(first):
-            lines.append(f)
-        elif f.encoding == UTF8 and re.match(r"\[\s*\{", head):
-            arrays.append(f)
-        else:
-            documents.append(f)
+    files = _layouts(spark, path)
     parts = []
-    plain = [f.path for f in lines if f.encoding == UTF8]
-    other = [f.path for f in lines if f.encoding != UTF8]
-    if plain:
-        parts.append(read_ndjson(spark, plain))
-    if other:
-        parts.append(documents_to_table(spark.read.text(other).select(decode_text(F.col("value")).alias("d")), "d"))
-    if arrays:
-        reader = spark.read.option("mode", "FAILFAST").option("multiLine", "true")
-        parts.append(flatten(reader.json([f.path for f in arrays])))
+    if (True, "lines") in files:
+        parts.append(read_ndjson(spark, files[True, "lines"]))
+    if (True, "array") in files:
+        parts.append(flatten(_from_lines(array_records(spark, files[True, "array"]))))
+    texts = []
+    if (False, "lines") in files:
+        texts.append(spark.read.text(files[False, "lines"]))
+    documents = [f for utf8 in (True, False) for f in files.get((utf8, "document"), [])]
     if documents:
-        text = spark.read.text([f.path for f in documents], wholetext=True).select(decode_text(F.col("value")).alias("d"))
-        v = F.parse_json("d")
-        of_objects = text.where(F.trim("d") != "").agg(F.bool_or(~_is_array(v) | _starts_with_object(v))).first()[0]
-        parts.append(arrays_to_table(text, "d") if of_objects is False else documents_to_table(text, "d"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        texts.append(spark.read.text(documents, wholetext=True))
+    if texts:
+        parts.append(documents_to_table(reduce(DataFrame.unionAll, texts).select(decode_text(F.col("value")).alias("d")), "d"))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -44,18 +44,18 @@ def _decode_first(line: bytes, encoding: str) -> str:
     return line.decode("utf-8-sig" if encoding == UTF8 else encoding)
 
 
-def probe_files(spark: SparkSession, paths: list[str] | str, skip: str = "") -> list[FileFacts]:
+def probe_files(spark: SparkSession, paths: list[str] | str) -> list[FileFacts]:
     """Facts per file from one distributed scan of its lines; only one row per file comes back.
 
     The text source hands lines over as raw bytes, so validity is tested on what is in the file.
-    Lines that are blank, or equal to ``skip``, do not count.
+    Blank lines do not count.
     """
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
     )
     content = F.trim(F.regexp_replace(latin1(F.col("value")), "^ï»¿", ""))
-    filled = (content != "") & (content != skip)
+    filled = content != ""
     facts = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(latin1(F.col("value")).rlike(_UNDEFINED)).alias("undefined"),

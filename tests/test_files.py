@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -13,6 +14,7 @@ from colweave.sources import audit
 from colweave.sources.csv import read_csv, sniff_delimiter
 from colweave.sources.dispatch import read_any, read_each
 from colweave.sources.json import read_json, read_ndjson
+from colweave.sources.json_blocks import array_records
 from colweave.sources.xlsx import read_xlsx
 
 
@@ -249,3 +251,58 @@ def test_quoted_csv_over_blocks(spark, tmp_path, block):
 def test_quote_left_open(spark, tmp_path):
     p = put(tmp_path / "a.csv", 'id,note\n1,x\n2,"open\nto the end\n')
     assert rows(read_csv(spark, p, infer_schema=False))[0] == ("1", "x") and read_csv(spark, p).count() == 2
+
+
+def _messy_json(rng, n):
+    """An array of objects with brackets, quotes and backslashes in strings, nested values and any white space."""
+    texts = ['}', '{"', "\\", '\\"', "]}[{", "é €", "", "a\nb", '\\\\"}', "plain"]
+    deep = lambda d: {"x": [deep(d - 1), [], {}], "y": rng.choice(texts)} if d else rng.randint(0, 9)
+    rows = [{"id": i, "s": rng.choice(texts), "d": json.dumps(deep(rng.randint(0, 4))), "l": [rng.choice(texts)] * rng.randint(0, 40),
+             "o": {"k": rng.choice(texts), "m": {"v": i / 4}}} for i in range(n)]
+    return rows, json.dumps(rows, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+
+
+@pytest.mark.parametrize("block", [37, 400, 1 << 20])
+def test_json_arrays_split_over_tasks(spark, tmp_path, block):
+    rng, want = random.Random(block), []
+    (tmp_path / "j").mkdir()
+    for i in range(4):
+        made, text = _messy_json(rng, 25)
+        want += made
+        (tmp_path / "j" / f"{i}.json").write_text(text, newline="")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = array_records(spark, [str(tmp_path / "j")])
+        if block < 1000:
+            assert spark.read.text(str(tmp_path / "j")).rdd.getNumPartitions() > 20
+        got = [json.loads(r.line) for r in lines.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    text = lambda records: sorted(json.dumps(r, sort_keys=True) for r in records)
+    assert text(got) == text(want)
+    table = read_json(spark, str(tmp_path / "j"))
+    assert table.count() == 100 and {"id", "s", "d", "l", "o.k", "o.m.v"} == set(table.columns)
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2', '[{"a": 1}, {"a": 2}', '[{"a": 1}, 5]', '[{"a": 1}, "x"]', '[{"a": 1}, [{"a": 2}]]', '[{"a": "x\ny"}]'])
+def test_json_array_errors(spark, tmp_path, text):
+    with pytest.raises(Exception):
+        read_json(spark, put(tmp_path / "a.json", text)).collect()
+
+
+def test_json_folder_of_all_layouts(spark, tmp_path):
+    for i, text in enumerate(["[1, 2, 3]", '{"id": 1}', '[{"id": 2}]', '{"id": 3}\n{"id": 4}\n', '{"id": [5, 6]}', "[[7, 8]]", "", "[]"]):
+        put(tmp_path / f"{i}.json", text)
+    put(tmp_path / "latin.json", '{"id": 9, "n": "Zoë"}'.encode("cp1252"))
+    got = read_json(spark, str(tmp_path)).select("id", "0", "1", "n")
+    assert sorted(got.collect(), key=str) == sorted(
+        [(None, i, None, None) for i in (1, 2, 3)] + [(i, None, None, None) for i in range(1, 7)]
+        + [(None, 7, 8, None), (9, None, None, "Zoë")], key=str)
+
+
+def test_json_wide_arrays_keep_their_order(spark, tmp_path):
+    p = put(tmp_path / "a.json", json.dumps([list(range(12)), [1]]))
+    assert read_json(spark, p).columns == [str(i) for i in range(12)]
