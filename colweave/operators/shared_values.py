@@ -44,6 +44,44 @@ def cardinality(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+#: Relative error of a sketch's distinct count that is taken to be impossible: six standard errors of 2^14 registers.
+_SKETCH_ERROR = 6 * 1.04 / 2**7
+
+
+def distinct_limit(df: DataFrame, share: float = MAX_DISTINCT_SHARE) -> DataFrame:
+    """Whether more than ``share`` of a column's values are distinct: ``(column_name, n_values, high_cardinality, counted)``.
+
+    One sketch per column, a row of them per task, decides every column whose bounds lie on one side of the limit. Only the
+    others are ``counted`` exactly, by a second scan of them alone, so a wide table isn't multiplied by its columns.
+    A column without values is not of high cardinality. Nested and binary columns are left out.
+    """
+    inner, cols, names = _flat(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, n_values long, high_cardinality boolean, counted boolean")
+    aggs = []
+    for c in cols:
+        # a hash, as it makes no difference between values that count as equal, such as both zeros
+        aggs += [F.count(c), F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), 14))]
+    row = inner.agg(*aggs).first()
+    facts, undecided = {}, []
+    for i, c in enumerate(cols):
+        n, about = row[2 * i], row[2 * i + 1] or 0
+        limit = share * n
+        if about / (1 + _SKETCH_ERROR) > limit and n:
+            facts[c] = (n, True, False)
+        elif about / (1 - _SKETCH_ERROR) <= limit:
+            facts[c] = (n, False, False)
+        else:
+            undecided.append(c)
+            facts[c] = (n, None, True)
+    if undecided:
+        exact = inner.agg(*[F.count_distinct(F.col(c)) for c in undecided]).first()
+        for c, d in zip(undecided, exact, strict=True):
+            facts[c] = (facts[c][0], d > share * facts[c][0], True)
+    rows = [(name, *facts[c]) for c, name in zip(cols, names, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_values long, high_cardinality boolean, counted boolean")
+
+
 def _column_stats(df: DataFrame) -> tuple[list[int], list[int]]:
     """Columns with any value, and their value counts, from one scan."""
     inner, cols, _ = _flat(df)

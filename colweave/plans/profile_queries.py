@@ -168,6 +168,16 @@ def high_cardinality_cols(spark, sf_dir):
     return S.cardinality(_code_table(spark, sf_dir))
 
 
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("distinct_limit_cols", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n_values, count(DISTINCT {c}) > 0.9 * count({c}) AS high_cardinality FROM orders"
+    for c in _ORDER_COLS))
+def distinct_limit_cols(spark, sf_dir):
+    return S.distinct_limit(table(spark, sf_dir, "orders").select(*_ORDER_COLS)).drop("counted")
+
+
 @query("mapping_flags", f"""
     WITH {_SHARED_CTES},
     m AS (SELECT unnest({_CODE_COLS!r}) AS raw_col)

@@ -118,6 +118,24 @@ def test_cardinality(spark):
         assert {r.column_name: r.high_cardinality for r in S.cardinality(df, exact).collect()} == {"id": True, "m": False}
 
 
+def test_distinct_limit_counts_only_what_a_sketch_leaves_open(spark):
+    n = 20_000
+    id_ = F.col("id")
+    df = spark.range(n).select(
+        id_.alias("all"), (id_ % 7).alias("few"), F.lit(None).cast("int").alias("none"),
+        F.least(id_, F.lit(int(0.9 * n) - 1)).alias("at_limit"), F.least(id_, F.lit(int(0.9 * n))).alias("above"),
+        F.when(id_ % 2 == 0, id_.cast("string")).alias("half_null"), F.array(id_).alias("nested"),
+    )
+    got = {r.column_name: (r.n_values, r.high_cardinality, r.counted) for r in S.distinct_limit(df).collect()}
+    assert got == {
+        "all": (n, True, False), "few": (n, False, False), "none": (0, False, False), "at_limit": (n, False, True),
+        "above": (n, True, True), "half_null": (n // 2, True, False),
+    }
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "z double")
+    assert not S.distinct_limit(zeros).first().high_cardinality
+    assert S.distinct_limit(zeros.limit(0)).first().n_values == 0 and S.distinct_limit(df.select("nested")).count() == 0
+
+
 def test_nested_columns_are_left_out(spark):
     df = spark.createDataFrame([("a", "a", [1])] * 5, "x string, y string, l array<int>")
     assert [(r.col_a, r.col_b) for r in S.shared_values(df).collect()] == [("x", "y")]
