@@ -246,3 +246,18 @@ def test_sparse_matching_equals_all_choices(seed):
 
         go(0, 0, [])
         assert heaviest_matching(edges) == best[1]
+
+
+def test_matched_drift(spark):
+    """Renames by score, within a table only and one to one; equal headers and lone columns stay what they were."""
+    from colweave.operators.renames import matched_drift
+
+    old = {"a": ["email", "first_name", "phone number", "zip", "same"], "b": ["email"], "c": ["Total"], "d": ["x1"]}
+    new = {"a": ["E-Mail Address", "firstname", "phone", "qwv", "same"], "b": ["color"], "c": ["total "], "e": ["email"]}
+    frame = lambda tables: spark.createDataFrame([(t, c) for t, cs in tables.items() for c in cs], "table_id string, column_name string")
+    got = {(r.table_id, r.old_column, r.new_column, r.change) for r in matched_drift(frame(old), frame(new)).collect()}
+    assert got == {
+        ("a", "email", "E-Mail Address", "renamed"), ("a", "first_name", "firstname", "renamed"), ("a", "phone number", "phone", "renamed"),
+        ("a", "zip", None, "removed"), ("a", None, "qwv", "added"), ("b", "email", None, "removed"), ("b", None, "color", "added"),
+        ("c", "Total", "total ", "renamed"), ("d", "x1", None, "removed"), ("e", None, "email", "added"),
+    }
