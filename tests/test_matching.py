@@ -14,7 +14,7 @@ from colweave.functions.headers import normalize_header
 from colweave.operators import assignment as A
 from colweave.operators import mapping as M
 from colweave.operators.catalog import column_catalog, schema_drift, schema_fingerprints, shape_keys
-from colweave.operators.scoring import header_features, requested_pairs
+from colweave.operators.scoring import SCORED, header_features, header_struct, may_score, requested_pairs, with_scores
 from colweave.operators.sparse_matching import heaviest_matching
 
 
@@ -213,6 +213,42 @@ def test_candidates_grow_with_requests(spark):
         assert {r.template_col: (r.raw_col, r.confidence) for r in got if r.source_id == f"f{i}"} == single
 
 
+def random_catalog(rng, n_tables, top):
+    words = ["order", "date", "cust", "customer", "name", "e-mail", "qty", "total", "amt", "phone", "nmae", "dte", "Ordr", "id", "name name", ""]
+    rows = [
+        (t, i, rng.choice(["", "_", " "]).join(rng.choices(words, k=rng.randint(1, 3))) + str(i))
+        for t in range(n_tables) for i in range(0, 2 * rng.randint(1, top), 2)
+    ]
+    return rows
+
+
+def test_requests_move_as_one_row_and_both_ways_agree(spark, monkeypatch):
+    """A request is one row however many columns it has, and side by side or by keys the same edges are found."""
+    rng = random.Random(11)
+    ddl = "table_id long, ordinal int, column_name string"
+    templates, sources = (spark.createDataFrame(random_catalog(rng, 12, 9), ddl) for _ in range(2))
+    requests = spark.createDataFrame([(s, t) for s in range(13) for t in range(12)], "source_id long, template_id long")
+    near, far, asked = A.catalog_edges(templates, sources, requests)
+    assert asked.count() == 13 * 12 and far.count() == 0 and near.count() > 0
+    want = [tuple(r) for r in A.match_catalog(templates, sources, requests).collect()]
+    assert {r[0] for r in want if r[5] is None} >= {12}  # the source without columns stays
+    monkeypatch.setattr(A, "NARROW_PRODUCT", 0)
+    by_keys = A.catalog_edges(templates, sources, requests)[1]
+    columns = ["p1", "p2", "t_ord", "r_ord", "micro"]
+    assert sorted(map(tuple, by_keys.select(*columns).collect())) == sorted(map(tuple, near.select(*columns).collect()))
+    assert sorted((tuple(r) for r in A.match_catalog(templates, sources, requests).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_left_out_score_nothing(spark):
+    rng = random.Random(12)
+    names = sorted({r[2].lower().replace("_", " ").replace("-", " ") for r in random_catalog(rng, 30, 5)} | {"aab", "abb", "éa", "ae"})
+    df = spark.createDataFrame([(n,) for n in names], "norm string").where("norm <> ''")
+    side = lambda s: df.select(F.inline(F.array(header_struct(F.col("norm"), s, F.lit(0), A.DEFAULT_VOCABULARY, False))))
+    scored = with_scores(side("t").crossJoin(side("r")).withColumn("may", may_score()).select(*SCORED, "may").distinct())
+    found = scored.groupBy("may").agg(F.max("score").alias("top"), F.count("*").alias("n")).collect()
+    assert {r.may: r.top > 0 for r in found} == {True: True, False: False}
+
+
 def test_sparse_matching_on_wide_sides():
     """A narrow side against thousands of equal edges, from either side, and ties that only rerouting settles."""
     for n, m in ((20, 2000), (2000, 20)):
