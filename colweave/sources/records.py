@@ -45,6 +45,37 @@ def ends_inside(line: bytes, inside: bool, sep: bytes) -> bool:
         at += len(sep)
 
 
+class _Lines:
+    """Lines of a batch that matter to the quote state: those with a quote, and those that begin outside quotes and end inside."""
+
+    def __init__(self, values: pa.Array, sep: bytes):
+        self.values, self.sep = values, sep
+        self.quoted = np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
+        held = values.take(pa.array(self.quoted))
+        if len(sep) == 1:
+            # A run of fields that all end on this line, as ``ends_inside`` takes them; one pass over the bytes in place of a call per line.
+            cut = f"\\x{sep[0]:02x}"
+            plain = f'[^"{cut}][^{cut}]*'
+            field = f'"(?:[^"]|"")*"(?:{plain})?|{plain}|'
+            closed = pc.match_substring_regex(held, f"\\A(?:{field})(?:{cut}(?:{field}))*\\z").to_numpy(zero_copy_only=False)
+        else:
+            closed = np.array([not ends_inside(line, False, sep) for line in held.to_pylist()], dtype=bool)
+        self.opening = self.quoted[~closed.astype(bool)]
+
+    def next_change(self, at: int, high: int, inside: bool) -> tuple[int, bool]:
+        """The first line from ``at`` that changes the state, and whether there is one before ``high``."""
+        if not inside:
+            i = np.searchsorted(self.opening, at)
+            return (int(self.opening[i]), True) if i < len(self.opening) and self.opening[i] < high else (high, False)
+        for i in range(np.searchsorted(self.quoted, at), len(self.quoted)):
+            line = int(self.quoted[i])
+            if line >= high:
+                break
+            if not ends_inside(self.values[line].as_py(), True, self.sep):
+                return line, True
+        return high, False
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
     """The blocks in a batch of lines: their path and start, first and last row."""
     starts = batch.column("start").to_numpy()
@@ -55,27 +86,36 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
 
 
 def _outcomes(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.RecordBatch]:
-    """Per block, from its lines with quotes: its end from either start, and whether a start inside is ever left."""
-    names, key, ends, left, done = ["path", "start", "from_out", "from_in", "left"], None, [False, True], False, []
+    """Per block, from its lines with quotes: its end from either start, whether a start inside is ever left, and whether
+    a record goes over lines or a line is odd, the block beginning outside."""
+    names, key, ends, left, several, done = ["path", "start", "from_out", "from_in", "left", "several"], None, [False, True], False, False, []
     for batch in batches:
         if not batch.num_rows:
             continue
+        lines = _Lines(batch.column("value").cast(pa.binary()), sep)
         for own, low, high in _runs(batch):
             if own != key:
                 if key is not None:
-                    done.append((*key, *ends, left))
-                key, ends, left = own, [False, True], False
-            for line in batch.column("value").slice(low, high - low).to_pylist():
-                ends = [ends_inside(line, e, sep) for e in ends]
-                left = left or not ends[1]
+                    done.append((*key, *ends, left, several))
+                key, ends, left, several = own, [False, True], False, False
+            several = several or bool(pc.any(batch.column("odd").slice(low, high - low)).as_py())
+            for which in (0, 1):
+                at, found = lines.next_change(low, high, ends[which])
+                while found:
+                    ends[which] = not ends[which]
+                    left, several = left or (which == 1 and not ends[1]), several or (which == 0 and ends[0])
+                    at, found = lines.next_change(at + 1, high, ends[which])
     if key is not None:
-        done.append((*key, *ends, left))
-    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, types, strict=True)], names=names)
+        done.append((*key, *ends, left, several))
+    types = [pa.string(), pa.int64(), *[pa.bool_()] * 4]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 6, types, strict=True)], names=names)
 
 
 def _follow(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Where a file is inside quotes at a block's edge: from the block ``start`` to that beginning at ``until``, in the record begun in ``since``."""
+    """Where a file is inside quotes at a block's edge: from the block ``start`` to that beginning at ``until``, in the record begun in ``since``.
+
+    A row of -1 tells of a file where lines and records are not the same.
+    """
     inside, since, out = False, 0, []
     ordered = list(blocks.sort_values("start").itertuples())
     for b, after in zip(ordered, [*ordered[1:], None], strict=True):
@@ -85,6 +125,8 @@ def _follow(blocks: pd.DataFrame) -> pd.DataFrame:
                 since = b.start
             out.append((b.path, b.start, after.start if after is not None else 1 << 62, since))
         inside = ends
+    if blocks["several"].any():
+        out.append((ordered[0].path, -1, -1, -1))
     return pd.DataFrame(out, columns=["path", "start", "until", "since"])
 
 
@@ -133,7 +175,7 @@ def _cut(batches: Iterator[pa.RecordBatch], sep: bytes, held_edges, pieces: bool
         if not batch.num_rows:
             continue
         values = batch.column("value").cast(pa.binary())
-        quoted = np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
+        lines = _Lines(values, sep)
         for own, low, high in _runs(batch):
             if own != key:
                 piece()
@@ -142,21 +184,17 @@ def _cut(batches: Iterator[pa.RecordBatch], sep: bytes, held_edges, pieces: bool
                 inside = edge = since is not None
                 since = since if inside else own[1]
             at = low
-            for i in [*quoted[(quoted >= low) & (quoted < high)].tolist(), high]:
+            while True:
+                i, found = lines.next_change(at, high, inside)
                 if i > at:
                     if inside:
                         held += values.slice(at, i - at).to_pylist()
                     else:
                         whole(values.slice(at, i - at))
-                if i == high:
+                if not found:
                     break
-                line, before = values[i].as_py(), inside
-                inside = ends_inside(line, inside, sep)
-                at = i + 1
-                if not before and not inside:
-                    whole(values.slice(i, 1))
-                    continue
-                held.append(line)
+                held.append(values[i].as_py())
+                at, inside = i + 1, not inside
                 if not inside:
                     if edge:  # the tail of a record from before
                         piece()
@@ -171,26 +209,36 @@ def _cut(batches: Iterator[pa.RecordBatch], sep: bytes, held_edges, pieces: bool
         yield flushed()
 
 
-def quoted_records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """``record`` (bytes) of every record but the first of each file, its header. Lines end in a line feed."""
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
-    )
+def quoted_records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame | None:
+    """``record`` (bytes) of every record but the first of each file, its header. Lines end in a line feed.
+
+    None where every line that is not empty is a record of its own which any reader of lines finds: no record goes over a line's end, and no
+    line has a carriage return or blanks only.
+    """
+    text = spark.read.option("lineSep", "\n").text(paths)
+    fields = [F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    lines = text.select(*fields)
     mark = sep.encode()
-    found = lines.where(F.contains("value", F.lit(b'"'))).mapInArrow(
-        lambda b: _outcomes(b, mark), "path string, start long, from_out boolean, from_in boolean, left boolean"
+    odd = F.contains("value", F.lit("\r")) | ((F.ascii("value") <= 32) & F.col("value").rlike(r"^[\x00-\x20]+$"))
+    found = text.select(*fields, odd.alias("odd")).where(F.contains("value", F.lit(b'"')) | F.col("odd")).mapInArrow(
+        lambda b: _outcomes(b, mark), "path string, start long, from_out boolean, from_in boolean, left boolean, several boolean"
     )
-    # a row per block that ends inside quotes: less than one for each block of the files
+    # a row per block that ends inside quotes, less than one for each block of the files, and one per file with other than plain lines
     edges: dict[str, list[tuple[int, int, int]]] = {}
+    several = False
     for r in found.groupBy("path").applyInPandas(_follow, "path string, start long, until long, since long").orderBy("start").collect():
-        edges.setdefault(r.path, []).append((r.start, r.until, r.since))
+        several = True
+        if r.start >= 0:
+            edges.setdefault(r.path, []).append((r.start, r.until, r.since))
+    if not several:
+        return None
     held = spark.sparkContext.broadcast(edges)
     records = lines.mapInArrow(lambda b: _cut(b, mark, held, False), "record binary")
     if not edges:
         return records
     pieces = lines.mapInArrow(lambda b: _cut(b, mark, held, True), "path string, since long, start long, record binary, header boolean")
-    text = lambda p: F.decode(p["record"], "ISO-8859-1")
+    latin = lambda p: F.decode(p["record"], "ISO-8859-1")
     joined = pieces.groupBy("path", "since").agg(
         F.bool_or("header").alias("header"), F.array_sort(F.collect_list(F.struct("start", "record"))).alias("parts")
-    ).where("not header").select(F.encode(F.array_join(F.transform("parts", text), "\n"), "ISO-8859-1").alias("record"))
+    ).where("not header").select(F.encode(F.array_join(F.transform("parts", latin), "\n"), "ISO-8859-1").alias("record"))
     return records.unionByName(joined)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import time
 
+import pyarrow as pa
 import pytest
 
 from colweave.sinks.files import write_any, write_csv, write_excel
@@ -306,3 +308,29 @@ def test_json_folder_of_all_layouts(spark, tmp_path):
 def test_json_wide_arrays_keep_their_order(spark, tmp_path):
     p = put(tmp_path / "a.json", json.dumps([list(range(12)), [1]]))
     assert read_json(spark, p).columns == [str(i) for i in range(12)]
+
+
+def test_lines_that_open_quotes_are_found_in_bulk():
+    """The expression over a batch tells the same lines as going through each, and only these are looked at one by one."""
+    from colweave.sources.records import _Lines, ends_inside
+
+    rng = random.Random(21)
+    for sep in (b",", b";", b"\t", b"|", b"||"):
+        lines = [bytes(rng.choices(b'"",;\t|a\xe9 \\^]', k=rng.randint(0, 9))) for _ in range(4000)]
+        found = _Lines(pa.array(lines, pa.binary()), sep)
+        assert found.opening.tolist() == [i for i, line in enumerate(lines) if ends_inside(line, False, sep)]
+    lines = [b'1,"a, ""b"""'] * 50_000
+    start = time.perf_counter()
+    assert _Lines(pa.array(lines, pa.binary()), b",").next_change(0, len(lines), False) == (len(lines), False)
+    assert time.perf_counter() - start < 2
+
+
+def test_plain_records_need_no_cutting(spark, tmp_path):
+    from colweave.sources.records import quoted_records
+
+    texts = {"plain": b'a,b\n1,"x, ""y"""\n2,z\n', "breaks": b'a,b\n1,"x\ny"\n', "returns": b"a,b\r\n1,x\r\n", "blanks": b"a,b\n  \n1,x\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text)
+        assert (quoted_records(spark, [str(tmp_path / f"{name}.csv")], ",") is None) == (name == "plain")
+    rows = read_csv(spark, str(tmp_path / "plain.csv")).collect()
+    assert [tuple(r) for r in rows] == [(1, 'x, "y"'), (2, "z")]
