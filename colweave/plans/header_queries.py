@@ -31,6 +31,11 @@ def _scored_sql(column: str) -> str:
     """
 
 
+def _spread(df):
+    """Rows over several tasks a core: a small file of parts is one block, and its alignment would be one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _result(df, score):
     return df.select("p_partkey", F.round(F.coalesce(score, F.lit(0.0)), 6).alias("score"))
 
@@ -93,17 +98,17 @@ def score_overlap(spark, sf_dir):
 
 @query("score_token_sort", _scored_sql("sort_ratio"))
 def score_token_sort(spark, sf_dir):
-    return _result(_normed(spark, sf_dir), S.token_sort_ratio(F.col(_T), F.col(_R)))
+    return _result(_spread(_normed(spark, sf_dir)), S.token_sort_ratio(F.col(_T), F.col(_R)))
 
 
 @query("score_token_set", _scored_sql("set_ratio"))
 def score_token_set(spark, sf_dir):
-    return _result(_normed(spark, sf_dir), S.token_set_ratio(F.col(_T), F.col(_R)))
+    return _result(_spread(_normed(spark, sf_dir)), S.token_set_ratio(F.col(_T), F.col(_R)))
 
 
 @query("score_fuzzy", _scored_sql("fuzzy_score"))
 def score_fuzzy(spark, sf_dir):
-    return _result(_normed(spark, sf_dir), S.fuzzy_score(F.col(_T), F.col(_R)))
+    return _result(_spread(_normed(spark, sf_dir)), S.fuzzy_score(F.col(_T), F.col(_R)))
 
 
 @query("score_cascade", f"""
