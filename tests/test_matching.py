@@ -297,3 +297,10 @@ def test_matched_drift(spark):
         ("a", "zip", None, "removed"), ("a", None, "qwv", "added"), ("b", "email", None, "removed"), ("b", None, "color", "added"),
         ("c", "Total", "total ", "renamed"), ("d", "x1", None, "removed"), ("e", None, "email", "added"),
     }
+
+
+def test_drift_query_joins_lines_and_parts_once(spark):
+    from colweave.plans import load_all
+
+    df = load_all()[0]["schema_drift"](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0 and not [f for f in df.inputFiles() if "lineitem" in f]  # both states come from the stored columns
