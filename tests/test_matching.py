@@ -304,3 +304,24 @@ def test_drift_query_joins_lines_and_parts_once(spark):
 
     df = load_all()[0]["schema_drift"](spark, "/root/testdata/sf0.001")
     assert df.count() > 0 and not [f for f in df.inputFiles() if "lineitem" in f]  # both states come from the stored columns
+
+
+def _by_keys_only(spark, use):
+    """A mapping and a raw catalog dealt out by the key, joined without broadcasts; rows of the result, moved twice: the used names and the catalog."""
+    mapping = spark.createDataFrame([(g, i, f"t{i}", None, "r0" if i == 0 else None, 0.0) for g in range(4) for i in range(3)], f"g int, {M.MAPPING_DDL}")
+    mapping = mapping.withColumn("pattern", F.lit("email"))
+    raw = spark.createDataFrame([(g, i, f"r{i}", "email") for g in range(3) for i in range(2)], "g int, r_ord int, raw_col string, pattern string")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = use(mapping, raw.repartition("g"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2, plan
+        return df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_unused_raw_moves_the_catalog_once(spark):
+    rows = _by_keys_only(spark, lambda mapping, raw: M.unused_raw(mapping, raw, ["g"]))
+    assert sorted((r.g, r.raw_col) for r in rows) == [(g, "r1") for g in range(3)]
