@@ -325,3 +325,10 @@ def _by_keys_only(spark, use):
 def test_unused_raw_moves_the_catalog_once(spark):
     rows = _by_keys_only(spark, lambda mapping, raw: M.unused_raw(mapping, raw, ["g"]))
     assert sorted((r.g, r.raw_col) for r in rows) == [(g, "r1") for g in range(3)]
+
+
+def test_promotion_moves_the_catalog_once(spark):
+    rows = _by_keys_only(spark, lambda mapping, raw: M.promote_by_pattern(mapping, None, raw, ["g"]))
+    # one free raw column each, for the first that waits; the fourth mapping has none
+    want = {(g, t): ("r1", 1, 0.6) if t == "t1" and g < 3 else ("r0" if t == "t0" else None, None, 0.0) for g in range(4) for t in ("t0", "t1", "t2")}
+    assert {(r.g, r.template_col): (r.raw_col, r.r_ord, r.confidence) for r in rows} == want
