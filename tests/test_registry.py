@@ -118,3 +118,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {tuple(r) for r in apply_mapping(raw, mapping, template).collect()} and len(got) == 100
     with pytest.raises(ValueError):
         map_stream(raw, mapping, template)
+
+
+def test_entries_move_without_what_follows_from_them(spark):
+    made = lambda rows, names: spark.createDataFrame(rows, names)
+    mapping = made([("a", 0, "id", "key", 0.9), ("a", 1, "x", None, None)], "k string, t_ord int, template_col string, raw_col string, confidence double")
+    columns = made([("a", 0, "key")], "k string, ordinal int, column_name string")
+    got = R.reusable_mappings(R.registry_rows(mapping, columns, columns, ["k"]), ["k"])
+    assert [tuple(r) for r in got.collect()] == [("a", "id", "key")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "partial_collect_list" in line]
+    assert moved and not any("automatic" in line for line in moved)
