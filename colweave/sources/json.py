@@ -57,7 +57,8 @@ def _from_lines(lines: DataFrame) -> DataFrame:
     """
     spark = lines.sparkSession
     path = fresh_dir(spark, "json-records")
-    lines.select(F.translate("line", "\n\r", "  ")).write.text(path)
+    broken = F.contains("line", F.lit("\n")) | F.contains("line", F.lit("\r"))
+    lines.select(F.when(broken, F.translate("line", "\n\r", "  ")).otherwise(F.col("line")).alias("line")).write.text(path)
     return spark.read.option("mode", "FAILFAST").option("prefersDecimal", "false").json(path)
 
 
@@ -80,35 +81,89 @@ def _array_lines(items: Column) -> Column:
     return bind(items, text)
 
 
+#: Numbers and quotes as the parser of values takes them.
+_STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+
+
+def _members(text: Column) -> Column:
+    """Members of an object as their own text, null for other documents and where text does not tell a string from a list.
+
+    Strings lose their quotes, so one that begins with a bracket would look like a list. It begins with a quote and a bracket, or with
+    an escape; documents with either are not looked at. Spark writes numbers inside lists and objects anew.
+    """
+    unclear = F.contains(text, F.lit('"[')) | F.contains(text, F.lit('"\\'))
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & ~unclear, F.from_json(text, "map<string,string>", _STRICT))
+
+
+def _rows(objects: Column) -> Column:
+    """Of the members that are lists of objects, that under a wrapper key or the only one."""
+    only = F.when(F.size(objects) == 1, F.element_at(F.map_values(objects), 1))
+    return F.coalesce(*[F.try_element_at(objects, F.lit(k)) for k in WRAPPER_KEYS], only)
+
+
 def _record_lines(documents: DataFrame, column: str) -> DataFrame:
     """Every document as the text of an object or of an array of objects, column ``line``.
 
-    An array of objects, the usual layout, is passed on as it is; only other documents are taken apart.
+    An array of objects, the usual layout, is passed on as it is, and so are the parts of an object whose members can be told by
+    their text; only other documents are taken apart as values.
     """
     text = F.trim(F.col(column))
-    plain = text.rlike(r"^\[\s*\{")
-    docs = documents.where(text != "").select(F.when(plain, text).alias("t"), F.when(~plain, F.parse_json(text)).alias("v"))
-    v = F.col("v")
-    members = F.when(_is_object(v), v.cast("map<string,variant>"))
-    items = F.when(_is_array(v), v.cast("array<variant>"))
-    staged = docs.select("t", "v", members.alias("m"), items.alias("a"))
-    lists = F.map_filter("m", lambda _, x: _is_array(x))
-    of_objects = F.map_filter("m", lambda _, x: _is_array(x) & _starts_with_object(x))
-    staged = staged.select("t", "v", "m", "a", F.size(lists).alias("n_lists"), F.size("m").alias("n_keys"), of_objects.alias("o"))
-    wrapped = F.coalesce(*[F.try_element_at("o", F.lit(k)) for k in WRAPPER_KEYS])
-    only = F.when(F.size("o") == 1, F.element_at(F.map_values("o"), 1))
-    columnar = (F.col("n_keys") > 0) & (F.col("n_lists") == F.col("n_keys"))
-    staged = staged.select("t", "v", "m", "a", F.coalesce(wrapped, only).alias("rows"), columnar.alias("columnar"))
-    bad = F.raise_error(F.lit("unsupported JSON root: expected an array or an object")).cast("string")
-    line = (
-        F.when(F.col("t").isNotNull(), F.col("t"))
-        .when(F.col("a").isNotNull(), _array_lines(F.col("a")))
-        .when(F.col("rows").isNotNull(), F.to_json("rows"))
-        .when(F.col("columnar"), _columnar_line(F.col("m")))
-        .when(F.col("m").isNotNull(), F.to_json("v"))
-        .otherwise(bad)
+    docs = documents.select(text.alias("d")).where("d <> ''").select("d", _list_of_objects(F.col("d")).alias("plain"))
+    docs = docs.select("d", "plain", F.when(~F.col("plain"), _members(F.col("d"))).alias("p"))
+    # A name given twice is left to the parser of values, which rejects it.
+    once = F.size(F.array_distinct(F.map_keys("p"))) == F.size("p")
+    docs = docs.select("d", "plain", F.when(once, F.col("p")).alias("p"))
+    texts = F.map_values("p")
+    lists = F.forall(texts, lambda x: F.coalesce(F.startswith(x, F.lit("[")), F.lit(False)))
+    # Cells that are numbers, true, false or null end at a comma, and names without escapes are written as they are read.
+    nested = F.exists(texts, lambda x: F.contains(x, F.lit('"')) | F.contains(x, F.lit("{")) | F.contains(F.substring(x, 2, 1 << 30), F.lit("[")))
+    docs = docs.select("d", "plain", "p", F.map_filter("p", lambda _, x: _list_of_objects(x)).alias("po"), ((F.size("p") > 0) & lists).alias("columnar"))
+    docs = docs.select("d", "plain", "p", "columnar", _rows(F.col("po")).alias("rows"))
+    known = (
+        F.when(F.col("plain"), F.col("d"))
+        .when(F.col("rows").isNotNull(), F.col("rows"))
+        .when(~F.col("columnar"), F.col("d"))
+        .when(~F.contains("d", F.lit("\\")) & ~nested & F.col("columnar"), _cells_line(F.col("p")))
     )
-    return staged.select(line.alias("line"))
+    return docs.select(known.otherwise(_value_line(F.parse_json("d"))).alias("line"))
+
+
+def _list_of_objects(text: Column) -> Column:
+    return F.startswith(text, F.lit("[")) & (F.startswith(text, F.lit("[{")) | text.rlike(r"^\[\s*\{"))
+
+
+def _cells_line(members: Column) -> Column:
+    """Text of one object per position of lists of equal length, given as text without strings, objects or lists in them."""
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    cells = lambda x: F.when(F.trim(F.translate(x, "\n\r\t", "   ")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ","))
+
+    def text(lists: Column) -> Column:
+        sizes = F.transform(lists, lambda a: F.size(a))
+        first = F.get(lists, F.lit(0))
+        cell = lambda i: F.zip_with(F.map_keys(members), lists, lambda k, a: F.concat(F.lit('"'), k, F.lit('":'), F.get(a, i)))
+        objects = F.transform(first, lambda _, i: F.concat(F.lit("{"), F.array_join(cell(i), ","), F.lit("}")))
+        ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("string")
+        equal = F.array_min(sizes) == F.array_max(sizes)
+        return F.when(~equal, ragged).otherwise(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
+
+    return bind(F.transform(F.map_values(members), lambda x: cells(inner(x))), text)
+
+
+def _value_line(values: Column) -> Column:
+    """The line of a document from its values."""
+    bad = F.raise_error(F.lit("unsupported JSON root: expected an array or an object")).cast("string")
+
+    def of_object(m: Column) -> Column:
+        n_lists = F.size(F.map_filter(m, lambda _, x: _is_array(x)))
+        columnar = (F.size(m) > 0) & (n_lists == F.size(m))
+        rows = bind(F.map_filter(m, lambda _, x: _is_array(x) & _starts_with_object(x)), _rows)
+        return F.coalesce(bind(rows, lambda r: F.to_json(r)), F.when(columnar, _columnar_line(m)))
+
+    def line(v: Column) -> Column:
+        in_object = F.coalesce(bind(v.cast("map<string,variant>"), of_object), F.to_json(v))
+        return F.when(_is_array(v), _array_lines(v.cast("array<variant>"))).when(_is_object(v), in_object).otherwise(bad)
+
+    return bind(values, line)
 
 
 def documents_to_table(documents: DataFrame, column: str) -> DataFrame:
@@ -116,8 +171,8 @@ def documents_to_table(documents: DataFrame, column: str) -> DataFrame:
 
     Per document: an array gives its objects, or rows of columns ``0``, ``1``, ... where it holds scalars or arrays; an object gives
     the objects under a wrapper key, or under its only list of objects, or one row per position of its equally long lists, or
-    itself. Documents of different layouts may meet in one column. Blank documents give nothing; a bare scalar or broken JSON
-    fails the job. A column with values of several types is text. A raw line break inside a string is read as a blank.
+    itself. Documents of different layouts may meet in one column. Blank documents give nothing; a bare scalar, broken JSON or a document
+    that names a member twice fails the job; of a name given twice inside a record the last value counts. A column with values of several types is text. A raw line break inside a string is read as a blank.
     """
     return _numbered(flatten(_from_lines(_record_lines(documents, column))))
 

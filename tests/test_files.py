@@ -15,7 +15,7 @@ from colweave.sinks.xlsx import write_xlsx
 from colweave.sources import audit
 from colweave.sources.csv import read_csv, sniff_delimiter
 from colweave.sources.dispatch import read_any, read_each
-from colweave.sources.json import read_json, read_ndjson
+from colweave.sources.json import documents_to_table, read_json, read_ndjson
 from colweave.sources.json_blocks import array_records
 from colweave.sources.xlsx import read_xlsx
 
@@ -334,3 +334,19 @@ def test_plain_records_need_no_cutting(spark, tmp_path):
         assert (quoted_records(spark, [str(tmp_path / f"{name}.csv")], ",") is None) == (name == "plain")
     rows = read_csv(spark, str(tmp_path / "plain.csv")).collect()
     assert [tuple(r) for r in rows] == [(1, 'x, "y"'), (2, "z")]
+
+
+def test_json_objects_by_the_text_of_their_members(spark):
+    rows = '[{"a":1.50,"b":[1]},{"a":"x","b":[]}]'
+    read = lambda *docs: documents_to_table(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc")
+    plain = sorted(map(str, read(rows).collect()))
+    for doc in ('{"n":1,"rows" : %s}' % rows, '{"n":"[{]","q":%s}' % rows, '{"n":"\\u005b{","items":%s,"other":[{"z":1}]}' % rows):
+        got = sorted(map(str, read(doc).collect()))
+        assert [g.replace("1.50", "1.5") for g in got] == [p.replace("1.50", "1.5") for p in plain]
+    # a number among texts stays as it is written, as it does in an array
+    assert sorted(r.a for r in read('{"a":1.50}', '{"a":"x"}').collect()) == ["1.50", "x"]
+    cells = read('{"x":[1,null],"y":[true, false]}', '{"x":[2],"y":["a,]"]}', '{"x":[],"y":[ ]}')
+    assert sorted(map(tuple, cells.collect()), key=str) == [(1, "true"), (2, "a,]"), (None, "false")]
+    for bad in ('{"a":1,"a":[{"k":1}]}', '{"a":[1,2],"b":[1]}', '{"a":[1 2],"b":[1]}', '{"a":[{"k":1}}', '{"a":[NaN]}'):
+        with pytest.raises(Exception):
+            read(bad).collect()
