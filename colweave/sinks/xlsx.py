@@ -12,8 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from colweave.scratch import file_system, qualified
@@ -48,8 +49,13 @@ _PARTS = {
 _UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 
 
+_PLAIN = re.compile(r"[^\x00-\x08\x0b-\x1f\ufffe\uffff_&<>]*+")
+
+
 def _text_cell(text: str) -> str:
     """Characters XML cannot hold, or would change, take the format's form ``_xHHHH_``, as does text that looks like it."""
+    if _PLAIN.fullmatch(text):
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
     held = _UNSAFE.sub(lambda m: f"_x{ord(m[0]):04X}_", text)
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(held)}</t></is></c>'
 
@@ -57,6 +63,13 @@ def _text_cell(text: str) -> str:
 def _cell(value) -> str:
     if value is None:
         return "<c/>"
+    kind = type(value)
+    if kind is str:
+        return _text_cell(value)
+    if kind is float and math.isfinite(value):
+        return f"<c><v>{value!r}</v></c>"
+    if kind is int and -(2**53) < value < 2**53:
+        return f"<c><v>{value}</v></c>"
     if isinstance(value, bool):
         return f'<c t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (int, decimal.Decimal)):
@@ -77,11 +90,28 @@ def _cell(value) -> str:
     return _text_cell(str(value))
 
 
+def _cells(column: pa.Array) -> list[str]:
+    """The cells of a column; values that return are written once."""
+    kind = column.type
+    if pa.types.is_floating(kind):
+        return [f"<c><v>{v!r}</v></c>" if v is not None and math.isfinite(v) else _cell(v) for v in column.to_pylist()]
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_integer(kind) or pa.types.is_temporal(kind):
+        coded = column.dictionary_encode()
+        distinct, places = coded.dictionary, coded.indices.to_pylist()
+    else:
+        distinct, places = column, None
+    values = distinct.to_pylist()
+    if pa.types.is_timestamp(kind) and kind.tz is not None:
+        values = [None if v is None else v.astimezone().replace(tzinfo=None) for v in values]
+    cells = list(map(_cell, values))
+    return cells if places is None else [_cell(None) if i is None else cells[i] for i in places]
+
+
 class _Workbook:
-    """One workbook written row by row, so memory does not grow with its rows."""
+    """One workbook written batch by batch, so memory does not grow with its rows."""
 
     def __init__(self, stream, names: list[str], sheet: str):
-        self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+        self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=3)
         for name, text in _PARTS.items():
             self.zip.writestr(name, text)
         self.zip.writestr(
@@ -93,9 +123,10 @@ class _Workbook:
         self.sheet.write(("<row>" + "".join(_text_cell(n) for n in names) + "</row>").encode())
         self.rows = 0
 
-    def add(self, row) -> None:
-        self.sheet.write(("<row>" + "".join(_cell(v) for v in row) + "</row>").encode())
-        self.rows += 1
+    def add(self, batch: pa.RecordBatch) -> None:
+        rows = zip(*map(_cells, batch.columns), strict=True)
+        self.sheet.write("".join([f"<row>{''.join(row)}</row>" for row in rows]).encode())
+        self.rows += batch.num_rows
 
     def close(self) -> None:
         self.sheet.write(b"</sheetData></worksheet>")
@@ -108,7 +139,7 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class XlsxWriter(DataSourceWriter):
+class XlsxWriter(DataSourceArrowWriter):
     """Tasks write hidden files; the commit of the job gives them their names."""
 
     def __init__(self, path: str, names: list[str], sheet: str, max_rows: int, overwrite: bool):
@@ -117,7 +148,7 @@ class XlsxWriter(DataSourceWriter):
     def _fs(self):
         return file_system(self.path)
 
-    def write(self, iterator: Iterator) -> _Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         system, root = self._fs()
@@ -125,17 +156,20 @@ class XlsxWriter(DataSourceWriter):
         task, tag = TaskContext.get().partitionId(), uuid.uuid4().hex
         files: list[tuple[str, str]] = []
         book = stream = None
-        for row in iterator:
-            if book is None:
-                hidden = f"{root}/_temporary-{tag}-{len(files):05d}"
-                files.append((hidden, f"{root}/part-{task:05d}-{len(files):05d}-{tag}.xlsx"))
-                stream = system.open_output_stream(hidden)
-                book = _Workbook(stream, self.names, self.sheet)
-            book.add(row)
-            if book.rows == self.max_rows:
-                book.close()
-                stream.close()
-                book = None
+        for batch in iterator:
+            while batch.num_rows:
+                if book is None:
+                    hidden = f"{root}/_temporary-{tag}-{len(files):05d}"
+                    files.append((hidden, f"{root}/part-{task:05d}-{len(files):05d}-{tag}.xlsx"))
+                    stream = system.open_output_stream(hidden)
+                    book = _Workbook(stream, self.names, self.sheet)
+                part = batch.slice(0, self.max_rows - book.rows)
+                batch = batch.slice(part.num_rows)
+                book.add(part)
+                if book.rows == self.max_rows:
+                    book.close()
+                    stream.close()
+                    book = None
         if book is not None:
             book.close()
             stream.close()

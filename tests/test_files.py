@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
 import random
 import time
+import zipfile
 
 import pyarrow as pa
 import pytest
@@ -350,3 +352,35 @@ def test_json_objects_by_the_text_of_their_members(spark):
     for bad in ('{"a":1,"a":[{"k":1}]}', '{"a":[1,2],"b":[1]}', '{"a":[1 2],"b":[1]}', '{"a":[{"k":1}}', '{"a":[NaN]}'):
         with pytest.raises(Exception):
             read(bad).collect()
+
+
+def test_sheets_of_simple_cells_need_no_parser(spark, tmp_path, monkeypatch):
+    from colweave.sources import xlsx
+
+    stamp = dt.datetime(2024, 2, 29, 12, 30)
+    rows = [(1, 1.0, "a&b<c", True, stamp), (None, 2.5e-9, " x_x0041_\r\n", None, None), (-(2**40), 1e16, "", False, stamp)] * 3
+    write_xlsx(spark.createDataFrame(rows, "i long, f double, t string, b boolean, at timestamp_ntz").coalesce(1), str(tmp_path / "x"), max_rows=7)
+    books = sorted((tmp_path / "x").glob("part-*.xlsx"))
+    assert len(books) == 2
+    contents = [b.read_bytes() for b in books]
+    quick = [list(xlsx.sheet_rows(c)) for c in contents]
+    assert [r for book in quick for r in book[1:]] == [list(r) for r in rows]
+    with monkeypatch.context() as m:
+        m.setattr(xlsx, "_simple_rows", lambda *_: iter([None]))
+        assert [list(xlsx.sheet_rows(c)) for c in contents] == quick
+    # what is not simple goes to the parser, after the blocks that are
+    sheet = zipfile.ZipFile(books[0]).read("xl/worksheets/sheet1.xml")
+    for odd in (b'<row><c r="B1"><v>5</v></c></row>', b"<row><c><f>1+1</f><v>2</v></c></row>", b"<row><!-- <c/> --><c><v>3</v></c></row>"):
+        changed = io.BytesIO()
+        with zipfile.ZipFile(books[0]) as old, zipfile.ZipFile(changed, "w") as new:
+            for name in old.namelist():
+                data = old.read(name)
+                new.writestr(name, data.replace(b"</sheetData>", odd + b"</sheetData>") if data == sheet else data)
+        for chunk in (300, 4 << 20):
+            monkeypatch.setattr(xlsx, "_CHUNK", chunk)
+            got = list(xlsx.sheet_rows(changed.getvalue()))
+            assert got[:-1] == quick[0] and got[-1] in ([None, 5], [2], [3])
+    monkeypatch.setattr(xlsx.ET, "iterparse", lambda *_: pytest.fail("parsed"))
+    assert "sharedStrings" not in " ".join(zipfile.ZipFile(books[0]).namelist())
+    monkeypatch.setattr(xlsx, "_CHUNK", 300)
+    assert [list(xlsx.sheet_rows(c)) for c in contents] == quick
