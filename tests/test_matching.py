@@ -332,3 +332,32 @@ def test_promotion_moves_the_catalog_once(spark):
     # one free raw column each, for the first that waits; the fourth mapping has none
     want = {(g, t): ("r1", 1, 0.6) if t == "t1" and g < 3 else ("r0" if t == "t0" else None, None, 0.0) for g in range(4) for t in ("t0", "t1", "t2")}
     assert {(r.g, r.template_col): (r.raw_col, r.r_ord, r.confidence) for r in rows} == want
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_matching_steps_release_their_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    columns = "table_id string, ordinal int, column_name string"
+    templates = spark.createDataFrame([(f"t{t}", i, c) for t in range(4) for i, c in enumerate((f"order {t}", "price"))], columns)
+    sources = spark.createDataFrame([(f"s{s}", i, c) for s in range(8) for i, c in enumerate(("prices", f"Order_{s % 4}"))], columns)
+    requests = spark.createDataFrame([(f"s{s}", f"t{s % 4}") for s in range(9)] + [("s1", None), (None, "t1")], "source_id string, template_id string")
+    size, cleanup = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get(key, None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffle_files(spark)
+        matched = A.match_catalog(templates, sources, requests)
+        deadline = time.time() + 20
+        while (left := _shuffle_files(spark) - before) and time.time() < deadline:
+            time.sleep(0.2)
+        assert not left
+        rows = matched.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert spark.conf.get(key, None) == cleanup
+    # a source without columns and a request without a source have their template's columns, unmatched
+    assert len(rows) == 2 * 10
+    assert {(r.source_id, r.template_col) for r in rows if r.raw_col is None} == {(s, c) for s, o in (("s8", 0), (None, 1)) for c in (f"order {o}", "price")}
