@@ -104,49 +104,71 @@ def _rows(objects: Column) -> Column:
 def _record_lines(documents: DataFrame, column: str) -> DataFrame:
     """Every document as the text of an object or of an array of objects, column ``line``.
 
-    An array of objects, the usual layout, is passed on as it is, and so are the parts of an object whose members can be told by
+    An array of objects, the usual layout, is passed on as it is, as is a blank document, and so are the parts of an object whose members can be told by
     their text; only other documents are taken apart as values.
     """
     text = F.trim(F.col(column))
-    docs = documents.select(text.alias("d")).where("d <> ''").select("d", _list_of_objects(F.col("d")).alias("plain"))
+    # A blank document is a blank line, which is no record; a filter would make every document twice.
+    docs = documents.select(F.coalesce(text, F.lit("")).alias("d"))
+    docs = docs.select("d", ((F.col("d") == "") | _list_of_objects(F.col("d"))).alias("plain"))
     docs = docs.select("d", "plain", F.when(~F.col("plain"), _members(F.col("d"))).alias("p"))
     # A name given twice is left to the parser of values, which rejects it.
     once = F.size(F.array_distinct(F.map_keys("p"))) == F.size("p")
-    docs = docs.select("d", "plain", F.when(once, F.col("p")).alias("p"))
-    texts = F.map_values("p")
-    lists = F.forall(texts, lambda x: F.coalesce(F.startswith(x, F.lit("[")), F.lit(False)))
-    # Cells that are numbers, true, false or null end at a comma, and names without escapes are written as they are read.
-    nested = F.exists(texts, lambda x: F.contains(x, F.lit('"')) | F.contains(x, F.lit("{")) | F.contains(F.substring(x, 2, 1 << 30), F.lit("[")))
-    docs = docs.select("d", "plain", "p", F.map_filter("p", lambda _, x: _list_of_objects(x)).alias("po"), ((F.size("p") > 0) & lists).alias("columnar"))
-    docs = docs.select("d", "plain", "p", "columnar", _rows(F.col("po")).alias("rows"))
+    docs = docs.select("d", "plain", F.when(once, F.col("p")).alias("p"), F.array_join(F.map_values("p"), _MARK).alias("texts"))
+    # The usual columnar document is told by plain text functions; what follows per member is for the others.
+    docs = docs.select("d", "plain", "p", F.coalesce(F.col("p").isNotNull() & _flat_lists(F.col("d"), F.col("texts"), F.size("p")), F.lit(False)).alias("flat"))
+    lists = F.forall(F.map_values("p"), lambda x: F.coalesce(F.startswith(x, F.lit("[")), F.lit(False)))
+    docs = docs.select(
+        "d", "plain", "p", "flat", F.when(~F.col("flat"), (F.size("p") > 0) & lists).alias("columnar"),
+        F.when(~F.col("flat"), bind(F.map_filter("p", lambda _, x: _list_of_objects(x)), _rows)).alias("rows"),
+    )
     known = (
         F.when(F.col("plain"), F.col("d"))
+        .when(F.col("flat"), _cells_line(F.col("p")))
         .when(F.col("rows").isNotNull(), F.col("rows"))
         .when(~F.col("columnar"), F.col("d"))
-        .when(~F.contains("d", F.lit("\\")) & ~nested & F.col("columnar"), _cells_line(F.col("p")))
     )
     return docs.select(known.otherwise(_value_line(F.parse_json("d"))).alias("line"))
 
 
+#: Parts texts of JSON, which cannot hold it.
+_MARK = "\x01"
+
+
+def _flat_lists(document: Column, texts: Column, n: Column) -> Column:
+    """Whether all ``n`` members, given as ``texts`` with marks between them, are lists without strings, objects or lists in them.
+
+    Cells that are numbers, true, false or null end at a comma, and names without escapes are written as they are read.
+    """
+    count = lambda part: (F.octet_length(texts) - F.octet_length(F.replace(texts, F.lit(part), F.lit("")))) / len(part)
+    lists = F.startswith(texts, F.lit("[")) & (count("[") == n) & (count(f"{_MARK}[") == n - 1)
+    return lists & ~F.contains(texts, F.lit('"')) & ~F.contains(texts, F.lit("{")) & ~F.contains(document, F.lit("\\"))
+
+
 def _list_of_objects(text: Column) -> Column:
     return F.startswith(text, F.lit("[")) & (F.startswith(text, F.lit("[{")) | text.rlike(r"^\[\s*\{"))
 
 
 def _cells_line(members: Column) -> Column:
     """Text of one object per position of lists of equal length, given as text without strings, objects or lists in them."""
-    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
-    cells = lambda x: F.when(F.trim(F.translate(x, "\n\r\t", "   ")) == "", F.array().cast("array<string>")).otherwise(F.split(x, ","))
+
+    def cells(k: Column, x: Column) -> Column:
+        """The cells of a list, each behind its name."""
+        name = F.concat(F.lit('"'), k, F.lit('":'))
+        inner = F.substring(x, F.lit(2), F.length(x) - 2)
+        named = F.concat(name, F.replace(inner, F.lit(","), F.concat(F.lit(_MARK), name)))
+        blank = ~F.contains(x, F.lit(",")) & (F.trim(x, F.lit("[] \n\r\t")) == "")
+        return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(named, _MARK))
 
     def text(lists: Column) -> Column:
-        sizes = F.transform(lists, lambda a: F.size(a))
         first = F.get(lists, F.lit(0))
-        cell = lambda i: F.zip_with(F.map_keys(members), lists, lambda k, a: F.concat(F.lit('"'), k, F.lit('":'), F.get(a, i)))
-        objects = F.transform(first, lambda _, i: F.concat(F.lit("{"), F.array_join(cell(i), ","), F.lit("}")))
+        objects = F.transform(first, lambda _, i: F.array_join(F.transform(lists, lambda a: F.get(a, i)), ","))
         ragged = F.raise_error(F.lit("columnar JSON with lists of different length")).cast("string")
-        equal = F.array_min(sizes) == F.array_max(sizes)
-        return F.when(~equal, ragged).otherwise(F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
+        equal = F.forall(lists, lambda a: F.size(a) == F.size(first))
+        whole = F.concat(F.lit("[{"), F.array_join(objects, "},{"), F.lit("}]"))
+        return F.when(~equal, ragged).when(F.size(first) == 0, F.lit("[]")).otherwise(whole)
 
-    return bind(F.transform(F.map_values(members), lambda x: cells(inner(x))), text)
+    return bind(F.zip_with(F.map_keys(members), F.map_values(members), cells), text)
 
 
 def _value_line(values: Column) -> Column:

@@ -11,10 +11,12 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from colweave.sinks.files import write_any, write_csv, write_excel
 from colweave.sinks.xlsx import write_xlsx
 from colweave.sources import audit
+from colweave.sources import json as J
 from colweave.sources.csv import read_csv, sniff_delimiter
 from colweave.sources.dispatch import read_any, read_each
 from colweave.sources.json import documents_to_table, read_json, read_ndjson
@@ -384,3 +386,27 @@ def test_sheets_of_simple_cells_need_no_parser(spark, tmp_path, monkeypatch):
     assert "sharedStrings" not in " ".join(zipfile.ZipFile(books[0]).namelist())
     monkeypatch.setattr(xlsx, "_CHUNK", 300)
     assert [list(xlsx.sheet_rows(c)) for c in contents] == quick
+
+
+def test_documents_are_made_once(spark):
+    """Blank documents are left out without a filter, which would make every document a second time."""
+    docs = spark.range(4).select(F.format_string('{"a":[%d,%d],"b":[%d,%d]}', "id", F.col("id") + 10, "id", "id").alias("d"))
+    plan = J._record_lines(docs, "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1, plan
+    rows = J.documents_to_table(docs, "d").collect()
+    assert sorted(map(tuple, rows)) == sorted((i + k, i) for i in range(4) for k in (0, 10))
+
+
+def test_flat_columnar_documents_by_text(spark):
+    texts = [
+        '{"a,b":[1, 2.5] , "c[":[true,null]}', ' {"a,b":[\n],"c[":[ \t]}', '{"a,b":[3],"c":[4]}', '{"x]":[-1e2,7]}', '{"q":[]}', "", "  ", None,
+        '{"a,b":["5"],"c":[6]}', '{"c":[8],"n":9}', '{"c":[[1,2]],"a,b":[10]}',
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "d string")
+    lines = [json.loads(r.line) if r.line else None for r in J._record_lines(docs, "d").collect()]
+    assert lines == [
+        [{"a,b": 1, "c[": True}, {"a,b": 2.5, "c[": None}], [], [{"a,b": 3, "c": 4}], [{"x]": -100.0}, {"x]": 7}], [], None, None, None,
+        [{"a,b": "5", "c": 6}], {"c": [8], "n": 9}, [{"c": [1, 2], "a,b": 10}],
+    ]
+    flat = J.documents_to_table(docs.where("d is null or trim(d) = '' or d like '%x]%' or d like '%\"c\":[4]%'"), "d")
+    assert sorted(map(tuple, flat.select("`a,b`", "c", "`x]`").collect()), key=repr) == [(3, 4, None), (None, None, -100.0), (None, None, 7.0)]
