@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, raw_texts, text_of, written
+from .common import by_bytes, raw_texts, text_of, trimmed, written
 
 WINDOW = 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -166,21 +166,28 @@ _SCANNED = [
     T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
     T.StructField("items", T.ArrayType(T.StringType())),
 ]
+_WITHOUT_HITS = T.StructField("cut", T.StringType())
 
 
-def _scan(batches: Iterator[pa.RecordBatch], key: str, items, window: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], key: str, items, window: int, cut: bool) -> Iterator[pa.RecordBatch]:
+    """What is found in each row, with ``cut`` also the cut text of rows with hits: a task needs one Python worker for both."""
     if key not in _automata:
         _automata.clear()
         _automata[key] = Automaton(items.value, window)
     automaton = _automata[key]
     for batch in by_bytes(batches):
-        found = [automaton.scan(t) for t in raw_texts(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({
+        texts = raw_texts(batch.column("text"))
+        found = [automaton.scan(t) for t in texts]
+        columns = {
             "row": batch.column("row"), "n_words": pa.array([x[0] for x in found], type=pa.int64()),
             "starts": pa.array([[s for s, _ in x[1]] for x in found], type=pa.list_(pa.int64())),
             "ends": pa.array([[e for _, e in x[1]] for x in found], type=pa.list_(pa.int64())),
             "items": pa.array([sorted(x[2] - {None}) for x in found], type=pa.list_(pa.string())),
-        })
+        }
+        if cut:
+            kept = [cut_spans(t, *zip(*x[1], strict=True)).decode() if x[1] else None for t, x in zip(texts, found, strict=True)]
+            columns["cut"] = pa.array(kept, type=pa.string())
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
@@ -200,21 +207,21 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = 150_000, whole: bool = False) -> DataFrame:
     """Per row of ``docs``: ``row``, n_words, starts and ends of hit word ranges, items (sorted).
 
-    ``row`` is the doc_id, with ``whole`` a struct of all columns.
+    ``row`` is the doc_id, with ``whole`` a struct of all columns; then ``cut`` is the text without its hit ranges, null without hits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row")) if whole else docs.select(F.col("doc_id").alias("row"), text_of().alias("text"))
-    schema = T.StructType([rows.schema["row"], *_SCANNED])
+    schema = T.StructType([rows.schema["row"], *_SCANNED, *([_WITHOUT_HITS] if whole else [])])
 
-    def scanned(rows, block, schema):
+    def scanned(rows, block, schema, cut=False):
         # a block holds about block_words words, whatever the benchmark's size
         held = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in block.collect()] if block is not None else [])
         key = uuid.uuid4().hex
-        return rows.mapInArrow(lambda batches: _scan(batches, key, held, window), schema)
+        return rows.mapInArrow(lambda batches: trimmed(_scan(batches, key, held, window, cut)), schema)
 
     blocks = _blocks(items, block_words) or [None]
     if len(blocks) == 1:
-        return scanned(rows, blocks[0], schema)
+        return scanned(rows, blocks[0], schema, whole)
     # copies of a row are scanned alike, so a row's hits in all blocks meet by its id and hash, and copies are put back after
     if whole:
         rows = rows.withColumn("text", F.col("row.text"))
@@ -241,16 +248,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return grouped.withColumn("spans", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
+    out = grouped.withColumn("spans", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
         F.col("row.row").alias("row"), "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items"
     )
+    if not whole:
+        return out
+    return out.withColumn("text", F.when(F.size("starts") > 0, F.col("row.text"))).mapInArrow(lambda batches: trimmed(_cut(batches)), schema)
 
 
 def hit_words() -> Column:
     return F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
+def cut_spans(text: bytes, starts: Sequence[int], ends: Sequence[int]) -> bytes:
     """The text without the hit ranges of words and what stands inside them; all around stays."""
     places = [m.span() for m in _RAW_WORD.finditer(text)]
     out, at = [], 0
@@ -261,22 +271,21 @@ def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cut text of rows with hits, null for the others, whose text is not sent."""
+    """Instead of the text the cut text of rows with hits, null for the others, whose text is not sent."""
     for batch in batches:
         columns = (raw_texts(batch.column("text")), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())
         cut = [cut_spans(t, s, e).decode() if s else None for t, s, e in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, type=pa.string())], names=["row", "cut"])
+        rest = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+        yield pa.RecordBatch.from_pydict({**rest, "cut": pa.array(cut, type=pa.string())})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut from the text and ``n_chars`` follows; a document whose hit words
     exceed ``max_coverage`` of its words goes. Documents without a hit are passed on untouched."""
     found = contamination(docs, items, window, whole=True)
-    kept = found.where(hit_words() <= F.col("n_words") * max_coverage)
-    sent = kept.select("row", F.when(F.size("starts") > 0, F.col("row.text")).alias("text"), "starts", "ends")
-    cut, out = sent.mapInArrow(_cut, T.StructType([found.schema["row"], T.StructField("cut", T.StringType())])), []
+    kept, out = found.where(hit_words() <= F.col("n_words") * max_coverage), []
     for f in docs.schema.fields:
         own = F.col("row").getField(f.name)
         new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(f.dataType)}.get(f.name)
         out.append((own if new is None else F.coalesce(new, own)).alias(f.name))
-    return cut.select(*out)
+    return kept.select(*out)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, raw_texts, text_of, written
+from .common import by_bytes, raw_texts, text_of, trimmed, written
 from .components import components
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed long) per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, shingle), f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(lambda batches: trimmed(_fingerprints(batches, shingle)), f"doc_id {kind}, text_hash long, fp long")
 
 
 def walk(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, list_array, text_of
+from .common import by_bytes, list_array, text_of, trimmed
 
 #: Ids of one shard and the part of its rows are found by these files of the output folder.
 DATA, SHARDS = "data", "shards"
@@ -47,7 +47,7 @@ _PRETOKEN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\
 #: Byte-level vocabularies write visible bytes as themselves and the others, in order, as the characters from 256.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _TEXT_OF_BYTE = {**{b: chr(b) for b in _VISIBLE}, **{b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}}
-_BATCH = 8 << 20
+_BATCH = 4 << 20
 
 
 class Encoder:
@@ -179,7 +179,7 @@ def write_tokens(
         T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, k) for n, k in kinds.items()],
         *([ranged.schema["meta"]] if keep else []),
     ])
-    encoded = ranged.mapInArrow(lambda batches: _encode(batches, spec, end_id, bool(keep)), schema)
+    encoded = ranged.mapInArrow(lambda batches: trimmed(_encode(batches, spec, end_id, bool(keep))), schema)
     encoded.write.options(
         **{
             "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes,
@@ -231,4 +231,4 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: where its ids start, how many there are, and their crc32."""
     ids = read_tokens(spark, path, ("doc_id", "start", "ids"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(_digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return ids.mapInArrow(lambda batches: trimmed(_digest(batches)), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -29,14 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, list_array, raw_texts, text_of, unit_hash, written
+from .common import by_bytes, list_array, raw_texts, text_of, trimmed, unit_hash, written
 
 BUCKETS = 1 << 16
 _PREFIXES = (3, 4, 5, 6)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: A-Z to lower case, sentence ends to full stops, all other bytes outside words to blanks.
 _FLAT = bytes(c + 32 if 65 <= c <= 90 else c if _WORD.match(bytes([c])) else 46 if chr(c) in ".!?" else 32 for c in range(256))
-_REMEMBERED = 400_000
+#: Pieces a task knows the scores of, about 250 bytes each, and bytes of text it splits at a time, about 100 bytes each.
+_REMEMBERED = 200_000
+_BATCH = 1 << 20
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -108,10 +110,10 @@ _ENDS = 1e6
 
 
 class Tagger:
-    """Scores words, remembering pieces seen; at most about ``_REMEMBERED`` of them."""
+    """Scores words, remembering pieces seen lately; at most about ``_REMEMBERED`` of them, or those of a batch."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.weights = model, {}, model.weights.tolist()
+        self.model, self.known, self.older, self.weights = model, {}, {}, model.weights.tolist()
 
     def _learn(self, new: set[bytes]) -> None:
         """The emissions of each piece's words; the last of a sentence is marked by adding ``_ENDS``."""
@@ -128,10 +130,12 @@ class Tagger:
         """The probability of every word of the texts, laid end to end, and the number of words of each text."""
         split = [pieces(t) for t in texts]
         wanted = set().union(*split)
+        if len(self.known) > _REMEMBERED // 2:  # pieces met again before this happens once more stay
+            self.known, self.older = {}, self.known
         new = wanted.difference(self.known)
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known, new = {}, wanted
-        self._learn(new)
+        again = {piece: self.older[piece] for piece in new if piece in self.older}
+        self.known.update(again)
+        self._learn(new.difference(again))
         find = self.known.__getitem__
         scores = [list(chain.from_iterable(map(find, own))) for own in split]
         counts = np.array([len(x) for x in scores], dtype=np.int64)
@@ -291,7 +295,7 @@ def _fit_document(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def _summarise(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(held.value)
-    for batch in by_bytes(batches, most=4 << 20):
+    for batch in by_bytes(batches, most=_BATCH):
         top, total = summaries(*tagger.marginals(raw_texts(batch.column("text"))))
         yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "top": pa.array(top), "total": pa.array(total)})
 
@@ -325,13 +329,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, steps: int =
     plain_share = min(1.0, 40.0 * per_class / about)
     sequences = written(
         sample.mapInArrow(
-            lambda batches: _sequences(batches, held, plain_share), "features array<int>, sizes array<int>, lengths array<int>, labels array<byte>"
+            lambda batches: trimmed(_sequences(batches, held, plain_share)), "features array<int>, sizes array<int>, lengths array<int>, labels array<byte>"
         ),
         "toxic-sequences",
     )
     model = _train_field(sequences, steps, rate)
     state = spark.sparkContext.broadcast(model)
-    found = sample.mapInArrow(lambda batches: _summarise(batches, state), "toxic int, top double, total double").toArrow()
+    found = sample.mapInArrow(lambda batches: trimmed(_summarise(batches, state)), "toxic int, top double, total double").toArrow()
     x = np.column_stack([found.column("top").to_numpy(), np.log1p(found.column("total").to_numpy())])
     model.document = _fit_document(x, found.column("toxic").to_numpy().astype(float))
     return model
@@ -350,7 +354,7 @@ def _spans(text: bytes, p: np.ndarray) -> list[tuple[int, int]]:
 
 def _score(batches: Iterator[pa.RecordBatch], held, spans: bool) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(held.value)
-    for batch in by_bytes(batches, most=4 << 20):
+    for batch in by_bytes(batches, most=_BATCH):
         texts = raw_texts(batch.column("text"))
         p, counts = tagger.marginals(texts)
         columns = {"row": batch.column("row"), "score": pa.array(document_score(tagger.model, *summaries(p, counts)))}
@@ -369,4 +373,4 @@ def score(docs: DataFrame, model: Model, row: Column | None = None, spans: bool
     rows = docs.select(F.struct("*").alias("row")) if row is None else docs.select(row.alias("row"), text_of().alias("text"))
     more = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends")] if spans else []
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), *more])
-    return rows.mapInArrow(lambda batches: _score(batches, held, spans), schema)
+    return rows.mapInArrow(lambda batches: trimmed(_score(batches, held, spans)), schema)

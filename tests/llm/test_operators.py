@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,19 @@ def test_decontaminate_cuts(spark):
     assert kept[1].text == "Keep this, ! and that" + " more words" * 10 and kept[1].n_chars == len(kept[1].text)
 
 
+def test_decontaminate_in_one_worker_a_task(spark):
+    """Each further Python step of a stage holds a worker of its own, which stays with the executor after it."""
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, "Keep this, " + item.upper() + "! and that" + " more words" * 10, 0), (2, item, 5), (3, "clean  text ", 12), (4, None, None)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame([(1, item), (2, "and that")], "item_id long, text string")
+    out = decontaminate.decontaminate(docs, items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    by_blocks = decontaminate.contamination(docs, items, block_words=3, whole=True)
+    one_block = decontaminate.contamination(docs, items, whole=True)
+    assert sorted(map(str, by_blocks.collect())) == sorted(map(str, one_block.collect()))
+    assert {r.row.doc_id: r.cut for r in one_block.collect()} == {1: "Keep this, " + " more words" * 10, 2: "", 3: None, 4: None}
+
+
 def test_language(spark, docs, none):
     labelled = [(i, "en", "the house and the garden with other things") for i in range(20)]
     labelled += [(100 + i, "de", "das Haus und der Garten mit anderen Dingen") for i in range(20)]
@@ -282,6 +296,57 @@ def test_toxicity(spark, docs, none):
     assert max(r.score for r in toxicity.score(docs, untaught).collect()) < 0.01
 
 
+def test_toxicity_memory():
+    """What scoring holds follows the part of the texts at work, not the batch or the number of different words."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    pick = random.Random(8)
+    texts = [" ".join(f"{pick.randrange(10**9):x}" for _ in range(1000)) + "." for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(600)), "text": pa.array(texts)})
+    held = SimpleNamespace(value=toxicity.Model(np.zeros(toxicity.BUCKETS), -3.0, np.zeros((2, 2)), (0.0, 1.0, 1.0)))
+    tracemalloc.start()
+    try:
+        out = [r for b in toxicity._score(iter([batch]), held, False) for r in b.column("row").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == list(range(600)) and peak < 100 << 20
+
+
+def test_trimmed_gives_memory_back():
+    """In a process of its own: after the last batch the freed pieces below a live one no longer count for the worker."""
+    program = """
+import sys
+import pyarrow as pa
+from colweave.llm import common
+
+kept = []
+
+def pages():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1])
+
+def work(batches):
+    for batch in batches:
+        pieces = [bytes(2000) for _ in range(100_000)]
+        kept.append(bytes(2000))
+        yield batch
+
+before = pages()
+one = pa.RecordBatch.from_pydict({"a": pa.array([1])})
+assert [b.num_rows for b in getattr(common, "trimmed", iter)(work(iter([one])))] == [1]
+print((pages() - before) * 4096 >> 20)
+"""
+    import pathlib
+    import subprocess
+    import sys
+
+    top = str(pathlib.Path(decontaminate.__file__).parents[2])
+    grown = int(subprocess.run([sys.executable, "-c", program], cwd=top, capture_output=True, text=True, check=True, timeout=60).stdout)
+    assert grown < 50
+
+
 def test_chains_against_enumeration():
     import itertools
 
