@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from colweave.functions.headers import normalize_header
 from colweave.operators import assignment as A
 from colweave.operators import mapping as M
+from colweave.operators import table_pairs
 from colweave.operators.catalog import column_catalog, schema_drift, schema_fingerprints, shape_keys
-from colweave.operators.scoring import SCORED, header_features, header_struct, may_score, requested_pairs, with_scores
+from colweave.operators.scoring import SCORED, header_features, header_struct, may_score, positive_scores, requested_pairs, with_scores
 from colweave.operators.sparse_matching import heaviest_matching
+from colweave.operators.table_pairs import PairScores
 
 
 def brute(weight):
@@ -249,6 +251,62 @@ def test_pairs_left_out_score_nothing(spark):
     assert {r.may: r.top > 0 for r in found} == {True: True, False: False}
 
 
+def test_narrow_requests_are_matched_where_they_are(spark):
+    """Stored requests are scored and solved without another move, however many distinct pairs of tables there are."""
+    rng = random.Random(13)
+    ddl = "table_id long, ordinal int, column_name string"
+    templates, sources = (spark.createDataFrame(random_catalog(rng, 8, 4), ddl) for _ in range(2))
+    requests = spark.createDataFrame([(s, t) for s in range(8) for t in range(8)], "source_id long, template_id long")
+    for rows in (A.match_catalog(templates, sources, requests), A.catalog_assignment(templates, sources, requests)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() > 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_scores_of_numbered_headers_are_those_of_the_rules(spark, strict):
+    rng = random.Random(14)
+    names = [r[2] for r in random_catalog(rng, 25, 4)] + ["birth dte", "mail", "e mail", "my mail", "customer customer", "12", "-", "", "aab", "abb", "a b"]
+    rows = [(i, n) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "i int, name string").withColumn("norm", normalize_header(F.col("name")))
+    norms = dict(df.select("name", "norm").collect())
+    side = lambda s: df.select("norm", F.inline(F.array(header_struct(F.col("norm"), s, F.col("i"), A.DEFAULT_VOCABULARY, strict)))).drop("norm")
+    scored = positive_scores(side("t").crossJoin(side("r")), strict, ["t_ord", "r_ord"]).collect()
+    want = np.zeros((len(names), len(names)), np.int64)
+    for row in scored:
+        want[row.t_ord, row.r_ord] = row.micro
+    scores = PairScores(A.DEFAULT_VOCABULARY, strict)
+    assert {n: scores._norm(n) for n in names} == norms
+    numbers = np.array(scores.numbers(names))
+    t, r = np.divmod(np.arange(len(names) ** 2), len(names))
+    for _ in range(2):  # the second time from memory
+        assert (scores.micros(numbers[t], numbers[r]).reshape(want.shape) == want).all()
+
+
+@pytest.mark.parametrize("strict,keep_unicode", [(False, False), (True, False), (False, True)])
+def test_odd_headers_match_both_ways(spark, monkeypatch, strict, keep_unicode):
+    names = ["Straße", "strase", "größe", "gro e", "name\n", "name", " na\u00a0me", "tab\tname", None, "", "İd", "id", "K", "k", "数量", "a\x1fb", "a b", 'q"u', "e_mail"]
+    ddl = "table_id string, ordinal int, column_name string"
+    templates = spark.createDataFrame([(f"t{i // 4}", i % 4 * 3, n) for i, n in enumerate(names)], ddl)
+    sources = spark.createDataFrame([(f"s{i // 6}", i % 6, n) for i, n in enumerate(reversed(names))], ddl)
+    requests = spark.createDataFrame([(f"s{s}", f"t{t}") for s in range(4) for t in range(5)], "source_id string, template_id string")
+    match = lambda: sorted(map(tuple, A.match_catalog(templates, sources, requests, strict=strict, keep_unicode=keep_unicode).collect()), key=repr)
+    near = match()
+    monkeypatch.setattr(A, "NARROW_PRODUCT", 0)
+    assert near == match()
+    assert any(r[5] is not None for r in near) and len(near) == 4 * len(names)
+
+
+def test_remembered_scores_are_bounded(monkeypatch):
+    monkeypatch.setattr(table_pairs, "_HEADERS", 10)
+    monkeypatch.setattr(table_pairs, "_PAIRS", 20)
+    scores = PairScores(A.DEFAULT_VOCABULARY, False)
+    for k in range(30):
+        scores.renew()
+        n = np.array(scores.numbers([f"order {k}", f"ordr {k}", f"x{k}"]))
+        assert scores.micros(n[[0, 0]], n[[1, 2]]).tolist()[0] > 0
+        assert len(scores._of_name) <= 13 and len(scores._codes) <= 22
+
+
 def test_sparse_matching_on_wide_sides():
     """A narrow side against thousands of equal edges, from either side, and ties that only rerouting settles."""
     for n, m in ((20, 2000), (2000, 20)):
