@@ -129,3 +129,20 @@ def test_entries_move_without_what_follows_from_them(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.split("\n") if "partial_collect_list" in line]
     assert moved and not any("automatic" in line for line in moved)
+
+
+def test_configurations_without_a_template_catalog_move_a_mapping_once(spark):
+    rows = [(m, t, f"t{t}", f"r{t}" if t % 2 else None, 0.9 if t % 2 else 0.0) for m in range(4) for t in (2, 0, 1)]
+    mapping = spark.createDataFrame(rows, "m long, t_ord int, template_col string, raw_col string, confidence double")
+    raw = spark.createDataFrame([(m, i, f"r{i}") for m in range(3) for i in range(2)], "m long, ordinal int, column_name string")
+    template = mapping.select("m", F.col("t_ord").alias("ordinal"), F.col("template_col").alias("column_name"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once, twice = (R.registry_rows(mapping, raw, t, ["m"]).drop("created_at", "last_updated") for t in (None, template))
+        moves = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (once, twice)]
+        assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert moves == [2, 3]
+    assert {r.m: (r.column_info.template_columns, r.column_info.raw_columns) for r in once.collect()}[3] == (["t0", "t1", "t2"], [])
