@@ -146,3 +146,12 @@ def test_configurations_without_a_template_catalog_move_a_mapping_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert moves == [2, 3]
     assert {r.m: (r.column_info.template_columns, r.column_info.raw_columns) for r in once.collect()}[3] == (["t0", "t1", "t2"], [])
+
+
+def test_compatibility_makes_configurations_once(spark):
+    from colweave.plans.registry_queries import schema_compat
+
+    checked = schema_compat(spark, "/root/testdata/sf0.001")
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("FileScan") == 2
+    assert checked.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
